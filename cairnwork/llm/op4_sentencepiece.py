@@ -20,6 +20,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import chunks
 
@@ -174,7 +175,7 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text") -> DataF
                 columns = [pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, "ids", "decoded"])
 
-    return docs.mapInArrow(run, docs.schema.add("ids", "binary").add("decoded", "string"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]))
 
 
 def default_model_path() -> str:

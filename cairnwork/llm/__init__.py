@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import op1_secrets, op3_mixing, op4_sentencepiece, op5_quality
+from . import op1_secrets, op3_mixing, op4_sentencepiece, op5_quality, op8_jaccard
 
-_MODULES = (op1_secrets, op3_mixing, op4_sentencepiece, op5_quality)
+_MODULES = (op1_secrets, op3_mixing, op4_sentencepiece, op5_quality, op8_jaccard)
 
 
 def queries() -> dict:

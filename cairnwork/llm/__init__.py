@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import op1_secrets, op3_mixing, op4_sentencepiece, op5_quality, op8_jaccard
+from . import op1_secrets, op3_mixing, op4_sentencepiece, op5_quality, op8_jaccard, op10_hashing
 
-_MODULES = (op1_secrets, op3_mixing, op4_sentencepiece, op5_quality, op8_jaccard)
+_MODULES = (op1_secrets, op3_mixing, op4_sentencepiece, op5_quality, op8_jaccard, op10_hashing)
 
 
 def queries() -> dict:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import op1_secrets, op2_suffix, op3_mixing, op4_sentencepiece, op5_quality, op6_substring, op8_jaccard, op10_hashing
+from . import op1_secrets, op2_suffix, op3_mixing, op4_sentencepiece, op5_quality, op6_substring, op7_media, op8_jaccard, op9_tokens, op10_hashing
 
-_MODULES = (op1_secrets, op2_suffix, op3_mixing, op4_sentencepiece, op5_quality, op6_substring, op8_jaccard, op10_hashing)
+_MODULES = (op1_secrets, op2_suffix, op3_mixing, op4_sentencepiece, op5_quality, op6_substring, op7_media, op8_jaccard, op9_tokens, op10_hashing)
 
 
 def queries() -> dict:

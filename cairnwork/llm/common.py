@@ -137,22 +137,23 @@ def owners(firsts: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, Callable[..., DataFrame]]:
-    """(row_id, text) with unique row_id in the order of doc_id, and what puts doc_id back into a result by row_id.
+def numbered(docs: DataFrame, *others: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """(row_id, text, others) with unique row_id in the order of doc_id, and what puts doc_id back into a result by row_id.
 
     Where doc_id is a whole number, never null and never repeated, it is the row_id itself. Else rows are numbered
-    by doc_id (null first) and text, and each row counts as a document of its own.
+    by doc_id (null first) and text, and each row counts as a document of its own. A null text is empty from here on.
     """
     rows, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
     if rows == ids and docs.schema["doc_id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint"):
-        plain = docs.select(F.col("doc_id").cast("long").alias("row_id"), null_safe_text().alias("text"))
-        return plain, lambda result, others=None: result.withColumnsRenamed({"row_id": "doc_id", **(others or {})})
-    keyed = cut(docs.select("doc_id", null_safe_text().alias("text")).sort("doc_id", "text").withColumn("row_id", F.monotonically_increasing_id()))
-
-    def back(result: DataFrame, others: dict[str, str] | None = None) -> DataFrame:
-        for column, name in {"row_id": "doc_id", **(others or {})}.items():
-            names = keyed.select(F.col("row_id").alias(column), F.col("doc_id").alias(name))
+        plain = docs.select(F.col("doc_id").cast("long").alias("row_id"), null_safe_text().alias("text"), *others)
+        return plain, lambda result, renamed=None: result.withColumnsRenamed({"row_id": "doc_id", **(renamed or {})})
+    ordered = docs.select(F.col("doc_id").alias("row_doc_id"), null_safe_text().alias("text"), *others).sort("row_doc_id", "text")
+    keyed = cut(ordered.withColumn("row_id", F.monotonically_increasing_id()))
+
+    def back(result: DataFrame, renamed: dict[str, str] | None = None) -> DataFrame:
+        for column, name in {"row_id": "doc_id", **(renamed or {})}.items():
+            names = keyed.select(F.col("row_id").alias(column), F.col("row_doc_id").alias(name))
             result = result.join(names, column).drop(column)
         return result
 
-    return keyed.select("row_id", "text"), back
+    return keyed.select("row_id", "text", *others), back

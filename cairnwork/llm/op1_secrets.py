@@ -63,31 +63,62 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
-    """doc_id, base (array of certain spans), added (array of linked weak spans): spans are (start, nth, end, kind)."""
-    body = null_safe_text(text)
-    found = docs.select("doc_id", F.md5(body).alias("text_md5"), *[find_spans(body, k, i).alias(f"f_{k}") for i, k in enumerate(PATTERNS)])
-    found = found.select(
-        "doc_id", "text_md5",
-        F.concat(*[f"f_{k}" for k in CERTAIN]).alias("base"),
-        F.concat(*[f"f_{k}" for k in PATTERNS if k not in CERTAIN]).alias("weak"),
-    )
-    found = cut(found)
+_SPANS = "array<struct<start:int,nth:int,end:int,kind:string>>"
+
+
+def certain_spans(text: Column) -> Column:
+    """All spans of the certain kinds, as (start, nth, end, kind)."""
+    return F.concat(*[find_spans(text, kind, i) for i, kind in enumerate(PATTERNS) if kind in CERTAIN])
+
+
+def linked_spans(found: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """(doc_id, text_md5, added) of the texts in found (doc_id, text_md5, base, weak) whose weak parts have what they need near."""
     role = F.create_map(*[F.lit(x) for pair in ROLE.items() for x in pair])
     with_weak = found.where(F.size("weak") > 0).select("doc_id", "text_md5", F.explode(F.concat("base", "weak")).alias("s")).distinct()
-    parts = with_weak.select("doc_id", "text_md5", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.nth").alias("nth"), F.col("s.kind").alias("kind"), role[F.col("s.kind")].alias("role"))
+    parts = with_weak.select("doc_id", "text_md5", "s.*", role[F.col("s.kind")].alias("role"))
     # Of each role only the first and last part of a cell can be the nearest from another cell.
-    cells = parts.groupBy("doc_id", "text_md5", F.floor(F.col("start") / scope).alias("cell"), "role").agg(F.min("start").alias("lo"), F.max("start").alias("hi"))
-    near = parts.where(~F.col("kind").isin(*CERTAIN)).select("*", F.explode(F.sequence(F.floor(F.col("start") / scope) - 1, F.floor(F.col("start") / scope) + 1)).alias("cell"))
+    cell = F.floor(F.col("start") / scope)
+    cells = parts.groupBy("doc_id", "text_md5", cell.alias("cell"), "role").agg(F.min("start").alias("lo"), F.max("start").alias("hi"))
+    near = parts.where(~F.col("kind").isin(*CERTAIN)).select("*", F.explode(F.sequence(cell - 1, cell + 1)).alias("cell"))
     same_text = F.col("n.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("n.text_md5") == F.col("c.text_md5")) & (F.col("n.cell") == F.col("c.cell"))
-    within = (F.col("c.role") != F.col("n.role")) & ((F.abs(F.col("c.lo") - F.col("n.start")) <= scope) | (F.abs(F.col("c.hi") - F.col("n.start")) <= scope) | F.col("n.start").between(F.col("c.lo"), F.col("c.hi")))
-    linked = near.alias("n").join(cells.alias("c"), same_text & within).groupBy("n.doc_id", "n.text_md5", "n.start", "n.end", "n.nth", "n.kind").agg(F.collect_set("c.role").alias("roles"))
+    ends_near = (F.abs(F.col("c.lo") - F.col("n.start")) <= scope) | (F.abs(F.col("c.hi") - F.col("n.start")) <= scope)
+    within = (F.col("c.role") != F.col("n.role")) & (ends_near | F.col("n.start").between(F.col("c.lo"), F.col("c.hi")))
+    linked = near.alias("n").join(cells.alias("c"), same_text & within).groupBy("n.doc_id", "n.text_md5", "n.start", "n.nth", "n.end", "n.kind").agg(F.collect_set("c.role").alias("roles"))
     enough = F.lit(False)
     for kind, roles in NEEDS.items():
         enough = enough | ((F.col("kind") == kind) & (F.size(F.array_intersect("roles", F.array(*map(F.lit, roles)))) == len(roles)))
-    added = linked.where(enough).groupBy("doc_id", "text_md5").agg(F.collect_list(F.struct("start", "nth", "end", "kind")).alias("added"))
+    return linked.where(enough).groupBy("doc_id", "text_md5").agg(F.collect_list(F.struct("start", "nth", "end", "kind")).alias("added"))
+
+
+def scan(docs: DataFrame, text: str = "text", scope: int = SCOPE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, base (array of certain spans), added (array of linked weak spans), and the columns of docs to keep."""
+    body = null_safe_text(text)
+    weak = F.concat(*[find_spans(body, kind, i) for i, kind in enumerate(PATTERNS) if kind not in CERTAIN])
+    found = docs.select("doc_id", F.md5(body).alias("text_md5"), certain_spans(body).alias("base"), weak.alias("weak"))
+    if not keep:
+        found = cut(found)
+    added = linked_spans(found, scope)
+    base = docs.select("doc_id", *keep, F.md5(body).alias("text_md5"), certain_spans(body).alias("base")) if keep else found
     same = F.col("f.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("f.text_md5") == F.col("a.text_md5"))
-    return found.alias("f").join(added.alias("a"), same, "left").select("f.doc_id", "f.base", F.coalesce("a.added", F.array().cast("array<struct<start:int,nth:int,end:int,kind:string>>")).alias("added"))
+    return base.alias("f").join(added.alias("a"), same, "left").select("f.doc_id", *[f"f.{c}" for c in keep], "f.base", F.coalesce("a.added", F.array().cast(_SPANS)).alias("added"))
+
+
+def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
+    """docs with every reported span of ``text`` replaced by the mark (spans that meet or overlap by one) and n_chars set anew."""
+    others = tuple(c for c in docs.columns if c != "doc_id")
+    found = scan(docs, keep=others)
+    body = null_safe_text()
+    spans = F.array_sort(F.concat("base", "added"))
+
+    def step(state: Column, span: Column) -> Column:
+        gap = F.substring(body, state["at"] + 1, F.greatest(span["start"] - state["at"], F.lit(0)))
+        opened = F.when(span["start"] > state["at"], F.concat(state["out"], gap, F.lit(mark))).when(state["out"] == "", F.lit(mark)).otherwise(state["out"])
+        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), opened.alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    clean = F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(body, s["at"] + 1, F.length(body))))
+    text = F.when(F.size(spans) > 0, clean).otherwise(F.col("text"))
+    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,9 +61,14 @@ def position_of(share: Column, lean: Column) -> Column:
     return F.when(F.abs(a) < 1e-9, share).otherwise((F.sqrt(F.greatest(b * b + 4 * a * share, F.lit(0.0))) - b) / (2 * a))
 
 
+def turn() -> Column:
+    """What sets the order within a source: a hash of doc_id, text and source."""
+    return F.md5(F.concat_ws("\x1f", F.col("doc_id").cast("string"), F.md5(null_safe_text()), F.col("source")))
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, leans: Sequence[float] = LEANS, max_epochs: int = MAX_EPOCHS, ranges: int = RANGES) -> DataFrame:
     """One row for each document: doc_id, size, source, source_size, target, copies, taken, position (of its first copy)."""
-    sized = docs.select("doc_id", "source", word_count(null_safe_text()).alias("size"), F.md5(F.concat_ws("\x1f", F.col("doc_id").cast("string"), F.md5(null_safe_text()))).alias("turn"))
+    sized = docs.select("doc_id", "source", word_count(null_safe_text()).alias("size"), turn().alias("turn"))
     sized = sized.withColumn("part", (F.conv(F.substring("turn", 1, 6), 16, 10).cast("long") % ranges).cast("int"))
     sized = cut(sized)
     parts = sized.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
@@ -93,18 +98,23 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, leans: Sequence[flo
     copies = (F.col("copies") + F.when(chosen, F.signum("gap")).otherwise(0)).cast("long")
     share = F.least(F.col("start") / F.col("target"), F.lit(1.0))
     return placed.withColumn("copies", copies).select(
-        "doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "start", "lean",
+        "doc_id", "turn", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "start", "lean",
         F.when(F.col("copies") > 0, position_of(share, F.col("lean"))).alias("position"),
     )
 
 
-def training_order(mixed: DataFrame, partitions: int | None = None) -> DataFrame:
-    """A row for each copy that mix() takes, range-sorted by training position."""
-    epoch = F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).alias("epoch")
-    share = F.least((F.col("start") + F.col("epoch") * F.col("source_size")) / F.col("target"), F.lit(1.0))
-    copies = mixed.where("copies > 0").select("*", epoch).withColumn("position", position_of(share, F.col("lean")))
-    spread = copies.repartitionByRange(*([partitions] if partitions else []), "position", "doc_id")
-    return spread.sortWithinPartitions("position", "doc_id", "epoch")
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it, range-sorted by training position."""
+    mixed = cut(mix(docs))
+    keyed = docs.withColumn("mix_turn", turn())
+    if not mixed.groupBy("turn").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        keyed = keyed.dropDuplicates(["mix_turn"])
+    epoch = F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).alias("mix_epoch")
+    share = F.least((F.col("start") + F.col("mix_epoch") * F.col("source_size")) / F.col("target"), F.lit(1.0))
+    copies = mixed.where("copies > 0").select(F.col("turn").alias("mix_turn"), "start", "source_size", "target", "lean", epoch)
+    copies = copies.select("mix_turn", "mix_epoch", position_of(share, F.col("lean")).alias("mix_position"))
+    ordered = keyed.join(copies, "mix_turn").repartitionByRange("mix_position", "mix_turn", "mix_epoch")
+    return ordered.sortWithinPartitions("mix_position", "mix_turn", "mix_epoch").select(*docs.columns)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -180,6 +180,13 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, rec
     return signed.select("row_id", "k1", "k2").join(by_class, ["k1", "k2"], "left").select("row_id", F.coalesce("class_rep", "row_id").alias("class_rep"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def first_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs without those that link to a row before them in their component; a null text becomes empty."""
+    rows, _ = numbered(docs, *(c for c in docs.columns if c != "text"))
+    later = near_duplicates(rows.select("row_id", "text")).where("row_id != class_rep").select("row_id")
+    return rows.join(later, "row_id", "left_anti").select(*docs.columns)
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, back = numbered(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return back(near_duplicates(docs), {"class_rep": "class_id"}).select("doc_id", "class_id", "n_links")

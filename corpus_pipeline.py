@@ -7,20 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnwork.llm import op1_secrets, op3_mixing, op4_sentencepiece
+from cairnwork.llm import op1_secrets, op3_mixing, op4_sentencepiece, op5_quality, op8_jaccard
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it is fitted on the labelled rows among docs."""
+    model = op5_quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return op5_quality.score(docs, model, keep=COLUMNS).where(F.col("score") >= op5_quality.THRESHOLD).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the least doc_id stays."""
+    return op8_jaccard.first_of_each(docs.select(*COLUMNS))
+
+
 def drop_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span that the secret scan reports gives way to a mark; n_chars follows the new text."""
-    return op1_secrets.redact(docs).select(*COLUMNS)
+    return op1_secrets.redact(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, in training order."""
-    return op3_mixing.mixed_documents(docs).select(*COLUMNS)
+    return op3_mixing.mixed_documents(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +39,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op4_sentencepiece.digest(encoded)
 
 
-STAGES: list[tuple[str, Stage]] = [("secrets", drop_secrets), ("mixing", mix_sources), ("sentencepiece", tokenise)]
+STAGES: list[tuple[str, Stage]] = [("quality", keep_quality), ("near_duplicates", drop_near_duplicates), ("secrets", drop_secrets), ("mixing", mix_sources), ("sentencepiece", tokenise)]
 
 #: Tokens have no SQL form; the whole run is tested against plain Python instead.
 ORACLE_SQL: str | None = None

@@ -1,4 +1,6 @@
 """All queries by name, with the SQL that gives the same rows where there is one."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import graphs, learning, memory, revisions, routing, store, telemetry, types  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -10,6 +10,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,3 +54,36 @@ def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def gathered(places: DataFrame, *columns: str) -> DataFrame:
     """All arrays of a row_id end to end."""
     return places.groupBy("row_id").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in columns])
+
+
+def placed(task: np.ndarray, row_id: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+    """Like packed(), with row_id as a base for the row and 31 low bits for each entry; entries keep their order."""
+    high = row_id >> 31
+    order = np.lexsort((high, task))
+    task, high = task[order], high[order]
+    heads = np.flatnonzero(np.r_[True, (task[1:] != task[:-1]) | (high[1:] != high[:-1])]) if len(task) else np.zeros(0, np.int64)
+    offsets = pa.array(np.r_[heads, len(task)], pa.int32())
+    columns = {"low": (row_id & 0x7FFFFFFF).astype(np.int32), **columns}
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(c[order])) for c in columns.values()]
+    return pa.RecordBatch.from_arrays([pa.array(task[heads].astype(np.int64)), pa.array(high[heads] << 31), *lists], names=["task", "base", *columns])
+
+
+def row_ids(table: pa.Table) -> np.ndarray:
+    """The row_id of each entry of placed()."""
+    (low,) = unpacked(table, "low")
+    counts = table.column("low").combine_chunks()
+    counts = pa.compute.list_value_length(counts).to_numpy(zero_copy_only=False).astype(np.int64) if table.num_rows else np.zeros(0, np.int64)
+    return np.repeat(table.column("base").to_numpy(), counts) + low
+
+
+PLACES = "task long, base long, low array<int>, at array<int>"
+
+
+def sent_home(row_id: np.ndarray, at: np.ndarray, tasks: int) -> pa.RecordBatch:
+    """Places on their way to a task for each share of the documents (schema PLACES)."""
+    return placed(row_id % tasks, row_id, at=at)
+
+
+def one_row_each(table: pa.Table) -> pa.Table:
+    """All places of a document as one row (row_id, at)."""
+    return pa.Table.from_batches([by_row(row_ids(table), at=unpacked(table, "at")[0])])

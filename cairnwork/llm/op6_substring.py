@@ -3,7 +3,7 @@
 Places whose number in the document modulo PERIOD is in COVER form a difference cover: for any two places of two
 documents some shift below PERIOD moves both onto it. So two equal windows of WINDOW words share an equal anchor of
 ANCHOR words that starts on the cover in both. Anchors that occur once are settled by their hash; around the others
-the match is extended to whole windows, which are compared by a 128-bit hash and by place.
+the match is extended to whole windows, which are compared by a 96-bit hash and by place.
 
 Each chunk of documents sends only the first of its equal anchors and windows, so a passage that many documents share
 reaches a task once for each chunk. Rows: one for each input row. Null and empty texts have no words; their kept text is
@@ -17,11 +17,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SpanHasher, chunks, numbered, owners, word_spans
-from .exchange import by_row, gathered, groups, packed, task_count, unpacked
+from .exchange import PLACES, groups, one_row_each, placed, row_ids, sent_home, task_count, unpacked
 
 WINDOW = 20
 #: {0, 1, 3, 9} is a difference cover modulo 13.
@@ -30,12 +31,8 @@ ANCHOR = WINDOW - PERIOD + 1
 #: Bytes of text whose anchors one task compares, about.
 TASK_BYTES = 4 << 20
 
-_ENTRY = "task long, row_id array<long>, at array<int>, h1 array<long>, h2 array<long>, many array<boolean>"
-_PLACES = "row_id long, at array<int>"
-
-
-def _signed(h: np.ndarray) -> np.ndarray:
-    return h.view(np.int64)
+_ANCHORS = "task long, base long, low array<int>, at array<int>, hash array<int>, many array<boolean>"
+_WINDOWS = "task long, base long, low array<int>, at array<int>, h1 array<long>, h2 array<int>, known boolean"
 
 
 def _rows(part: pa.RecordBatch) -> np.ndarray:
@@ -53,24 +50,30 @@ def _anchor_entries(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray,
     h, row, at = hashes[places], _rows(part)[doc[places]], at[places].astype(np.int32)
     order, first = groups(h)
     heads = np.flatnonzero(first)
-    many = np.diff(np.r_[heads, len(order)]) > 1
-    send = order[heads]
-    yield packed((h[send] % np.uint64(tasks)).astype(np.int64), row_id=row[send], at=at[send], h1=_signed(h[send]), h2=np.zeros(len(send), np.int64), many=many)
-    here = order[np.repeat(many, np.diff(np.r_[heads, len(order)]))]
-    yield packed(row[here] % tasks, row_id=row[here], at=at[here], h1=np.zeros(len(here), np.int64), h2=np.full(len(here), -1, np.int64), many=np.ones(len(here), bool))
-
-
-def _repeated_anchors(table: pa.Table) -> pa.Table:
-    """Places of anchors that occur more than once; entries whose h2 is -1 are known to and pass."""
-    row, at, h1, h2, many = unpacked(table, "row_id", "at", "h1", "h2", "many")
-    settled = h2 == -1
-    out = [by_row(row[settled], at=at[settled])]
-    row, at, h1, many = row[~settled], at[~settled], h1[~settled], many[~settled]
-    order, first = groups(h1)
+    size = np.diff(np.r_[heads, len(order)])
+    many = np.zeros(len(h), bool)
+    many[order] = np.repeat(size > 1, size)
+    send = np.sort(order[heads])
+    # A task sees few anchors, so 32 bits of the hash that chose the task tell them apart; windows are compared in full.
+    yield placed((h[send] % np.uint64(tasks)).astype(np.int64), row[send], at=at[send], hash=(h[send] >> np.uint64(32)).astype(np.uint32).view(np.int32), many=many[send])
+    here = np.flatnonzero(many)
+    home = placed(row[here] % tasks, row[here], at=at[here])
+    lists = [pa.array([[]] * home.num_rows, pa.list_(pa.int32())), pa.array([[]] * home.num_rows, pa.list_(pa.bool_()))]
+    yield pa.RecordBatch.from_arrays([*home.columns, *lists], names=[*home.schema.names, "hash", "many"])
+
+
+def _repeated_anchors(table: pa.Table, tasks: int) -> pa.Table:
+    """Places of anchors that occur more than once; entries without a hash are known to and pass."""
+    settled = pc.equal(pc.list_value_length(table.column("hash")), 0)
+    passed = table.filter(settled)
+    out = [sent_home(row_ids(passed), unpacked(passed, "at")[0], tasks)]
+    table = table.filter(pc.invert(settled))
+    row, (at, h, many) = row_ids(table), unpacked(table, "at", "hash", "many")
+    order, first = groups(h)
     size = np.diff(np.r_[np.flatnonzero(first), len(order)])
     several = order[np.repeat(size, size) > 1]
-    several = several[~many[several]]
-    return pa.Table.from_batches([*out, by_row(row[several], at=at[several])])
+    several = np.sort(several[~many[several]])
+    return pa.Table.from_batches([*out, sent_home(row[several], at[several], tasks)])
 
 
 def _window_entries(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, tasks: int) -> Iterator[pa.RecordBatch]:
@@ -90,20 +93,27 @@ def _window_entries(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray,
     order = np.lexsort((at, row, h2, h1))
     first = np.ones(len(order), bool)
     first[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
-    send, later = order[first], order[~first]
-    yield packed((h1[send] % np.uint64(tasks)).astype(np.int64), row_id=row[send], at=at[send], h1=_signed(h1[send]), h2=_signed(h2[send]), many=np.zeros(len(send), bool))
-    yield packed(row[later] % tasks, row_id=row[later], at=at[later], h1=np.zeros(len(later), np.int64), h2=np.zeros(len(later), np.int64), many=np.ones(len(later), bool))
-
-
-def _later_windows(table: pa.Table) -> pa.Table:
-    """Places of windows whose words also start earlier; entries marked many are known to and pass."""
-    row, at, h1, h2, many = unpacked(table, "row_id", "at", "h1", "h2", "many")
-    out = [by_row(row[many], at=at[many])]
-    row, at, h1, h2 = row[~many], at[~many], h1[~many], h2[~many]
+    send, later = np.sort(order[first]), np.sort(order[~first])
+    for places, known in ((send, False), (later, True)):
+        task = row[places] % tasks if known else (h1[places] % np.uint64(tasks)).astype(np.int64)
+        batch = placed(task, row[places], at=at[places]) if known else placed(task, row[places], at=at[places], h1=h1[places].view(np.int64), h2=(h2[places] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+        if known:
+            lists = [pa.array([[]] * batch.num_rows, pa.list_(kind)) for kind in (pa.int64(), pa.int32())]
+            batch = pa.RecordBatch.from_arrays([*batch.columns, *lists], names=[*batch.schema.names, "h1", "h2"])
+        yield batch.append_column("known", pa.array(np.full(batch.num_rows, known)))
+
+
+def _later_windows(table: pa.Table, tasks: int) -> pa.Table:
+    """Places of windows whose words also start earlier; rows marked known are such places and pass."""
+    passed = table.filter(table.column("known"))
+    out = [sent_home(row_ids(passed), unpacked(passed, "at")[0], tasks)]
+    table = table.filter(pc.invert(table.column("known")))
+    row, (at, h1, h2) = row_ids(table), unpacked(table, "at", "h1", "h2")
     order = np.lexsort((at, row, h2, h1))
     later = np.zeros(len(order), bool)
     later[1:] = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
-    return pa.Table.from_batches([*out, by_row(row[order][later], at=at[order][later])])
+    later = np.sort(order[later])
+    return pa.Table.from_batches([*out, sent_home(row[later], at[later], tasks)])
 
 
 def _kept(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
@@ -130,7 +140,7 @@ def _kept(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.Rec
 def _with_lists(batch: pa.RecordBatch) -> pa.RecordBatch:
     """Absent lists as empty ones."""
     column = batch.column("at")
-    counts = np.nan_to_num(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)).astype(np.int32)
+    counts = np.nan_to_num(pc.list_value_length(column).to_numpy(zero_copy_only=False)).astype(np.int32)
     lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), column.flatten())
     return batch.set_column(batch.schema.get_field_index("at"), "at", lists)
 
@@ -146,7 +156,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.compute.is_valid(batch.column("at")))
+            batch = batch.filter(pc.is_valid(batch.column("at")))
             for part, data, offsets in chunks(batch):
                 yield from _window_entries(_with_lists(part), data, offsets, tasks)
 
@@ -155,11 +165,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             for part, data, offsets in chunks(batch):
                 yield _kept(_with_lists(part), data, offsets)
 
-    repeated = docs.mapInArrow(anchors, _ENTRY).groupBy("task").applyInArrow(_repeated_anchors, _PLACES)
+    def home(found: DataFrame) -> DataFrame:
+        return found.groupBy("task").applyInArrow(one_row_each, "row_id long, at array<int>")
+
+    repeated = docs.mapInArrow(anchors, _ANCHORS).groupBy("task").applyInArrow(lambda table: _repeated_anchors(table, tasks), PLACES)
     # Both joins are left joins, so that one shuffle of the texts serves them.
-    near = docs.join(gathered(repeated, "at"), "row_id", "left")
-    later = near.mapInArrow(windows, _ENTRY).groupBy("task").applyInArrow(_later_windows, _PLACES)
-    return docs.join(gathered(later, "at"), "row_id", "left").mapInArrow(kept, "row_id long, n_words long, n_removed long, kept binary")
+    near = docs.join(home(repeated), "row_id", "left")
+    later = near.mapInArrow(windows, _WINDOWS).groupBy("task").applyInArrow(lambda table: _later_windows(table, tasks), PLACES)
+    return docs.join(home(later), "row_id", "left").mapInArrow(kept, "row_id long, n_words long, n_removed long, kept binary")
 
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

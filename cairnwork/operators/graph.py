@@ -42,12 +42,13 @@ def levels(edges: DataFrame, most: int = 10_000) -> DataFrame:
     nodes = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
     at = cut(nodes.join(edges.select(F.col("source").alias("node")), "node", "left_anti").withColumn("level", F.lit(0)))
     out = at
-    for level in range(1, most + 1):
+    for _ in range(most):
         # What needs something of the last level moves up to this one.
-        at = cut(edges.join(at.select(F.col("node").alias("target")), "target", "left_semi").select(F.col("source").alias("node")).distinct().withColumn("level", F.lit(level)))
+        above = edges.join(at.select(F.col("node").alias("target"), "level"), "target")
+        at = cut(above.groupBy(F.col("source").alias("node")).agg((F.max("level") + 1).alias("level")))
         if at.isEmpty():
-            return out.groupBy("node").agg(F.max("level").alias("level"))
-        out = out.union(at)
+            return out
+        out = cut(out.join(at.select("node"), "node", "left_anti").union(at))
     raise ValueError("the graph has a cycle or is deeper than the limit")
 
 
@@ -57,8 +58,8 @@ def reachable(edges: DataFrame, roots: DataFrame, most: int | None = None) -> Da
     out, depth = front, 0
     while most is None or depth < most:
         depth += 1
-        step = edges.join(front.select(F.col("node").alias("source")), "source").select(F.col("target").alias("node")).distinct()
-        front = cut(step.join(out.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+        step = edges.join(front.select(F.col("node").alias("source"), "depth"), "source").groupBy(F.col("target").alias("node")).agg((F.min("depth") + 1).alias("depth"))
+        front = cut(step.join(out.select("node"), "node", "left_anti"))
         if front.isEmpty():
             break
         out = cut(out.union(front))
@@ -78,12 +79,11 @@ def prefetch_plan(targets: DataFrame, edges: DataFrame, sizes: DataFrame, cached
     """
     usable = edges.where("kind < 4").join(cached.select(F.col("node").alias("target")), "target", "left_anti").groupBy("source", "target").agg(F.min("kind").alias("kind"))
     front = cut(targets.join(cached.select("node"), targets.target == cached.node, "left_anti").select("target", F.col("target").alias("node"), F.lit(0).alias("depth"), F.lit(0).alias("priority")))
-    out, depth = front, 0
+    out = front
     while True:
-        depth += 1
         onward = usable.select(F.col("source").alias("node"), F.col("target").alias("next"), "kind")
-        step = front.join(onward, "node").groupBy("target", F.col("next").alias("node")).agg(F.min("kind").alias("priority"))
-        front = cut(step.join(out.select("target", "node"), ["target", "node"], "left_anti").select("target", "node", F.lit(depth).alias("depth"), "priority"))
+        step = front.join(onward, "node").groupBy("target", F.col("next").alias("node")).agg((F.min("depth") + 1).alias("depth"), F.min("kind").alias("priority"))
+        front = cut(step.join(out.select("target", "node"), ["target", "node"], "left_anti").select("target", "node", "depth", "priority"))
         if front.isEmpty():
             break
         out = cut(out.union(front))

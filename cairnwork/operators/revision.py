@@ -26,9 +26,9 @@ def common_ancestors(pairs: DataFrame, lineage: DataFrame, revisions: DataFrame)
 
 def effective(heads: DataFrame, lineage: DataFrame, changes: DataFrame) -> DataFrame:
     """(head, cell, rev, amount): the state of each cell at a head is its change nearest to it."""
-    reach = lineage.join(heads, lineage.rev == heads.head).select("head", F.col("ancestor").alias("rev"), "depth").union(heads.select("head", F.col("head").alias("rev"), F.lit(0)))
+    reach = lineage.join(heads, F.col("rev") == F.col("head")).select("head", F.col("ancestor").alias("rev"), "depth").union(heads.select("head", F.col("head").alias("rev"), F.lit(0)))
     seen = changes.join(reach, "rev")
-    nearest = F.min_by(F.struct("rev", "amount"), F.struct("depth", "line"))
+    nearest = F.min_by(F.struct("rev", "amount"), F.struct("depth", "line", "amount"))
     return seen.groupBy("head", "cell").agg(nearest.alias("last")).select("head", "cell", "last.rev", "last.amount")
 
 

@@ -51,7 +51,7 @@ def usage(log: DataFrame) -> DataFrame:
 
 def running(log: DataFrame) -> DataFrame:
     so_far = W.partitionBy("cell").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return log.select("seq", "cell", F.round(F.avg("value").over(so_far), 6).alias("mean_value"), F.round(F.avg("success").over(so_far), 6).alias("success_rate"))
+    return log.select("seq", "cell", F.round(F.avg("value").over(so_far), 9).alias("mean_value"), F.round(F.avg("success").over(so_far), 9).alias("success_rate"))
 
 
 def edges(log: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def rev_commit_ids(t):
     return t.revisions.join(lists, "rev", "left").select("rev", content_hash(text).alias("id"))
 
 
-_EFFECTIVE = f"{_LINE}, heads AS ({_HEADS}), reach AS (SELECT l.rev AS head, l.ancestor AS rev, l.depth FROM line l JOIN heads h ON h.head = l.rev UNION ALL SELECT head, head, 0 FROM heads), state AS (SELECT head, cell, rev, amount FROM (SELECT x.head, c.cell, x.rev, c.amount, ROW_NUMBER() OVER (PARTITION BY x.head, c.cell ORDER BY x.depth, c.line) AS n FROM reach x JOIN {{rev_cells}} c ON c.rev = x.rev) s WHERE n = 1)"
+_EFFECTIVE = f"{_LINE}, heads AS ({_HEADS}), reach AS (SELECT l.rev AS head, l.ancestor AS rev, l.depth FROM line l JOIN heads h ON h.head = l.rev UNION ALL SELECT head, head, 0 FROM heads), state AS (SELECT head, cell, rev, amount FROM (SELECT x.head, c.cell, x.rev, c.amount, ROW_NUMBER() OVER (PARTITION BY x.head, c.cell ORDER BY x.depth, c.line, c.amount) AS n FROM reach x JOIN {{rev_cells}} c ON c.rev = x.rev) s WHERE n = 1)"
 
 
 @query(f"{_EFFECTIVE} SELECT head, cell, rev, amount FROM state")
@@ -81,11 +81,11 @@ def _tips(t):
     revs = t.revisions
     base = revs.where("parent is null").select("branch", "rev")
     later = revs.where("parent is not null")
-    last = lambda df: df.join(t.rev_cells, "rev").groupBy("branch", "cell").agg(F.max_by("amount", F.struct("rev", "line")).alias("amount"))
+    last = lambda df: df.join(t.rev_cells, "rev").groupBy("branch", "cell").agg(F.max_by("amount", F.struct("rev", "line", "amount")).alias("amount"))
     return last(base), last(later.where("priority like '1%'")), last(later.where("priority not like '1%'"))
 
 
-_SIDE = "SELECT branch, cell, amount FROM (SELECT r.branch, c.cell, c.amount, ROW_NUMBER() OVER (PARTITION BY r.branch, c.cell ORDER BY r.rev DESC, c.line DESC) AS n FROM revs r JOIN {rev_cells} c ON c.rev = r.rev WHERE <w>) s WHERE n = 1"
+_SIDE = "SELECT branch, cell, amount FROM (SELECT r.branch, c.cell, c.amount, ROW_NUMBER() OVER (PARTITION BY r.branch, c.cell ORDER BY r.rev DESC, c.line DESC, c.amount DESC) AS n FROM revs r JOIN {rev_cells} c ON c.rev = r.rev WHERE <w>) s WHERE n = 1"
 _SIDES = "WITH revs AS (SELECT * FROM {revisions}), base AS (" + _SIDE.replace("<w>", "r.parent IS NULL") + "), a AS (" + _SIDE.replace("<w>", "r.parent IS NOT NULL AND r.priority LIKE '1%'") + "), b AS (" + _SIDE.replace("<w>", "r.parent IS NOT NULL AND r.priority NOT LIKE '1%'") + ")"
 
 

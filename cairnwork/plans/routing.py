@@ -55,7 +55,7 @@ def routing_cell_stats(t):
     return ops.usage(t.access_log)
 
 
-@query("SELECT seq, cell, ROUND(AVG(value) OVER w, 6) AS mean_value, ROUND(AVG(success) OVER w, 6) AS success_rate FROM {access_log} WINDOW w AS (PARTITION BY cell ORDER BY seq ROWS UNBOUNDED PRECEDING)")
+@query("SELECT seq, cell, ROUND(AVG(value) OVER w, 9) AS mean_value, ROUND(AVG(success) OVER w, 9) AS success_rate FROM {access_log} WINDOW w AS (PARTITION BY cell ORDER BY seq ROWS UNBOUNDED PRECEDING)")
 def routing_running_avg(t):
     return ops.running(t.access_log)
 

@@ -11,14 +11,14 @@ _WIDENING = catalogs.values_sql([(a, b) for a, bs in catalogs.WIDENING.items() f
 _DTYPES = catalogs.values_sql([(i + 1, n, b) for i, (n, b) in enumerate(catalogs.DTYPES)], "code", "name", "bytes")
 _CATEGORY = "CASE " + " ".join(f"WHEN type_code BETWEEN {a} AND {b} THEN '{n}'" for a, b, n in catalogs.CATEGORIES) + " ELSE 'Reserved' END"
 _NAMES = catalogs.values_sql([(first + k, n) for first, ns in catalogs.CELL_TYPES.items() for k, n in enumerate(ns.split())], "code", "name")
-_PROBES = ["model.embed_tokens.weight", "layers.{n}.self_attn.q_proj", "blk.{n}.attn_q.weight", "model.layers.{n}.mlp.gate_proj.weight", "h.{n}.ln_1.weight", "model.layers.{n}.post_attention_layernorm.weight", "blk.{n}.ffn_up.3.weight", "model.norm.bias", "experts.{n}.gate_w", "../{n}", "a/{n}", "lm_head.weight"]
-_TENSORS = "(SELECT p_partkey, REPLACE(CASE p_partkey % 12 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_PROBES)) + " END, '{n}', CAST(p_partkey AS STRING)) AS name FROM {part})"
+_PROBES = ["model.embed_tokens.weight", "layers.<n>.self_attn.q_proj", "blk.<n>.attn_q.weight", "model.layers.<n>.mlp.gate_proj.weight", "h.<n>.ln_1.weight", "model.layers.<n>.post_attention_layernorm.weight", "blk.<n>.ffn_up.3.weight", "model.norm.bias", "experts.<n>.gate_w", "../<n>", "a/<n>", "lm_head.weight"]
+_TENSORS = "(SELECT p_partkey, REPLACE(CASE p_partkey % 12 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_PROBES)) + " END, '<n>', CAST(p_partkey AS STRING)) AS name FROM {part})"
 _has = lambda *ps: "(" + " OR ".join(f"low LIKE '%{p.replace('_', chr(92) + '_')}%' ESCAPE '{chr(92)}'" for p in ps) + ")"
 
 
 def _tensors(t):
     probe = F.element_at(F.array(*map(F.lit, _PROBES)), (F.col("p_partkey") % 12 + 1).cast("int"))
-    return t.part.select("p_partkey", F.replace(probe, F.lit("{n}"), F.col("p_partkey").cast("string")).alias("name"))
+    return t.part.select("p_partkey", F.replace(probe, F.lit("<n>"), F.col("p_partkey").cast("string")).alias("name"))
 
 
 @query(f"SELECT {_CATEGORY} AS category, COUNT(*) AS cells FROM {{cells}} GROUP BY 1")
@@ -121,10 +121,10 @@ def halt_reason(t):
     return t.orders.select("o_orderkey", reason.alias("reason"))
 
 
-@query("SELECT o_orderkey, ROUND(o_totalprice / 400000e0, 6) AS utilization, CASE o_orderkey % 3 WHEN 0 THEN 2e-1 WHEN 1 THEN 1e0 ELSE 5e0 END AS multiplier, CAST(CASE o_orderkey % 3 WHEN 0 THEN 4 WHEN 1 THEN 13 ELSE 20 END AS BIGINT) AS depth FROM {orders}")
+@query("SELECT o_orderkey, ROUND(o_totalprice / 400000e0, 9) AS utilization, CASE o_orderkey % 3 WHEN 0 THEN 2e-1 WHEN 1 THEN 1e0 ELSE 5e0 END AS multiplier, CAST(CASE o_orderkey % 3 WHEN 0 THEN 4 WHEN 1 THEN 13 ELSE 20 END AS BIGINT) AS depth FROM {orders}")
 def budget_utilization(t):
     hard = F.element_at(F.array(*map(F.lit, ("Easy", "Medium", "Hard"))), (F.col("o_orderkey") % 3 + 1).cast("int"))
-    return t.orders.select("o_orderkey", F.round(F.col("o_totalprice") / 400000.0, 6).alias("utilization"), scalars.budget_multiplier(hard).alias("multiplier"), scalars.target_depth(hard, F.lit(2), F.lit(25)).cast("long").alias("depth"))
+    return t.orders.select("o_orderkey", F.round(F.col("o_totalprice") / 400000.0, 9).alias("utilization"), scalars.budget_multiplier(hard).alias("multiplier"), scalars.target_depth(hard, F.lit(2), F.lit(25)).cast("long").alias("depth"))
 
 
 @query(

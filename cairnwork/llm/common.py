@@ -31,7 +31,14 @@ def ensure_shared_dir(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """The frame with its lineage cut by a reliable checkpoint, which outlives executors."""
     ensure_shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # A checkpoint keeps what is known of its rows; over many rounds that grows past what can be compiled.
+    conf, key = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
+    before = conf.get(key)
+    conf.set(key, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        conf.set(key, before)
 
 
 def null_safe_text(column: str = "text") -> Column:

@@ -35,9 +35,9 @@ def rev_is_ancestor(t):
     return asked.join(line, ["descendant", "asked"], "left").select("descendant", "asked", F.coalesce("found", F.lit(False)).alias("is_ancestor"))
 
 
-@query(f"{_LINE}, pairs AS (SELECT h.head AS a, r.parent AS b FROM ({_HEADS}) h JOIN revs r ON r.rev = h.head WHERE r.parent IS NOT NULL) SELECT a, b, b AS ancestor FROM pairs")
+@query(f"{_LINE}, pairs AS (SELECT h.head AS a, r.parent AS b FROM ({_HEADS}) h JOIN revs r ON r.rev = h.head WHERE r.parent IS NOT NULL) SELECT a, b, ancestor FROM (SELECT p.a, p.b, x.ancestor, ROW_NUMBER() OVER (PARTITION BY p.a, p.b ORDER BY r.ts DESC, x.ancestor) AS n FROM pairs p JOIN (SELECT rev, ancestor FROM line UNION ALL SELECT rev, rev FROM revs) x ON x.rev = p.b JOIN revs r ON r.rev = x.ancestor) y WHERE n = 1")
 def rev_common_ancestor(t):
-    """Of each branch's head and its parent: on a line that is the parent."""
+    """Of each branch's head and its parent: the latest revision that both have behind them or are."""
     revisions = t.revisions
     pairs = _heads(t).join(revisions, F.col("head") == F.col("rev")).where("parent is not null").select(F.col("head").alias("a"), F.col("parent").alias("b"))
     return revision.common_ancestors(pairs, revision.ancestors(revisions), revisions)

@@ -239,4 +239,17 @@ def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_suffix": op2_suffix}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_suffix": """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+k AS (SELECT doc_id, unnest(list_transform(range(0, greatest(len(h) // 2 - 199, 0)), lambda i: struct_pack(p := i, win := md5(substr(h, CAST(2 * i + 1 AS BIGINT), 400))))) AS x FROM h),
+f AS (SELECT doc_id, x.p AS p, count(*) OVER (PARTITION BY x.win) AS n FROM k),
+s AS (SELECT doc_id, p, CASE WHEN p > lag(p) OVER d + 200 THEN 1 ELSE 0 END AS new FROM f WHERE n > 1 WINDOW d AS (PARTITION BY doc_id ORDER BY p)),
+i AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM s),
+r AS (SELECT doc_id, min(p) AS a, max(p) + 200 AS b FROM i GROUP BY doc_id, run),
+q AS (SELECT r.doc_id, a, b, substr(h, CAST(2 * lag(b, 1, 0) OVER d + 1 AS BIGINT), CAST(2 * (a - lag(b, 1, 0) OVER d) AS BIGINT)) AS piece FROM r JOIN h ON h.doc_id = r.doc_id WINDOW d AS (PARTITION BY r.doc_id ORDER BY a)),
+g AS (SELECT doc_id, string_agg(piece, '' ORDER BY a) AS kept, max(b) AS last, sum(b - a) AS n_removed, count(*) AS n_spans FROM q GROUP BY doc_id)
+SELECT h.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+sha256(unhex(coalesce(kept, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256 FROM h LEFT JOIN g ON g.doc_id = h.doc_id
+"""
+}

@@ -119,9 +119,23 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    out = mixed.select("doc_id", "size", "source_size", "target", "taken", "position")
+    out = mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
     return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_mixing": op3_mixing}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_mixing": r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(concat_ws(chr(31), CAST(doc_id AS VARCHAR), md5(coalesce(text, '')), source)) AS turn FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM d GROUP BY source),
+r AS (SELECT *, [5e0, 2e0, 1e0][nth % 3 + 1] AS weight, [-5e-1, 0e0, 5e-1][nth % 3 + 1] AS lean, source_size * 3e0 AS cap FROM s),
+l AS (SELECT *, (sum(source_size) OVER () - (sum(cap) OVER o - cap)) / (sum(weight) OVER () - sum(weight) OVER o + weight) AS level FROM r WINDOW o AS (ORDER BY cap / weight, nth ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT source, source_size, lean, least(cap, coalesce((SELECT level FROM l WHERE level * weight <= cap ORDER BY cap / weight, nth LIMIT 1) * weight, cap)) AS target FROM l),
+p AS (SELECT d.doc_id, d.source, d.size, d.turn, t.source_size, t.target, t.lean, CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY CAST('0x' || substr(d.turn, 1, 6) AS INT) % 1024, d.turn, d.doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS start FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source),
+c AS (SELECT *, CASE WHEN size > 0 THEN CAST(least(greatest(floor((target - start - size / 2e0) / source_size) + 1, 0), 3) AS BIGINT) ELSE 0 END AS copies FROM p),
+e AS (SELECT *, target - sum(copies * size) OVER (PARTITION BY source) AS gap FROM c),
+f AS (SELECT *, CASE WHEN size > 0 AND CASE WHEN gap > 0 THEN copies < 3 ELSE copies > 0 END AND size < 2 * abs(gap) THEN row_number() OVER (PARTITION BY source, size > 0 AND CASE WHEN gap > 0 THEN copies < 3 ELSE copies > 0 END AND size < 2 * abs(gap) ORDER BY abs(size - abs(gap)), turn, doc_id, start) END AS nth FROM e),
+m AS (SELECT *, copies + CASE WHEN nth = 1 THEN CAST(sign(gap) AS BIGINT) ELSE 0 END AS final FROM f)
+SELECT doc_id, size, source_size, target, CAST(final * size AS BIGINT) AS taken, CASE WHEN final > 0 THEN round(CASE WHEN lean = 0 THEN least(start / target, 1e0) ELSE (sqrt(greatest((1 - lean) * (1 - lean) + 4 * lean * least(start / target, 1e0), 0e0)) - (1 - lean)) / (2 * lean) END, 9) + 0e0 END AS position FROM m
+"""
+}

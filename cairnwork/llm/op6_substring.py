@@ -181,4 +181,14 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_substring": op6_substring}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_substring": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+k AS (SELECT doc_id, unnest(list_transform(range(0, greatest(len(ws) - 19, 0)), lambda i: struct_pack(p := i, win := array_to_string(ws[i + 1:i + 20], ' ')))) AS x FROM w),
+f AS (SELECT doc_id, x.p AS p, row_number() OVER (PARTITION BY x.win ORDER BY doc_id, x.p) AS nth FROM k),
+g AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS i FROM f WHERE nth > 1),
+t AS (SELECT doc_id, unnest(ws) AS word, unnest(range(0, len(ws))) AS i FROM w),
+r AS (SELECT t.doc_id, count(g.i) AS n_removed, string_agg(CASE WHEN g.i IS NULL THEN word END, ' ' ORDER BY t.i) AS kept FROM t LEFT JOIN g ON g.doc_id = t.doc_id AND g.i = t.i GROUP BY t.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN r ON r.doc_id = w.doc_id
+"""
+}

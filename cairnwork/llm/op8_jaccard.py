@@ -193,4 +193,14 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_jaccard": op8_jaccard}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_jaccard": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] ELSE list_transform(range(0, greatest(len(ws) - 4, 1)), lambda i: array_to_string(ws[i + 1:i + 5], ' ')) END) AS gram FROM w),
+n AS (SELECT doc_id, count(*) AS size FROM g GROUP BY doc_id),
+links AS (SELECT x.a, x.b FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS common FROM g p JOIN g q ON q.gram = p.gram AND q.doc_id <> p.doc_id GROUP BY 1, 2) x JOIN n m ON m.doc_id = x.a JOIN n o ON o.doc_id = x.b WHERE 9 * common >= 4 * (m.size + o.size)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+c AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a)
+SELECT c.doc_id, c.class_id, (SELECT count(*) FROM links l WHERE l.a = c.doc_id) AS n_links FROM c
+"""
+}

@@ -153,11 +153,12 @@ def representation_policy(t):
     return t.cells.select("cell_id", (accuracy * (1 - F.col("stored_size") / (F.col("size") * 2.0))).alias("score"), F.col("dtype_code").isin(1, 3).alias("strict_ok"), F.col("dtype_code").isin(2, 3, 4, 5).alias("balanced_ok"))
 
 
-@query("SELECT sha256(string_agg(tile_hash, '' ORDER BY tile_hash)) AS manifest, COUNT(*) AS tiles FROM (SELECT DISTINCT sha256(payload) AS tile_hash FROM {tiles} WHERE payload IS NOT NULL) x WHERE substring(tile_hash, 1, 1) = '0'")
+@query("SELECT shard, sha256(string_agg(tile_hash, '' ORDER BY tile_hash)) AS manifest, COUNT(*) AS tiles FROM (SELECT DISTINCT substring(sha256(payload), 1, 3) AS shard, sha256(payload) AS tile_hash FROM {tiles} WHERE payload IS NOT NULL) x GROUP BY shard")
 def manifest_hash(t):
-    """The manifest of one shard of the store (hashes that begin with 0); a store's manifest is the list of its shards'."""
-    hashes = t.tiles.where("payload is not null").select(scalars.content_hash(F.col("payload")).alias("tile_hash")).where("tile_hash like '0%'").distinct()
-    return hashes.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("tile_hash")), ""), 256).alias("manifest"), F.count("*").alias("tiles"))
+    """The manifest of each of 4096 shards of the store; the store's manifest lists theirs."""
+    hashes = t.tiles.where("payload is not null").select(scalars.content_hash(F.col("payload")).alias("tile_hash")).distinct()
+    shards = hashes.groupBy(F.substring("tile_hash", 1, 3).alias("shard"))
+    return shards.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("tile_hash")), ""), 256).alias("manifest"), F.count("*").alias("tiles"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY sha256(CAST(l_partkey AS STRING) || '|' || CAST(l_suppkey AS STRING)), l_linenumber) AS n FROM {lineitem}) x WHERE n = 1")

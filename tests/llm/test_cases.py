@@ -242,7 +242,7 @@ def test_media(spark):
     for tile in (op7_media.TILE, 2):
         got = {x.row_id: x for x in op7_media.copies(frame, tile=tile).collect()}
         assert [got[i].class_id for i in range(10)] == [0, 1, 0, 0, 0, 0, 6, 7, 8, 9]
-        assert got[0].n_links == 4 and got[1].n_links == 0 and got[9].n_corners == 0
+        assert got[0].n_equal == 2 and got[1].n_equal == 1 and got[9].n_corners == 0
     assert op7_media.copies(frame.limit(0)).count() == 0
     drawn = op7_media.drawn(spark.createDataFrame([(1, None), (2, ""), (3, "w " * 50)], "row_id long, html string"), "html").orderBy("row_id").collect()
     assert [x.image is None for x in drawn] == [True, True, False]

@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows_each: int | None = None) -> DataFrame:
     """(node, label) of every node in edges (a, b): the label is the least node of its component.
 
     Each round writes its edges to the shared folder; the number of rounds grows with the logarithm of the nodes.
+    With rows_each, few edges go on in few partitions (one for so many rows), whatever the shuffles' number is.
     """
+    few = lambda df: df.coalesce(max(1, -(-mark[0] // rows_each))) if rows_each and mark else df
+    mark = None
     stars = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     stars, seen = cut(stars), None
     while True:
@@ -20,10 +23,11 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen or not mark[0]:
             break
         seen = mark
+        stars = few(stars)
         both = stars.select("a", "b").union(stars.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = few(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least).distinct()
-        stars = cut(small)
+        small = few(large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least)).distinct()
+        stars = cut(few(small))
     return stars.select(F.col("a").alias("node"), F.col("b").alias("label")).union(stars.select("b", "b").distinct())

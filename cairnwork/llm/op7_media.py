@@ -1,12 +1,11 @@
 """Near-copy detection in a media column by local image descriptors.
 
 Corners of an image at two scales get a 128-bit descriptor: brightness tests of point pairs in a patch, turned to the
-patch's own orientation. A descriptor is cut into substrings; the tables of a Hamming join tie images that share a
-substring's value to the least image of that value, and images tied often enough form candidate groups. Within a
-group images are compared on all descriptors until each has its class: pairs of near descriptors vote for a turn, a
-scale and a shift, and enough votes for one of them (the geometric consensus) make the images copies of one another,
-cropped or edited as they may be. Two images that already share a class, or that share fewer than
-TIES table values, are not compared.
+patch's own orientation. A descriptor is cut into substrings; every two images that share the values of at least TIES
+substrings, in whichever tables, are compared on all descriptors: pairs of near descriptors vote for a turn, a scale
+and a shift, and enough votes for one of them (the geometric consensus) make the images copies of one another, cropped
+or edited as they may be. Nothing else decides a link. Values must agree in all their 32 bits: images whose corners
+all differ in some bit of every substring do not meet, near as they may be.
 
 Images are binary grey maps (P5). Rows: one for each input row. Null, empty and broken images, and images without
 corners, are linked to nothing and are classes of their own; equal bytes are copies in any case. Repeated rows count
@@ -34,9 +33,13 @@ BITS, SUBSTRINGS = 128, 4
 NEAR = 24
 #: Corners that must agree on one turn, scale and shift.
 CONSENSUS = 5
-#: Values of tables that two images must share to be candidates.
-TIES = 8
+#: Values of tables that two images must share to be compared: any pair may share one by chance, and such pairs grow with the square of the images.
+TIES = 2
+#: Values that two images share which are best compared in one task.
+CLOSE = 8
 TILE = 256
+#: Images of one value whose pairs are counted at once, and pairs that are held before they are counted.
+HOT, PAIRS = 256, 1 << 22
 #: Edges in one partition while components are found.
 EDGES_EACH = 50_000
 _MARGIN = 8
@@ -176,6 +179,14 @@ def consensus(places_a: np.ndarray, bits_a: np.ndarray, places_b: np.ndarray, bi
     return best
 
 
+def linked_by(places_a: np.ndarray, bits_a: np.ndarray, places_b: np.ndarray, bits_b: np.ndarray) -> bool:
+    """Whether consensus() is enough. Corners that both have at one place with one descriptor agree on standing still, so enough of these settle it."""
+    if min(len(bits_a), len(bits_b)) < CONSENSUS:
+        return False
+    keys = [np.c_[b.view(np.uint64), p.astype(np.float32).view(np.uint64)].view("V32").ravel().tolist() for p, b in ((places_a, bits_a), (places_b, bits_b))]
+    return len(set(keys[0]).intersection(keys[1])) >= CONSENSUS or consensus(places_a, bits_a, places_b, bits_b) >= CONSENSUS
+
+
 def packed_places(places: np.ndarray) -> bytes:
     """x and y as 16 bits, scale and angle (in 256 steps) as 8 bits each: six bytes a corner."""
     out = np.zeros(len(places), [("x", "<u2"), ("y", "<u2"), ("s", "u1"), ("a", "u1")])
@@ -201,8 +212,60 @@ def descriptors(images: DataFrame, column: str = "image") -> DataFrame:
     return keyed.mapInArrow(run, "row_id long, md5 binary, places binary, bits binary")
 
 
-def tied_images(described: DataFrame, ties: int) -> DataFrame:
-    """(a, b): images that share at least so many tables' values with the least image of those values."""
+def _all_pairs(table: pa.Table, hot: int) -> pa.Table:
+    """(a, b, shared): every two images of each value that at most so many images have, and how many values they share here."""
+    row, (value,) = row_ids(table), unpacked(table, "value")
+    names, row = np.unique(row, return_inverse=True)
+    order = np.lexsort((row, value))
+    row, value = row[order], value[order]
+    heads = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(row) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[heads, len(row)])
+    keys, times, waiting, held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+    def counted() -> tuple[np.ndarray, np.ndarray]:
+        every = np.concatenate([keys, *waiting])
+        out, at = np.unique(every, return_inverse=True)
+        return out, np.bincount(at, np.r_[times, np.ones(len(every) - len(times), np.int64)], len(out)).astype(np.int64)
+
+    for n in np.unique(size[(size > 1) & (size <= hot)]):
+        i, j = np.triu_indices(n, 1)
+        at, step = heads[size == n], max(1, PAIRS // len(i))
+        for lo in range(0, len(at), step):
+            members = row[at[lo : lo + step, None] + np.arange(n)]
+            waiting.append((members[:, i] * len(names) + members[:, j]).ravel())
+            held += waiting[-1].size
+            if held >= PAIRS:
+                (keys, times), waiting, held = counted(), [], 0
+    keys, times = counted()
+    return pa.table({"a": names[keys // max(1, len(names))], "b": names[keys % max(1, len(names))], "shared": times})
+
+
+def _hot_tiles(table: pa.Table, hot: int) -> pa.Table:
+    """(low, high): the images of each value that more have, in tiles of so many, every two tiles as a row."""
+    row, (value,) = row_ids(table), unpacked(table, "value")
+    order = np.lexsort((row, value))
+    row, value = row[order], value[order]
+    heads = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(row) else np.zeros(0, np.int64)
+    low, high = [], []
+    for lo, n in zip(heads, np.diff(np.r_[heads, len(row)]), strict=True):
+        if n > hot:
+            tiles = [row[at : min(at + hot, lo + n)] for at in range(lo, lo + n, hot)]
+            for i, left in enumerate(tiles):
+                low += [left] * (len(tiles) - i)
+                high += tiles[i:]
+    return pa.table({"low": pa.array(low, pa.list_(pa.int64())), "high": pa.array(high, pa.list_(pa.int64()))})
+
+
+def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low, high in zip(batch.column(0), batch.column(1), strict=True):
+            a, b = (x.values.to_numpy() for x in (low, high))
+            a, b = np.repeat(a, len(b)), np.tile(b, len(a))
+            yield pa.RecordBatch.from_arrays([pa.array(a[a < b]), pa.array(b[a < b]), pa.array(np.ones((a < b).sum(), np.int64))], names=["a", "b", "shared"])
+
+
+def candidate_pairs(described: DataFrame, ties: int = TIES, hot: int = HOT) -> DataFrame:
+    """(a, b, shared), a < b: every two images that share at least so many tables' values, whichever other images have them."""
     tasks = max(2 * int(described.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(described.count() / 4096))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,82 +282,47 @@ def tied_images(described: DataFrame, ties: int) -> DataFrame:
             task = (value * np.uint32(0x9E3779B1) >> np.uint32(8)).astype(np.int64) % tasks * SUBSTRINGS + table
             yield placed(task, row, value=value.view(np.int32))
 
-    def tie(table: pa.Table) -> pa.Table:
-        row, (value,) = row_ids(table), unpacked(table, "value")
-        order = np.lexsort((row, value))
-        row, value = row[order], value[order]
-        heads = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(row) else np.zeros(0, np.int64)
-        least = np.repeat(row[heads], np.diff(np.r_[heads, len(row)]))
-        a, b = row[row != least], least[row != least]
-        order, first = groups(a, b)
-        shared = np.diff(np.r_[np.flatnonzero(first), len(order)])
-        return pa.table({"a": a[order[first]], "b": b[order[first]], "shared": shared.astype(np.int64)})
-
     sent = described.select("row_id", "bits").mapInArrow(send, "task long, base long, low array<int>, value array<int>")
-    pairs = sent.groupBy("task").applyInArrow(tie, "a long, b long, shared long")
-    return pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= ties).select("a", "b")
-
-
-def _shared_values(bits: list[np.ndarray]) -> np.ndarray:
-    """(images, images): how many tables' values each two images share, counted in blocks of values."""
-    owner = np.repeat(np.arange(len(bits)), [len(b) * SUBSTRINGS for b in bits])
-    value = np.concatenate([(b.view(np.uint32).astype(np.int64) + (np.arange(SUBSTRINGS, dtype=np.int64) << 32)).ravel() for b in bits])
-    value, owner = np.unique(np.stack([value, owner]), axis=1)
-    _, number, times = np.unique(value, return_inverse=True, return_counts=True)
-    owner, number = owner[times[number] > 1], number[times[number] > 1]
-    _, number = np.unique(number, return_inverse=True)
-    shared = np.zeros((len(bits), len(bits)), np.float32)
-    for lo in range(0, int(number[-1]) + 1 if len(number) else 0, 4096):
-        a, b = np.searchsorted(number, (lo, lo + 4096))
-        block = np.zeros((len(bits), int(number[b - 1]) - lo + 1), np.float32)
-        block[owner[a:b], number[a:b] - lo] = 1
-        shared += block @ block.T
-    return shared
-
-
-def _linked_to(group: pd.DataFrame, ties: int) -> np.ndarray:
-    """For each image the first one of the group that links reach. What has a class is compared with what has none only, and only where they share enough values."""
+    schema = "a long, b long, shared long"
+    few = sent.groupBy("task").applyInArrow(lambda table: _all_pairs(table, hot), schema)
+    many = sent.groupBy("task").applyInArrow(lambda table: _hot_tiles(table, hot), "low array<long>, high array<long>").repartition(tasks).mapInArrow(_crossed, schema)
+    return few.union(many).groupBy("a", "b").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= ties)
+
+
+def meetings(pairs: DataFrame, tile: int) -> DataFrame:
+    """(task, row_id, others): the images that each task needs, and those that it compares each one with. Images with many common values mostly meet in one task; a large group is cut into tiles."""
+    both = pairs.select(F.col("a").alias("row_id"), F.col("b").alias("other"), "shared").union(pairs.select("b", "a", "shared"))
+    home = both.groupBy("row_id").agg(F.least("row_id", F.min(F.when(F.col("shared") >= CLOSE, F.col("other")))).alias("home"))
+    sizes = home.groupBy("home").agg(F.count("*").alias("size"))
+    buckets = max(2 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * pairs.count() / tile))
+    parts = F.ceil(F.col("size") / tile)
+    tiles = home.join(sizes, "home").select("row_id", F.when(parts > 1, F.xxhash64("home", F.pmod(F.xxhash64("row_id"), parts))).otherwise(F.pmod(F.xxhash64("home"), F.lit(buckets))).alias("tile"))
+    tiles = cut(tiles)
+    met = pairs.join(tiles.select(F.col("row_id").alias("a"), F.col("tile").alias("x")), "a").join(tiles.select(F.col("row_id").alias("b"), F.col("tile").alias("y")), "b")
+    met = met.select("a", "b", F.xxhash64(F.least("x", "y"), F.greatest("x", "y")).alias("task"))
+    asked = met.select("task", F.col("a").alias("row_id"), F.col("b").alias("other")).union(met.select("task", "b", F.lit(None).cast("long")))
+    return asked.groupBy("task", "row_id").agg(F.collect_list("other").alias("others"))
+
+
+def _links(group: pd.DataFrame) -> pd.DataFrame:
+    """(a, b) of the pairs whose consensus is enough."""
+    at = {row: i for i, row in enumerate(group.row_id)}
     places = [unpacked_places(p) for p in group.places]
     bits = [np.frombuffer(b, np.uint8).reshape(-1, BITS // 8) for b in group.bits]
-    candidates = _shared_values(bits) >= ties
-    label, loose = np.arange(len(group)), np.ones(len(group), bool)
-    for seed in range(len(group)):
-        front = [seed] if loose[seed] else []
-        while front:
-            i = front.pop()
-            loose[i] = False
-            for j in np.flatnonzero(candidates[i] & loose):
-                if consensus(places[i], bits[i], places[j], bits[j]) >= CONSENSUS:
-                    label[j], loose[j] = seed, False
-                    front.append(int(j))
-    return label
+    pairs = [(i, at[other]) for i, others in enumerate(group.others) for other in others]
+    linked = np.array([(i, j) for i, j in pairs if linked_by(places[i], bits[i], places[j], bits[j])], np.int64).reshape(-1, 2)
+    return pd.DataFrame({"a": group.row_id.to_numpy()[linked[:, 0]], "b": group.row_id.to_numpy()[linked[:, 1]]})
 
 
 def copies(images: DataFrame, column: str = "image", ties: int = TIES, tile: int = TILE) -> DataFrame:
     """(row_id, class_id, n_equal, n_corners) for images (row_id unique, image binary); n_equal counts rows of the same bytes."""
-    spark = images.sparkSession
     every = cut(descriptors(images, column))
     classes = cut(every.where("md5 is not null").groupBy("md5").agg(F.min("row_id").alias("rep"), F.count("*").alias("n")))
     described = every.drop("md5").join(classes.select(F.col("rep").alias("row_id")), "row_id", "left_semi")
-    groups_ = components(tied_images(described, ties), EDGES_EACH)
-    groups_ = cut(groups_.select(F.col("node").alias("row_id"), F.col("label").alias("piece")))
-    sizes = groups_.groupBy("piece").agg(F.count("*").alias("size"))
-    last = F.ceil(F.col("size") / tile).cast("int") - 1
-    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(groups_.count() / tile))
-    members = groups_.join(sizes, "piece").withColumn("own", F.pmod(F.xxhash64("row_id"), last + 1).cast("int"))
-    met = members.select("row_id", "piece", "own", F.explode(F.sequence(F.lit(0), last)).alias("other"), (last > 0).alias("large"))
-    key = F.when(F.col("large"), F.concat_ws(":", "piece", F.least("own", "other"), F.greatest("own", "other"))).otherwise(F.pmod(F.xxhash64("piece"), F.lit(buckets)).cast("string"))
-    rows = met.select("row_id", "piece", key.alias("task")).distinct().join(described.select("row_id", "places", "bits"), "row_id")
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, g in frame.groupby("piece", sort=False):
-            g = g.sort_values("row_id", ignore_index=True)
-            out.append(pd.DataFrame({"row_id": g.row_id, "to": g.row_id.to_numpy()[_linked_to(g, ties)]}))
-        return pd.concat(out)
-
-    found = rows.groupBy("task").applyInPandas(run, "row_id long, to long").where("row_id != to")
-    label = components(found.select(F.col("row_id").alias("a"), F.col("to").alias("b")), EDGES_EACH).withColumnsRenamed({"node": "row_id", "label": "class_id"})
+    pairs = cut(candidate_pairs(described, ties))
+    rows = meetings(pairs, tile).join(described.select("row_id", "places", "bits"), "row_id")
+    links = cut(rows.groupBy("task").applyInPandas(_links, "a long, b long"))
+    label = components(links, EDGES_EACH).withColumnsRenamed({"node": "row_id", "label": "class_id"})
     corners_of = described.select("row_id", (F.length("bits") / (BITS // 8)).cast("int").alias("n_corners"))
     known = classes.withColumnRenamed("rep", "row_id").join(corners_of, "row_id").join(label, "row_id", "left")
     known = known.select("md5", F.coalesce("class_id", "row_id").alias("class_id"), F.col("n").alias("n_equal"), "n_corners")

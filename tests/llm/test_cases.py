@@ -248,6 +248,53 @@ def test_media(spark):
     assert [x.image is None for x in drawn] == [True, True, False]
 
 
+def linked_pairs(images: list[np.ndarray]) -> set[tuple[int, int]]:
+    found = [(op7_media.unpacked_places(op7_media.packed_places(p)), b) for p, b in op7_media.describe_all(images)]
+    return {(i, j) for j in range(len(found)) for i in range(j) if op7_media.consensus(*found[i], *found[j]) >= op7_media.CONSENSUS}
+
+
+def least_reached(n: int, links: set[tuple[int, int]]) -> list[int]:
+    label = list(range(n))
+    for _ in range(n):
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    return label
+
+
+def edited_images() -> list[np.ndarray]:
+    """Copies with noise that flips bits of descriptors, and two copies whose parts also stand in scattered earlier images."""
+    r = np.random.default_rng(8)
+    scene = lambda h, w: r.integers(0, 256, (h, w)).astype(np.uint8).repeat(4, 0).repeat(4, 1)
+    shared = scene(16, 16)
+    scattered = []
+    for y in range(0, 64, 16):
+        for x in range(0, 64, 16):
+            one = scene(12, 12)
+            one[14:30, 14:30] = shared[y : y + 16, x : x + 16]
+            scattered.append(one)
+    noisy = [np.clip(base.astype(int) + r.integers(-n, n + 1, base.shape), 0, 255).astype(np.uint8) for base in (scene(18, 18), scene(18, 18), scene(18, 18)) for n in (0, 12, 40)]
+    return [*scattered, shared, np.pad(shared, ((8, 0), (0, 8)), mode="wrap"), *noisy]
+
+
+def test_media_equals_all_pairs(spark):
+    images = edited_images()
+    want = linked_pairs(images)
+    frame = spark.createDataFrame([(i, op7_media.write_grey(x)) for i, x in enumerate(images)], "row_id long, image binary")
+    for tile in (op7_media.TILE, 2):
+        assert [x.class_id for x in op7_media.copies(frame, tile=tile).orderBy("row_id").collect()] == least_reached(len(images), want)
+
+
+def test_media_pairs_share_values_whoever_else_has_them(spark):
+    """Two images whose values each stand in another earlier image too, four values in each."""
+    r = np.random.default_rng(9)
+    bits = r.integers(0, 256, (24, 16), np.uint8)
+    rows = [(i, bits[i : i + 1].tobytes()) for i in range(24)] + [(30, bits.tobytes()), (31, bits.tobytes())]
+    described = spark.createDataFrame(rows, "row_id long, bits binary")
+    for hot in (op7_media.HOT, 2, 1):
+        pairs = {(x.a, x.b): x.shared for x in op7_media.candidate_pairs(described, hot=hot).collect()}
+        assert pairs[30, 31] == 96 and all(pairs[i, j] == 4 for i in range(24) for j in (30, 31)) and len(pairs) == 49
+
+
 def test_hashing(spark):
     from pyspark.sql import functions as F
 

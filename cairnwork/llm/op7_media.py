@@ -330,8 +330,12 @@ def copies(images: DataFrame, column: str = "image", ties: int = TIES, tile: int
     return out.select("row_id", F.coalesce("class_id", "row_id").alias("class_id"), F.coalesce("n_equal", F.lit(1)).cast("long").alias("n_equal"), F.coalesce("n_corners", F.lit(0)).alias("n_corners"))
 
 
-def drawn(texts: DataFrame, column: str, words_a_row: int = 8, side: int = 4) -> DataFrame:
-    """(row_id, image): each text as a picture, every word a square of grey dots that its hash chooses, row by row."""
+def drawn(texts: DataFrame, column: str, words_a_row: int = 16, side: int = 4, border: int = _MARGIN) -> DataFrame:
+    """(row_id, image): each text as a picture, every word a square of grey dots that its hash chooses, row by row.
+
+    Around the words the picture goes on from its other side, so that every dot of a word, however short the text, can
+    be a corner of the first scale, and none twice.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.random.default_rng(9).integers(1, 2**63, side * side, dtype=np.uint64) | np.uint64(1)
@@ -344,7 +348,8 @@ def drawn(texts: DataFrame, column: str, words_a_row: int = 8, side: int = 4) ->
                     rows = -(-int(b - a) // words_a_row)
                     grid = np.zeros((rows * words_a_row, side, side), np.uint8)
                     grid[: b - a] = dots[a:b]
-                    images.append(write_grey(grid.reshape(rows, words_a_row, side, side).swapaxes(1, 2).reshape(rows * side, words_a_row * side)) if rows else None)
+                    page = grid.reshape(rows, words_a_row, side, side).swapaxes(1, 2).reshape(rows * side, words_a_row * side)
+                    images.append(write_grey(np.pad(page, border, mode="wrap")) if rows else None)
                 yield pa.RecordBatch.from_arrays([part.column("row_id"), pa.array(images, pa.binary())], names=["row_id", "image"])
 
     return texts.select("row_id", F.coalesce(column, F.lit("")).alias(column)).mapInArrow(run, "row_id long, image binary")

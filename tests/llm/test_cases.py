@@ -295,6 +295,17 @@ def test_media_pairs_share_values_whoever_else_has_them(spark):
         assert pairs[30, 31] == 96 and all(pairs[i, j] == 4 for i in range(24) for j in (30, 31)) and len(pairs) == 49
 
 
+def test_media_pages_have_corners_of_both_scales(spark, folder):
+    pages = [(1, " ".join(f"w{i}" for i in range(10))), (2, " ".join(f"w{i}" for i in range(400)))]
+    read = spark.read.parquet(f"{folder}/pages.parquet").selectExpr("page_id + 10", "html")
+    drawn = op7_media.drawn(spark.createDataFrame(pages, "row_id long, html string").union(read), "html")
+    places = {x.row_id: op7_media.unpacked_places(x.places) for x in op7_media.descriptors(drawn.withColumn("md5", drawn.row_id.cast("string"))).collect()}
+    assert all(len(p) for p in places.values())
+    assert {*places[2][:, 2]} == {1, 2} and sum((p[:, 2] == 2).any() for p in places.values()) > len(places) / 2
+    first = places[2][places[2][:, 2] == 1]
+    assert first[:, 0].min() < 12 and first[:, 0].max() >= 68 and len({*map(tuple, first[:, :2] % 64)}) == len(first)
+
+
 def test_hashing(spark):
     from pyspark.sql import functions as F
 

@@ -7,7 +7,7 @@ and a shift, and enough votes for one of them (the geometric consensus) make the
 or edited as they may be. Nothing else decides a link. Values must agree in all their 32 bits: images whose corners
 all differ in some bit of every substring do not meet, near as they may be.
 
-Images are binary grey maps (P5). Rows: one for each input row. Null, empty and broken images, and images without
+Images are binary grey maps (P5). Rows: one for each input row. Every linked pair counts in n_links. Null, empty and broken images, and images without
 corners, are linked to nothing and are classes of their own; equal bytes are copies in any case. Repeated rows count
 as copies. Other columns are not read.
 """
@@ -315,7 +315,7 @@ def _links(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def copies(images: DataFrame, column: str = "image", ties: int = TIES, tile: int = TILE) -> DataFrame:
-    """(row_id, class_id, n_equal, n_corners) for images (row_id unique, image binary); n_equal counts rows of the same bytes."""
+    """(row_id, class_id, n_equal, n_links, n_corners) for images (row_id unique, image binary); n_equal counts rows of the same bytes, n_links the other rows that are copies by bytes or consensus."""
     every = cut(descriptors(images, column))
     classes = cut(every.where("md5 is not null").groupBy("md5").agg(F.min("row_id").alias("rep"), F.count("*").alias("n")))
     described = every.drop("md5").join(classes.select(F.col("rep").alias("row_id")), "row_id", "left_semi")
@@ -324,10 +324,12 @@ def copies(images: DataFrame, column: str = "image", ties: int = TIES, tile: int
     links = cut(rows.groupBy("task").applyInPandas(_links, "a long, b long"))
     label = components(links, EDGES_EACH).withColumnsRenamed({"node": "row_id", "label": "class_id"})
     corners_of = described.select("row_id", (F.length("bits") / (BITS // 8)).cast("int").alias("n_corners"))
-    known = classes.withColumnRenamed("rep", "row_id").join(corners_of, "row_id").join(label, "row_id", "left")
-    known = known.select("md5", F.coalesce("class_id", "row_id").alias("class_id"), F.col("n").alias("n_equal"), "n_corners")
+    weight = links.union(links.select("b", "a")).join(classes.select(F.col("rep").alias("b"), "n"), "b")
+    others = weight.groupBy(F.col("a").alias("row_id")).agg(F.sum("n").alias("links"))
+    known = classes.withColumnRenamed("rep", "row_id").join(corners_of, "row_id").join(label, "row_id", "left").join(others, "row_id", "left")
+    known = known.select("md5", F.coalesce("class_id", "row_id").alias("class_id"), F.col("n").alias("n_equal"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "n_corners")
     out = every.select("row_id", "md5").join(known, "md5", "left")
-    return out.select("row_id", F.coalesce("class_id", "row_id").alias("class_id"), F.coalesce("n_equal", F.lit(1)).cast("long").alias("n_equal"), F.coalesce("n_corners", F.lit(0)).alias("n_corners"))
+    return out.select("row_id", F.coalesce("class_id", "row_id").alias("class_id"), F.coalesce("n_equal", F.lit(1)).cast("long").alias("n_equal"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_corners", F.lit(0)).alias("n_corners"))
 
 
 def drawn(texts: DataFrame, column: str, words_a_row: int = 16, side: int = 4, border: int = _MARGIN) -> DataFrame:

@@ -295,6 +295,15 @@ def test_media_pairs_share_values_whoever_else_has_them(spark):
         assert pairs[30, 31] == 96 and all(pairs[i, j] == 4 for i in range(24) for j in (30, 31)) and len(pairs) == 49
 
 
+def test_media_counts_links_of_every_pair(spark):
+    images = edited_images()
+    images = [*images, images[-3], np.zeros((40, 40), np.uint8)]
+    links = linked_pairs(images) | {(len(images) - 5, len(images) - 2)}
+    frame = spark.createDataFrame([(i, op7_media.write_grey(x)) for i, x in enumerate(images)], "row_id long, image binary")
+    want = Counter(i for pair in links for i in pair)
+    assert {x.row_id: x.n_links for x in op7_media.copies(frame, tile=2).collect()} == {i: want[i] for i in range(len(images))} and max(want.values()) > 2
+
+
 def test_media_pages_have_corners_of_both_scales(spark, folder):
     pages = [(1, " ".join(f"w{i}" for i in range(10))), (2, " ".join(f"w{i}" for i in range(400)))]
     read = spark.read.parquet(f"{folder}/pages.parquet").selectExpr("page_id + 10", "html")

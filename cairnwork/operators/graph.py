@@ -43,6 +43,22 @@ def closure(edges: DataFrame, limit: int | None = None) -> DataFrame:
         seen = now
 
 
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """(node) of all that reach themselves. Any cycle has an edge that leads to no smaller node, so without such edges there is none."""
+    edges = edges.where("source is not null and target is not null").select("source", "target").distinct()
+    if edges.where("target >= source").isEmpty():
+        return edges.select(F.col("source").alias("node")).limit(0)
+    edges = cut(edges)
+    before, now = None, edges.count()
+    while now != before:
+        # What nothing leads to, or what leads nowhere, is on no cycle.
+        on = edges.join(edges.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
+        edges = cut(on.join(edges.select(F.col("target").alias("source")).distinct(), "source", "left_semi"))
+        before, now = now, edges.count()
+    back = closure(edges).select(F.col("node").alias("target"), F.col("reached").alias("source"))
+    return edges.where("source = target").union(edges.join(back, ["source", "target"]).select("source", "target")).select(F.col("source").alias("node")).distinct()
+
+
 def levels(edges: DataFrame, most: int = 10_000) -> DataFrame:
     """(node, level): 0 for what needs nothing, else one more than the highest level among targets. Needs a graph without cycles."""
     edges = edges.select("source", "target").distinct()

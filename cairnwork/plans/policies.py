@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators.graph import closure
+from ..operators.graph import on_cycles
 from .registry import query
 
 _PATHS = "(SELECT p_partkey, 'model.layers.' || CAST(p_partkey % 48 AS STRING) || '.moe.experts.' || CAST(p_partkey % 8 AS STRING) || '.w1' AS name FROM {part})"
@@ -130,8 +130,7 @@ def replay_accessible(t):
 @query("SELECT COUNT(*) AS on_cycles FROM {deps} WHERE target >= source")
 def acyclic_check(t):
     """Nodes that reach themselves: none, as every edge leads to a smaller number."""
-    step = t.deps.where("target >= source")
-    return step.agg(F.count("*").alias("on_cycles")) if step.isEmpty() else closure(step).where("node = reached").agg(F.count("*").alias("on_cycles"))
+    return on_cycles(t.deps).agg(F.count("*").alias("on_cycles"))
 
 
 @query("SELECT child.event_id, parent.event_id AS parent_id, CAST(child.value + parent.value AS DOUBLE) AS total FROM {events} child JOIN {events} parent ON parent.event_id = child.event_id - 1 AND parent.user_id = child.user_id")

@@ -48,3 +48,17 @@ def test_first_fit_fills_no_segment_over_its_limit(spark, folder):
     packed = QUERIES["segment_first_fit"](spark, folder)
     assert packed.groupBy("shard", "segment", "byte_offset").count().where("count > 1").count() == 0
     assert packed.agg(F.max("byte_offset")).first()[0] < 1 << 16
+
+
+def test_cycles_are_found_on_the_whole_graph(spark):
+    from types import SimpleNamespace
+
+    from cairnwork.operators.graph import on_cycles
+    from cairnwork.plans.policies import acyclic_check
+
+    # A cycle of three, a path from it over 8 and 9 to a cycle of two, a loop, and ends that are on no cycle.
+    edges = [(3, 2), (2, 1), (1, 3), (1, 8), (8, 9), (9, 11), (11, 12), (12, 11), (20, 20), (21, 20), (20, 19), (5, 3), (None, 1), (30, 31)]
+    deps = spark.createDataFrame(edges, "source long, target long")
+    assert sorted(x.node for x in on_cycles(deps).collect()) == [1, 2, 3, 11, 12, 20]
+    assert acyclic_check(SimpleNamespace(deps=deps)).first().on_cycles == 6
+    assert on_cycles(deps.where("target < source")).count() == 0

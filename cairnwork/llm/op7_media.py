@@ -161,7 +161,10 @@ def describe(image: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
 
 def consensus(places_a: np.ndarray, bits_a: np.ndarray, places_b: np.ndarray, bits_b: np.ndarray) -> int:
     """Most near descriptor pairs that agree on a turn (30 degrees), a scale and a shift (8 pixels)."""
-    distance = np.bitwise_count(bits_a.view(np.uint64)[:, None, :] ^ bits_b.view(np.uint64)[None, :, :]).sum(axis=2)
+    words_a, words_b = bits_a.view(np.uint64), bits_b.view(np.uint64)
+    distance = np.zeros((len(words_a), len(words_b)), np.uint8)
+    for k in range(words_a.shape[1]):
+        distance += np.bitwise_count(words_a[:, k, None] ^ words_b[None, :, k])
     i, j = np.nonzero(distance <= NEAR)
     if len(i) < CONSENSUS:
         return len(i) and 1
@@ -172,10 +175,12 @@ def consensus(places_a: np.ndarray, bits_a: np.ndarray, places_b: np.ndarray, bi
     best = 0
     for shift in (0, 0.5):
         votes = np.c_[np.floor(turn / (np.pi / 6) + shift) % 12, np.log2(scale), np.floor(dx / 8 + shift), np.floor(dy / 8 + shift)]
-        cells, cell = np.unique(votes, axis=0, return_inverse=True)
+        cell = np.zeros(len(votes), np.int64)
+        for column in np.rint(votes - votes.min(axis=0)).astype(np.int64).T:
+            cell = cell * (column.max() + 1) + column
         # A corner votes once for a cell, however many corners of the other image look like it.
-        pairs = np.unique(np.c_[cell.ravel(), i], axis=0)
-        best = max(best, int(np.bincount(pairs[:, 0]).max()))
+        voted = np.unique(cell * len(bits_a) + i) // len(bits_a)
+        best = max(best, int(np.diff(np.r_[np.flatnonzero(np.r_[True, voted[1:] != voted[:-1]]), len(voted)]).max()))
     return best
 
 

@@ -3,8 +3,9 @@
 Vectors become binary codes: a rotation learned on a bounded sample (principal axes, then alternating between signs
 and the best rotation to them) and a sign per axis. A code is cut into substrings, and each block of rows has a
 bucket directory for every substring. Two codes within Hamming radius r agree in some substring to within
-floor(r / substrings), so probing those buckets finds every code of the radius; these are checked on whole codes and
-ranked again by the inner product of the original vectors. Where a block has fewer than k rows within the radius, the
+floor(r / substrings), so the buckets within that find every code of the radius; these are checked on whole codes and
+ranked again by the inner product of the original vectors. All bucket values and all inner products of two blocks are
+computed at once, and what is not found is masked out: the index saves no arithmetic. Where a block has fewer than k rows within the radius, the
 radius grows there until k rows (or all) are found.
 
 Query blocks meet row blocks in tasks of their own; each block keeps its k best, and the k best of those are returned.

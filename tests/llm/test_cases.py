@@ -340,6 +340,20 @@ def test_hashing(spark):
     assert op10_hashing.search(few, F.col("vec_id") % 20 == 0).count() == 4
 
 
+def test_pipeline_rereads_each_stage(spark, folder, monkeypatch):
+    import corpus_pipeline
+
+    read = []
+
+    def stage(name: str):
+        return name, lambda _, docs, __: (read.append(docs.inputFiles()), docs.selectExpr("doc_id", "text"))[1]
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [stage("a"), stage("b"), stage("c")])
+    assert corpus_pipeline.run(spark, folder).count() == spark.read.parquet(f"{folder}/documents.parquet").count()
+    assert all("documents.parquet" in f for f in read[0])
+    assert all("/0_a/" in f for f in read[1]) and all("/1_b/" in f for f in read[2]) and read[1] and read[2]
+
+
 def test_pipeline(spark, folder):
     import corpus_pipeline
 

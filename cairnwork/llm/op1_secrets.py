@@ -1,8 +1,9 @@
 """Secret scan with multipart credential linking, in DataFrame functions only.
 
-Three patterns give the certain findings. Weaker parts (identifiers such as user names or short access ids, secrets
-too short or too plain to report alone, endpoints) are reported only where complementary parts stand within one
-scope: parts become intervals of SCOPE characters, and an equi-join on scope cells with a check of distance links them.
+Three patterns give the certain findings. Weaker parts (identifiers such as user names, secrets of exactly 40
+characters of base64, endpoints) are reported only where complementary parts stand within one scope. Assignments of
+fewer than 6 characters, access ids below 20 and hex below 24 are no parts, so nothing links to them. Parts become
+intervals of SCOPE characters, and an equi-join on scope cells with a check of distance links them.
 
 Rows: one for each input row. A null text counts as empty. Repeated rows give equal results. Positions are code
 points, ends exclusive. Spans of one kind do not overlap; spans of different kinds may. Only ``doc_id`` and the text

@@ -29,6 +29,8 @@ _SEGMENT = re.compile(" +[^ ]*")
 #: Bytes of text whose words are merged together; more bytes share more words.
 CHUNK = 6 << 20
 _NO_PAIR = np.int32(2**31 - 1)
+#: Texts on which a model with another normaliser, prefix or white-space rule differs from what is merged here.
+_PROBES = ["a", " a", "a ", "  a   b  ", "\ta\nb\r", "\ufb01 \u2163 \u00c5 e\u0301 \uff21", "\u3000a\u00a0b\u200b", "\x00a\x00", "\ufeffa", "\u2581a\u2581", "<s> </s> <unk> <0x41>"]
 
 
 class MergeTable:
@@ -71,6 +73,8 @@ class MergeTable:
         self.risky = np.zeros(n, bool)
         self.risky[list(risky)] = True
         self.longest = max(map(len, pieces))
+        if [x.tolist() for x in self.encode(_PROBES)] != m.encode(_PROBES, add_bos=True, add_eos=True):
+            raise ValueError("the model normalises or splits text in another way")
 
     def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = left.astype(np.int64) * (self.size + 0x110000) + right
@@ -138,8 +142,10 @@ class MergeTable:
         """Ids of each text, begin and end included."""
         split = [_SEGMENT.findall(" " + t.replace(_SPACE_MARK, " ")) if t else [] for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        codes, words = pd.factorize(np.array([w for ws in split for w in ws], object))
-        words = [w.replace(" ", _SPACE_MARK) for w in words]
+        # Arrow numbers words by their whole bytes, U+0000 included.
+        numbered = pa.array([w for ws in split for w in ws], pa.string()).dictionary_encode()
+        codes = numbered.indices.to_numpy()
+        words = [w.replace(" ", _SPACE_MARK) for w in numbered.dictionary.to_pylist()]
         ids, lengths = self.to_ids(*self.merge_words(words))
         ids = np.r_[ids, np.int32(self.model.bos_id()), np.int32(self.model.eos_id())].astype("<u4")
         lengths = np.r_[lengths, 1, 1]

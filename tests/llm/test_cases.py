@@ -162,6 +162,16 @@ def test_merges_like_the_library():
     assert [x.tolist() for x in table.encode(rows)] == table.model.encode(rows, add_bos=True, add_eos=True)
 
 
+def test_merges_tell_words_with_control_characters_apart():
+    """U+0000, byte order marks and pieces that look like control symbols, where words of one text must not change another's."""
+    r = random.Random(10)
+    table = op4_sentencepiece.merge_table(op4_sentencepiece.default_model_path())
+    parts = ["the", "j", "\x00", "\x00\x00", "\ufeff", "\x01", "\x7f", " ", "<s>", "</s>", "<unk>", "<0x00>", "\u200b", "\U0001f600", "\ud7ff"]
+    rows = ["the", "the\x00j", "\x00", "the\x00"] + ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(1500)]
+    assert [x.tolist() for x in table.encode(rows)] == table.model.encode(rows, add_bos=True, add_eos=True)
+    assert [table.encode([t])[0].tolist() for t in rows[:40]] == [table.model.encode(t, add_bos=True, add_eos=True) for t in rows[:40]]
+
+
 def test_quality(spark, docs, messy, nothing, folder):
     model = op5_quality.train(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
     for frame in (docs, messy):

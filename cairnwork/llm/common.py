@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -21,24 +22,41 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def ensure_shared_dir(spark: SparkSession) -> None:
-    """Checkpoints go to the folder named in spark.checkpoint.dir; one of our own only where none is set."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir. Only a local session, whose executors are this machine, may go without."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="cairnwork-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cairnwork-"))
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The frame with its lineage cut by a reliable checkpoint, which outlives executors."""
-    ensure_shared_dir(df.sparkSession)
-    # A checkpoint keeps what is known of its rows; over many rounds that grows past what can be compiled.
-    conf, key = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
-    before = conf.get(key)
-    conf.set(key, "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        conf.set(key, before)
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+class Written:
+    """Tables of a loop in the shared folder: each round reads what the round before wrote, and the rounds before that go.
+
+    A table read again carries no constraints, which over many rounds of checkpoints grow past what can be compiled.
+    """
+
+    def __init__(self, spark: SparkSession, keep: int = 2):
+        self.spark, self.keep, self.paths = spark, keep, []
+        self.folder = f"{shared_dir(spark)}/rounds-{uuid.uuid4().hex}"
+
+    def __call__(self, df: DataFrame, name: str | None = None) -> DataFrame:
+        path = f"{self.folder}/{name or len(self.paths)}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        for old in self.paths[: -self.keep]:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(old)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        return self.spark.read.schema(df.schema).parquet(path)
 
 
 def null_safe_text(column: str = "text") -> Column:
@@ -154,12 +172,12 @@ def numbered(docs: DataFrame, *others: str) -> tuple[DataFrame, Callable[..., Da
     if rows == ids and docs.schema["doc_id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint"):
         plain = docs.select(F.col("doc_id").cast("long").alias("row_id"), null_safe_text().alias("text"), *others)
         return plain, lambda result, renamed=None: result.withColumnsRenamed({"row_id": "doc_id", **(renamed or {})})
-    ordered = docs.select(F.col("doc_id").alias("row_doc_id"), null_safe_text().alias("text"), *others).sort("row_doc_id", "text")
-    keyed = cut(ordered.withColumn("row_id", F.monotonically_increasing_id()))
+    ordered = docs.select("doc_id", null_safe_text().alias("text"), *(c for c in others if c != "doc_id")).sort("doc_id", "text")
+    keyed = cut(ordered.select(F.monotonically_increasing_id().alias("row_id"), "*"))
 
     def back(result: DataFrame, renamed: dict[str, str] | None = None) -> DataFrame:
         for column, name in {"row_id": "doc_id", **(renamed or {})}.items():
-            names = keyed.select(F.col("row_id").alias(column), F.col("row_doc_id").alias(name))
+            names = keyed.select(F.col("row_id").alias(column), F.col("doc_id").alias(name))
             result = result.join(names, column).drop(column)
         return result
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Written
 
 
 def components(edges: DataFrame, rows_each: int | None = None) -> DataFrame:
@@ -17,7 +17,8 @@ def components(edges: DataFrame, rows_each: int | None = None) -> DataFrame:
     few = lambda df: df.coalesce(max(1, -(-mark[0] // rows_each))) if rows_each and mark else df
     mark = None
     stars = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    stars, seen = cut(stars), None
+    written = Written(edges.sparkSession)
+    stars, seen = written(stars), None
     while True:
         mark = stars.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if mark == seen or not mark[0]:
@@ -29,5 +30,5 @@ def components(edges: DataFrame, rows_each: int | None = None) -> DataFrame:
         large = few(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = few(large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least)).distinct()
-        stars = cut(few(small))
+        stars = written(few(small))
     return stars.select(F.col("a").alias("node"), F.col("b").alias("label")).union(stars.select("b", "b").distinct())

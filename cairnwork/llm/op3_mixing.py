@@ -24,8 +24,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 LEANS = (-0.5, 0.0, 0.5)
 #: A source's target is at most this many times its size.
 MAX_EPOCHS = 3
-#: A source's order is cut into so many ranges, which are summed apart: no source is in one task.
-RANGES = 1024
+#: A source's order is cut into ranges that are summed apart, so many at least and more for more rows: no source is in one task.
+RANGES, ROWS_EACH = 1024, 50_000
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, leans: Sequence[float] = LEANS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -66,11 +66,13 @@ def turn() -> Column:
     return F.md5(F.concat_ws("\x1f", F.col("doc_id").cast("string"), F.md5(null_safe_text()), F.col("source")))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, leans: Sequence[float] = LEANS, max_epochs: int = MAX_EPOCHS, ranges: int = RANGES) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, leans: Sequence[float] = LEANS, max_epochs: int = MAX_EPOCHS, ranges: int | None = None) -> DataFrame:
     """One row for each document: doc_id, size, source, source_size, target, copies, taken, position (of its first copy)."""
     sized = docs.select("doc_id", "source", word_count(null_safe_text()).alias("size"), turn().alias("turn"))
-    sized = sized.withColumn("part", (F.conv(F.substring("turn", 1, 6), 16, 10).cast("long") % ranges).cast("int"))
     sized = cut(sized)
+    ranges = ranges or max(RANGES, sized.count() // ROWS_EACH)
+    # Ranges follow the turn, so that their number changes nothing in the order.
+    sized = sized.withColumn("part", F.floor(F.conv(F.substring("turn", 1, 8), 16, 10).cast("double") / 2**32 * ranges).cast("int"))
     parts = sized.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     before = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, W.currentRow)
     parts = parts.withColumn("before", F.sum("part_size").over(before) - F.col("part_size"))
@@ -108,7 +110,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     mixed = cut(mix(docs))
     keyed = docs.withColumn("mix_turn", turn())
     if not mixed.groupBy("turn").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        keyed = keyed.dropDuplicates(["mix_turn"])
+        # Rows that agree in doc_id, text and source: the first by all columns stands for them, so reruns agree.
+        row = F.struct(*docs.columns)
+        keyed = keyed.groupBy("mix_turn").agg(F.min_by(row, F.to_json(row)).alias("mix_row")).select("mix_turn", "mix_row.*")
     epoch = F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).alias("mix_epoch")
     share = F.least((F.col("start") + F.col("mix_epoch") * F.col("source_size")) / F.col("target"), F.lit(1.0))
     copies = mixed.where("copies > 0").select(F.col("turn").alias("mix_turn"), "start", "source_size", "target", "lean", epoch)
@@ -131,7 +135,7 @@ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER
 r AS (SELECT *, [5e0, 2e0, 1e0][nth % 3 + 1] AS weight, [-5e-1, 0e0, 5e-1][nth % 3 + 1] AS lean, source_size * 3e0 AS cap FROM s),
 l AS (SELECT *, (sum(source_size) OVER () - (sum(cap) OVER o - cap)) / (sum(weight) OVER () - sum(weight) OVER o + weight) AS level FROM r WINDOW o AS (ORDER BY cap / weight, nth ROWS UNBOUNDED PRECEDING)),
 t AS (SELECT source, source_size, lean, least(cap, coalesce((SELECT level FROM l WHERE level * weight <= cap ORDER BY cap / weight, nth LIMIT 1) * weight, cap)) AS target FROM l),
-p AS (SELECT d.doc_id, d.source, d.size, d.turn, t.source_size, t.target, t.lean, CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY CAST('0x' || substr(d.turn, 1, 6) AS INT) % 1024, d.turn, d.doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS start FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source),
+p AS (SELECT d.doc_id, d.source, d.size, d.turn, t.source_size, t.target, t.lean, CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.turn, d.doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS start FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source),
 c AS (SELECT *, CASE WHEN size > 0 THEN CAST(least(greatest(floor((target - start - size / 2e0) / source_size) + 1, 0), 3) AS BIGINT) ELSE 0 END AS copies FROM p),
 e AS (SELECT *, target - sum(copies * size) OVER (PARTITION BY source) AS gap FROM c),
 f AS (SELECT *, CASE WHEN size > 0 AND CASE WHEN gap > 0 THEN copies < 3 ELSE copies > 0 END AND size < 2 * abs(gap) THEN row_number() OVER (PARTITION BY source, size > 0 AND CASE WHEN gap > 0 THEN copies < 3 ELSE copies > 0 END AND size < 2 * abs(gap) ORDER BY abs(size - abs(gap)), turn, doc_id, start) END AS nth FROM e),

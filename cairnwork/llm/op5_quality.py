@@ -6,7 +6,7 @@ the held-out fold, the first by xxhash64(doc_id); every row is scored on its who
 
 Rows: one for each input row. A null text counts as empty; an empty text gets the score of its statistics alone. A
 null doc_id is held out (it can have no label). Labels other than 0 and 1 are ignored; of several labels of one
-document the greatest counts. Without usable labels every score is 0.5. Other columns are not read.
+document the greatest counts, and of several rows of one doc_id the first by text and n_chars is fitted on. Without usable labels every score is 0.5. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -179,7 +179,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Fac
     """Fitted on the driver: max_rows bounds what it gathers."""
     usable = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    chosen = docs.select("doc_id", "text", F.col("n_chars").cast("double").alias("n_chars")).join(F.broadcast(sample), "doc_id")
+    body = F.struct("text", F.col("n_chars").cast("double").alias("n_chars"))
+    labelled = docs.select("doc_id", body.alias("body")).join(F.broadcast(sample), "doc_id")
+    # Where rows share a doc_id the first by text counts, so the bound holds and reruns agree.
+    chosen = labelled.groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min("body").alias("body")).select("doc_id", "body.*", "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

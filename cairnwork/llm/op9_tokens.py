@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import null_safe_text
+from .common import chunks, cut, null_safe_text
 
 LIMITS = tuple(1 << k for k in range(7, 18))
 #: Lengths of one block of the suffix sums.
@@ -41,13 +41,15 @@ def lengths(docs: DataFrame, ranks_path: str, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoding(ranks_path).encode_ordinary
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([len(encode(t)) for t in batch.column(0).to_pylist()], pa.int64())], names=["length"])
+            for part, _, _ in chunks(batch):
+                yield pa.RecordBatch.from_arrays([pa.array([len(encode(t)) for t in part.column(0).to_pylist()], pa.int64())], names=["length"])
 
     return docs.select(null_safe_text(text).alias("text")).mapInArrow(run, "length long")
 
 
 def histogram(token_lengths: DataFrame) -> DataFrame:
-    return token_lengths.groupBy("length").agg(F.count("*").alias("docs"))
+    """(length, docs), computed once: what follows asks for it several times."""
+    return cut(token_lengths.groupBy("length").agg(F.count("*").alias("docs")))
 
 
 def answers(counts: DataFrame, limits: Sequence[int] = ()) -> DataFrame:

@@ -350,6 +350,53 @@ def test_hashing(spark):
     assert op10_hashing.search(few, F.col("vec_id") % 20 == 0).count() == 4
 
 
+def clustered(n: int, seed: int = 6) -> np.ndarray:
+    r = np.random.default_rng(seed)
+    points = r.normal(size=(n // 40, 32))[r.integers(0, n // 40, n)] + r.normal(0, 0.15, (n, 32))
+    return points / np.linalg.norm(points, axis=1)[:, None]
+
+
+def test_hashing_takes_few_inner_products():
+    """The buckets of all substrings together find every code within the radius once, and on clustered vectors these are few."""
+    points = clustered(4000)
+    coder = op10_hashing.learn(points[::2], 20)
+    codes = coder.codes(points)
+    ask = np.arange(0, 4000, 20)
+    apart = op10_hashing.distances(codes[ask][:, None, :], codes[None, :, :])
+    for radius in (coder.radius, 7, 20):
+        found = [op10_hashing.Buckets(codes, s).probe(codes[ask], radius) for s in range(op10_hashing.SUBSTRINGS)]
+        pairs = [(int(q), int(row)) for query, rows in found for q, row in zip(query, rows, strict=True)]
+        assert len(pairs) == len({*pairs}) and {*pairs} == {*zip(*map(np.ndarray.tolist, np.nonzero(apart <= radius)), strict=True)}
+    assert (apart <= coder.radius).sum() < 0.05 * apart.size
+    shards = 50
+    of = op10_hashing.shard_of(codes, shards)
+    for radius in (7, 8, coder.radius):
+        for q in ask[:20]:
+            visited = {*op10_hashing.probed_shards(codes[q], radius, shards)}
+            for row in np.flatnonzero(op10_hashing.distances(codes[q], codes) <= radius):
+                assert any((s, of[row, s]) in visited for s in range(op10_hashing.SUBSTRINGS))
+    assert len(op10_hashing.probed_shards(codes[0], 7, shards)) == op10_hashing.SUBSTRINGS
+
+
+def test_hashing_equals_brute_force(spark):
+    """Recall on clustered vectors, with shards cut into many parts, and outliers whose neighbours lie beyond the radius."""
+    from pyspark.sql import functions as F
+
+    points = clustered(1500)
+    points[-30:] = np.random.default_rng(3).normal(size=(30, 32))
+    points[100:180] = points[0]
+    frame = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>")
+    whole = op10_hashing.search(frame, F.col("vec_id") % 20 == 0).toPandas().sort_values(["query_id", "rank"], ignore_index=True)
+    cut = op10_hashing.search(frame, F.col("vec_id") % 20 == 0, rows_each=60, queries_each=9).toPandas().sort_values(["query_id", "rank"], ignore_index=True)
+    assert whole.vec_id.to_list() == cut.vec_id.to_list() and (whole.groupby("query_id").size() == 20).all() and whole.query_id.nunique() == 75
+    hits = 0
+    for q, mine in whole.groupby("query_id"):
+        scores = (points * points[q]).sum(axis=1)
+        assert mine.score.to_list() == pytest.approx([scores[i] for i in mine.vec_id], abs=1e-12)
+        hits += len({*sorted((i for i in range(1500) if i != q), key=lambda i: (-scores[i], i))[:20]} & {*mine.vec_id})
+    assert hits / whole.shape[0] >= 0.95
+
+
 def test_pipeline_rereads_each_stage(spark, folder, monkeypatch):
     import corpus_pipeline
 

@@ -30,18 +30,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Written, cut
 
 #: Bound on the rows that the rotations and the radius are learned on.
 SAMPLE_ROWS = 4_000
 SUBSTRINGS, WIDTH = 8, 64
 BITS = SUBSTRINGS * WIDTH
-#: Share of the sample's true neighbours that the radius must reach. In a larger table neighbours are nearer.
+#: Share of the sample's true neighbours that the radius must reach.
 REACH = 0.97
 #: Rows and queries that meet in one task, at most about.
-ROWS_EACH, QUERIES_EACH = 8192, 2048
+ROWS_EACH, QUERIES_EACH = 1 << 16, 2048
 #: Values of a ball that are looked up one by one, and queries of a task that are probed at once.
-MOST_PROBES, AT_ONCE = 1 << 16, 128
+MOST_PROBES, AT_ONCE = 1 << 16, 64
 
 
 @dataclass
@@ -72,7 +72,8 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def learn(vectors: np.ndarray, k: int, rounds: int = 25, reach: float = REACH) -> Coder:
+def learn(vectors: np.ndarray, k: int, share: float = 1.0, rounds: int = 25, reach: float = REACH) -> Coder:
+    """Fitted on a sample that is this share of all rows, so that its k * share nearest stand for the k nearest of all (the nearest one at least)."""
     random = np.random.default_rng(5)
     mean = vectors.mean(axis=0)
     centred = vectors - mean
@@ -92,7 +93,7 @@ def learn(vectors: np.ndarray, k: int, rounds: int = 25, reach: float = REACH) -
     probe = random.permutation(len(vectors))[:200]
     scores = vectors[probe] @ vectors.T
     scores[np.arange(len(probe)), probe] = -np.inf
-    nearest = np.argsort(-scores, axis=1, kind="stable")[:, : min(k, len(vectors) - 1)]
+    nearest = np.argsort(-scores, axis=1, kind="stable")[:, : min(max(1, math.ceil(k * share)), len(vectors) - 1)]
     found = distances(codes[probe][:, None, :], codes[nearest])
     if found.size:
         coder.radius = int(np.quantile(found, reach, method="higher"))
@@ -160,8 +161,8 @@ def usable(rows: DataFrame, vector: str = "embedding") -> DataFrame:
     return out.where(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0))
 
 
-def coded(classes: DataFrame, coder: Coder, shards: int) -> DataFrame:
-    """classes (class_id, vector) with the vector as bytes, its code, and the shard of each substring."""
+def coded(classes: DataFrame, coder: Coder, shards: int, kind: str) -> DataFrame:
+    """classes (class_id, vector) with the vector as bytes of its own number type, its code, and the shard of each substring."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,12 +170,12 @@ def coded(classes: DataFrame, coder: Coder, shards: int) -> DataFrame:
             vectors = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, len(coder.mean)))
             codes = coder.codes(vectors)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(column) + 1) * SUBSTRINGS, pa.int32()), pa.array(shard_of(codes, shards).ravel(), pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("class_id"), *(pa.array([x.tobytes() for x in part], pa.binary()) for part in (vectors, codes)), lists], names=["class_id", "vector", "code", "shards"])
+            yield pa.RecordBatch.from_arrays([batch.column("class_id"), *(pa.array([x.tobytes() for x in part], pa.binary()) for part in (vectors.astype(kind), codes)), lists], names=["class_id", "vector", "code", "shards"])
 
     return classes.select("class_id", "vector").mapInArrow(run, "class_id long, vector binary, code binary, shards array<int>")
 
 
-def probe_round(index: DataFrame, asked: DataFrame, radius: int, shards: int, k: int, rows_each: int = ROWS_EACH, queries_each: int = QUERIES_EACH) -> DataFrame:
+def probe_round(index: DataFrame, asked: DataFrame, radius: int, shards: int, k: int, kind: str, rows_each: int = ROWS_EACH, queries_each: int = QUERIES_EACH) -> DataFrame:
     """(query_class, class_id, score): the k best classes within the radius of each class in asked (class_id, vector, code)."""
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,14 +191,15 @@ def probe_round(index: DataFrame, asked: DataFrame, radius: int, shards: int, k:
     used = SUBSTRINGS if radius // SUBSTRINGS < WIDTH else 1
     rows = index.select(F.posexplode(F.slice("shards", 1, used)).alias("substring", "shard"), *body)
     counted = lambda df, name: df.groupBy("substring", "shard").agg(F.count("*").alias(name))
-    cells = cut(counted(rows, "n_rows").join(counted(queries, "n_queries"), ["substring", "shard"])
+    # A written table has a known size, so that a small one is broadcast and the vectors are shuffled once.
+    cells = Written(index.sparkSession)(counted(rows, "n_rows").join(counted(queries, "n_queries"), ["substring", "shard"])
         .select("substring", "shard", F.ceil(F.col("n_rows") / rows_each).cast("int").alias("row_parts"), F.ceil(F.col("n_queries") / queries_each).cast("int").alias("query_parts")))
     part = lambda n: F.pmod(F.xxhash64("class_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     rows = rows.join(cells, ["substring", "shard"]).select("substring", "shard", part("row_parts").alias("row_part"), every("query_parts").alias("query_part"), F.lit(False).alias("asks"), *body)
     queries = queries.join(cells, ["substring", "shard"]).select("substring", "shard", every("row_parts").alias("row_part"), part("query_parts").alias("query_part"), F.lit(True).alias("asks"), *body)
 
-    def matrix(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    def matrix(column: pa.ChunkedArray, kind: str) -> np.ndarray:
         return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
     def run(table: pa.Table) -> pa.Table:
@@ -205,14 +207,14 @@ def probe_round(index: DataFrame, asked: DataFrame, radius: int, shards: int, k:
         ask, rest = table.filter(table.column("asks")), table.filter(pa.compute.invert(table.column("asks")))
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(ask) and len(rest):
-            buckets = Buckets(matrix(rest.column("code"), np.uint64), table.column("substring")[0].as_py())
-            vectors, ids = matrix(rest.column("vector"), np.float64), rest.column("class_id").to_numpy()
-            ask_codes, ask_vectors, ask_ids = matrix(ask.column("code"), np.uint64), matrix(ask.column("vector"), np.float64), ask.column("class_id").to_numpy()
+            buckets = Buckets(matrix(rest.column("code"), "<u8"), table.column("substring")[0].as_py())
+            vectors, ids = matrix(rest.column("vector"), kind), rest.column("class_id").to_numpy()
+            ask_codes, ask_vectors, ask_ids = matrix(ask.column("code"), "<u8"), matrix(ask.column("vector"), kind), ask.column("class_id").to_numpy()
             for lo in range(0, len(ask), AT_ONCE):
                 query, row = buckets.probe(ask_codes[lo : lo + AT_ONCE], radius)
                 for a, b in _steps(query):
                     q, r = query[a:b], row[a:b]
-                    score = (ask_vectors[lo + q] * vectors[r]).sum(axis=1)
+                    score = (ask_vectors[lo + q].astype(np.float64) * vectors[r]).sum(axis=1)
                     keep = best_of(q, ids[r], score, k)
                     out.append((ask_ids[lo + q[keep]], ids[r[keep]], score[keep]))
         columns = [np.concatenate(x) for x in zip(*out, strict=True)]
@@ -237,23 +239,24 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, vector: str = "embedd
     if not len(sample):
         return empty
     dimensions = int(sample.vector.map(len).mode().iloc[0])
-    coder = learn(np.stack(sample.vector[sample.vector.map(len) == dimensions].to_list()), k)
     clean = clean.where(F.size("vector") == dimensions)
+    points, total = np.stack(sample.vector[sample.vector.map(len) == dimensions].to_list()), clean.count()
+    coder = learn(points, k, len(points) / total)
     by_id = W.partitionBy("vector").orderBy("vec_id")
     members = cut(clean.select("vector", "vec_id", F.row_number().over(by_id).alias("nth")).where(F.col("nth") <= k + 1).withColumn("class_id", F.first("vec_id").over(by_id)))
     classes = members.where("nth = 1").select("class_id", "vector")
-    total, n_classes = clean.count(), classes.count()
-    shards = max(1, math.ceil(n_classes / rows_each))
-    index = cut(coded(classes, coder, shards))
+    shards = max(1, math.ceil(classes.count() / rows_each))
+    kind = "<f4" if rows.schema[vector].dataType.simpleString() == "array<float>" else "<f8"
+    index = cut(coded(classes, coder, shards, kind))
     asking = cut(clean.where(is_query).join(classes, "vector").select(F.col("vec_id").alias("query_id"), "class_id"))
     asked = index.join(asking.select("class_id").distinct(), "class_id", "left_semi")
-    found = cut(probe_round(index, asked, coder.radius, shards, k + 1, rows_each, queries_each))
+    found = cut(probe_round(index, asked, coder.radius, shards, k + 1, kind, rows_each, queries_each))
     members = members.select("class_id", "vec_id")
     sizes = members.groupBy("class_id").agg(F.count("*").alias("n"))
     reached = found.join(sizes, "class_id").groupBy("query_class").agg(F.sum("n").alias("n"))
     short = cut(asked.join(reached.where(F.col("n") >= min(k + 1, total)), F.col("class_id") == F.col("query_class"), "left_anti"))
     if not short.isEmpty():
-        again = probe_round(index, short, BITS, shards, k + 1, rows_each, queries_each)
+        again = probe_round(index, short, BITS, shards, k + 1, kind, rows_each, queries_each)
         found = found.join(short.select(F.col("class_id").alias("query_class")), "query_class", "left_anti").union(again)
     pairs = asking.withColumnRenamed("class_id", "query_class").join(found, "query_class").join(members, "class_id").where("vec_id != query_id")
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

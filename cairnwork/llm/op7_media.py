@@ -1,19 +1,23 @@
 """Near-copy detection in a media column by local image descriptors.
 
-Corners of an image at two scales get a 128-bit descriptor: brightness tests of point pairs in a patch, turned to the
-patch's own orientation. A descriptor is cut into substrings; every two images that share the values of at least TIES
-substrings, in whichever tables, are compared on all descriptors: pairs of near descriptors vote for a turn, a scale
-and a shift, and enough votes for one of them (the geometric consensus) make the images copies of one another, cropped
-or edited as they may be. Nothing else decides a link. Values must agree in all their 32 bits: images whose corners
-all differ in some bit of every substring do not meet, near as they may be.
-
-Images are binary grey maps (P5). Rows: one for each input row. Every linked pair counts in n_links. Null, empty and broken images, and images without
-corners, are linked to nothing and are classes of their own; equal bytes are copies in any case. Repeated rows count
-as copies. Other columns are not read.
+Corners of an image at three levels (as it is, softened by squares of two, half as large) get a 128-bit descriptor:
+brightness tests of point pairs in a patch, turned to the patch's own orientation. A corner and each of its NEIGHBOURS
+nearest corners of the same level are one key in each of SUBSTRINGS Hamming tables: the substrings of both descriptors. Images with an equal
+key are tied to the least of them, never pair by pair, and connected ties are the candidate pieces. Within a piece every
+two images with an equal key are compared on all descriptors, a large piece in tiles that meet in separate tasks: pairs
+of near descriptors vote for a turn, a scale and a shift, and enough votes for one of them (the geometric consensus) make
+the images copies of one another, cropped or edited as they may be. Nothing else decides a link. Images without an equal
+key do not meet, near as their descriptors may be; the README has the recall for each kind of edit.
+
+Images are binary grey or colour maps (P5, P6; colours become grey). Rows: one for each input row. n_links counts the
+other rows that are copies by bytes or consensus. Null, empty and broken images, and images without corners, are linked
+to nothing and are classes of their own; equal bytes are copies in any case. Repeated rows count as copies. Other columns
+are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Callable, Iterator
@@ -24,26 +28,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SpanHasher, chunks, cut, word_spans
+from .common import SpanHasher, chunks, cut, mix, word_spans
 from .components import components
 from .exchange import groups, placed, row_ids, unpacked
+from .tiles import incidence, least_in_component, meetings
 
-BITS, SUBSTRINGS = 128, 4
+BITS, SUBSTRINGS = 128, 5
+#: Bits of one substring; the last 3 bits of a descriptor are in no table.
+SUBSTRING_BITS = BITS // SUBSTRINGS
+#: Nearest corners of a corner that make a key with it.
+NEIGHBOURS = 2
 #: Most bits in which two descriptors of one corner differ.
 NEAR = 24
 #: Corners that must agree on one turn, scale and shift.
 CONSENSUS = 5
-#: Values of tables that two images must share to be compared: any pair may share one by chance, and such pairs grow with the square of the images.
-TIES = 2
-#: Values that two images share which are best compared in one task.
-CLOSE = 8
+#: Pixels of a spot: corners of one level are further apart.
+SPOT = 6
 TILE = 256
-#: Images of one value whose pairs are counted at once, and pairs that are held before they are counted.
-HOT, PAIRS = 256, 1 << 22
-#: Edges in one partition while components are found.
-EDGES_EACH = 50_000
+#: Images whose keys one task compares, about.
+ROWS_EACH = 2048
+#: Levels: how many pixels of the image a pixel stands for, and whether it is softened first.
+LEVELS = ((1, False), (1, True), (2, False))
+SCALE = np.array([scale for scale, _ in LEVELS], np.float32)
 _MARGIN = 8
-_HEADER = re.compile(rb"P5\s+(\d+)\s+(\d+)\s+255\s")
+_HEADER = re.compile(rb"P([56])\s+(\d+)\s+(\d+)\s+255\s")
 #: Pixels that are stacked and searched at a time.
 PIXELS = 1 << 18
 #: Pairs of points, none further than 6 from the corner, so that any turn of them stays inside the margin.
@@ -55,15 +63,23 @@ def read_grey(raw: bytes | None) -> np.ndarray | None:
     head = _HEADER.match(raw or b"")
     if not head:
         return None
-    width, height = int(head[1]), int(head[2])
-    data = np.frombuffer(raw, np.uint8, offset=head.end())
-    return data[: width * height].reshape(height, width) if len(data) >= width * height else None
+    colours, width, height = (3 if head[1] == b"6" else 1), int(head[2]), int(head[3])
+    data = np.frombuffer(raw, np.uint8, offset=head.end())[: width * height * colours]
+    if len(data) < width * height * colours:
+        return None
+    return data.reshape(height, width) if colours == 1 else np.rint(data.reshape(height, width, 3) @ np.array([0.299, 0.587, 0.114])).astype(np.uint8)
 
 
 def write_grey(image: np.ndarray) -> bytes:
     return b"P5 %d %d 255\n" % (image.shape[1], image.shape[0]) + image.astype(np.uint8).tobytes()
 
 
+def soften(image: np.ndarray) -> np.ndarray:
+    """The mean of every square of two by two."""
+    x = image.astype(np.float32)
+    return (x[:-1, :-1] + x[1:, :-1] + x[:-1, 1:] + x[1:, 1:]) / 4
+
+
 def _box(x: np.ndarray, r: int) -> np.ndarray:
     """Sums over squares of side 2 r + 1; what lies outside counts as 0. The order of additions is the same everywhere."""
     for axis in (0, 1):
@@ -102,7 +118,7 @@ def corners(image: np.ndarray, inner: np.ndarray, apart: int = 5) -> np.ndarray:
     return np.argwhere(inner & (strength == _peak(strength, apart)) & (strength > 50))
 
 
-def _describe_stack(images: list[np.ndarray], scale: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _describe_stack(images: list[np.ndarray], number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Image number, places and descriptors of images of one width, stacked. All that a corner uses lies inside its image."""
     heights = np.array([len(x) for x in images])
     starts = np.cumsum(heights) - heights
@@ -126,25 +142,25 @@ def _describe_stack(images: list[np.ndarray], scale: int) -> tuple[np.ndarray, n
 
     bits = np.packbits(sample(*_TESTS[:, 0].T) < sample(*_TESTS[:, 1].T), axis=1)
     image = owner[at[:, 0]]
-    return image, np.c_[at[:, 1] * scale, (at[:, 0] - starts[image]) * scale, np.full(len(at), scale), angle].astype(np.float32), bits
+    return image, np.c_[at[:, 1] * SCALE[number], (at[:, 0] - starts[image]) * SCALE[number], np.full(len(at), number), angle].astype(np.float32), bits
 
 
 def describe_all(images: list[np.ndarray | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of each image the places (x, y, scale, angle) in its own pixels and the descriptors (uint8 rows) of all corners at two scales."""
+    """Of each image the places (x, y, level, angle) in its own pixels and the descriptors (uint8 rows) of all corners, level by level."""
     owner, places, bits = [np.zeros(0, np.int64)], [np.zeros((0, 4), np.float32)], [np.zeros((0, BITS // 8), np.uint8)]
-    for scale in (1, 2):
+    for number, (scale, soft) in enumerate(LEVELS):
         by_width: dict[int, list[tuple[int, np.ndarray]]] = {}
         for i, image in enumerate(images):
-            if image is not None and min(image.shape) // scale > 2 * _MARGIN:
+            if image is not None and min(image.shape) // scale - soft > 2 * _MARGIN:
                 h, w = (n // scale * scale for n in image.shape)
-                level = image if scale == 1 else image[:h, :w].astype(np.float32).reshape(h // scale, scale, w // scale, scale).mean(axis=(1, 3))
+                level = soften(image) if soft else image if scale == 1 else image[:h, :w].astype(np.float32).reshape(h // scale, scale, w // scale, scale).mean(axis=(1, 3))
                 by_width.setdefault(level.shape[1], []).append((i, level))
         for stack in by_width.values():
             lo = 0
             sizes = np.cumsum([x.size for _, x in stack])
             while lo < len(stack):
                 hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + PIXELS, "right")))
-                image, p, b = _describe_stack([x for _, x in stack[lo:hi]], scale)
+                image, p, b = _describe_stack([x for _, x in stack[lo:hi]], number)
                 owner.append(np.array([i for i, _ in stack[lo:hi]])[image])
                 places.append(p)
                 bits.append(b)
@@ -160,7 +176,7 @@ def describe(image: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def consensus(places_a: np.ndarray, bits_a: np.ndarray, places_b: np.ndarray, bits_b: np.ndarray) -> int:
-    """Most near descriptor pairs that agree on a turn (30 degrees), a scale and a shift (8 pixels)."""
+    """Most spots of a with near descriptors that agree on a turn (30 degrees), a scale and a shift (8 pixels)."""
     words_a, words_b = bits_a.view(np.uint64), bits_b.view(np.uint64)
     distance = np.zeros((len(words_a), len(words_b)), np.uint8)
     for k in range(words_a.shape[1]):
@@ -169,31 +185,24 @@ def consensus(places_a: np.ndarray, bits_a: np.ndarray, places_b: np.ndarray, bi
     if len(i) < CONSENSUS:
         return len(i) and 1
     a, b = places_a[i], places_b[j]
-    turn, scale = b[:, 3] - a[:, 3], b[:, 2] / a[:, 2]
+    turn, scale = b[:, 3] - a[:, 3], SCALE[b[:, 2].astype(int)] / SCALE[a[:, 2].astype(int)]
     cos, sin = np.cos(turn), np.sin(turn)
     dx, dy = b[:, 0] - scale * (cos * a[:, 0] - sin * a[:, 1]), b[:, 1] - scale * (sin * a[:, 0] + cos * a[:, 1])
+    _, spot = np.unique(places_a[:, :2] // SPOT @ np.array([1 << 14, 1], np.float64), return_inverse=True)
     best = 0
     for shift in (0, 0.5):
         votes = np.c_[np.floor(turn / (np.pi / 6) + shift) % 12, np.log2(scale), np.floor(dx / 8 + shift), np.floor(dy / 8 + shift)]
         cell = np.zeros(len(votes), np.int64)
         for column in np.rint(votes - votes.min(axis=0)).astype(np.int64).T:
             cell = cell * (column.max() + 1) + column
-        # A corner votes once for a cell, however many corners of the other image look like it.
-        voted = np.unique(cell * len(bits_a) + i) // len(bits_a)
+        # A spot votes once for a cell, on however many levels it has corners and however many of the other image look like it.
+        voted = np.unique(cell * len(bits_a) + spot[i]) // len(bits_a)
         best = max(best, int(np.diff(np.r_[np.flatnonzero(np.r_[True, voted[1:] != voted[:-1]]), len(voted)]).max()))
     return best
 
 
-def linked_by(places_a: np.ndarray, bits_a: np.ndarray, places_b: np.ndarray, bits_b: np.ndarray) -> bool:
-    """Whether consensus() is enough. Corners that both have at one place with one descriptor agree on standing still, so enough of these settle it."""
-    if min(len(bits_a), len(bits_b)) < CONSENSUS:
-        return False
-    keys = [np.c_[b.view(np.uint64), p.astype(np.float32).view(np.uint64)].view("V32").ravel().tolist() for p, b in ((places_a, bits_a), (places_b, bits_b))]
-    return len(set(keys[0]).intersection(keys[1])) >= CONSENSUS or consensus(places_a, bits_a, places_b, bits_b) >= CONSENSUS
-
-
 def packed_places(places: np.ndarray) -> bytes:
-    """x and y as 16 bits, scale and angle (in 256 steps) as 8 bits each: six bytes a corner."""
+    """x and y as 16 bits, level and angle (in 256 steps) as 8 bits each: six bytes a corner."""
     out = np.zeros(len(places), [("x", "<u2"), ("y", "<u2"), ("s", "u1"), ("a", "u1")])
     out["x"], out["y"], out["s"] = places[:, 0].clip(0, 65535), places[:, 1].clip(0, 65535), places[:, 2]
     out["a"] = np.rint(places[:, 3] / (2 * np.pi) * 256).astype(np.int64) & 255
@@ -205,139 +214,137 @@ def unpacked_places(raw: bytes) -> np.ndarray:
     return np.c_[x["x"], x["y"], x["s"], x["a"] * (2 * np.pi / 256)].astype(np.float32)
 
 
+def nearest_pairs(places: np.ndarray, at_once: int = 512) -> np.ndarray:
+    """(corner, one of its nearest of the same level), each two corners once."""
+    out = [np.zeros((0, 2), np.int64)]
+    for level in range(len(LEVELS)):
+        mine = np.flatnonzero(places[:, 2] == level)
+        if len(mine) > 1:
+            x, y = places[mine, 0], places[mine, 1]
+            for lo in range(0, len(mine), at_once):
+                apart = (x[lo : lo + at_once, None] - x[None, :]) ** 2 + (y[lo : lo + at_once, None] - y[None, :]) ** 2
+                apart[np.arange(len(apart)), np.arange(lo, lo + len(apart))] = np.inf
+                for _ in range(min(NEIGHBOURS, len(mine) - 1)):
+                    nearest = apart.argmin(axis=1)
+                    out.append(np.sort(np.c_[mine[lo : lo + at_once], mine[nearest]], axis=1))
+                    apart[np.arange(len(apart)), nearest] = np.inf
+    return np.unique(np.concatenate(out), axis=0)
+
+
+def pair_keys(places: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The different keys of an image, 64 bits each."""
+    pairs = nearest_pairs(places)
+    if not len(pairs):
+        return np.zeros(0, np.uint64)
+    each = np.unpackbits(bits, axis=1)[:, : SUBSTRINGS * SUBSTRING_BITS].reshape(-1, SUBSTRINGS, SUBSTRING_BITS)
+    value = each @ (np.uint64(1) << np.arange(SUBSTRING_BITS, dtype=np.uint64))
+    low, high = (f(value[pairs[:, 0]], value[pairs[:, 1]]) for f in (np.minimum, np.maximum))
+    table = np.arange(SUBSTRINGS, dtype=np.uint64)[None, :]
+    return np.unique(mix((((low << np.uint64(SUBSTRING_BITS)) | high) + (table << np.uint64(2 * SUBSTRING_BITS))).ravel()))
+
+
+_FOUND = "a long, b long, md5 binary, n_corners int"
+
+
+def ties(images: DataFrame, rows: int, column: str = "image") -> DataFrame:
+    """Two kinds of rows: (a, md5, n_corners) of each image, b being null and md5 too where there are no bytes, and (a, b) for each image that shares a key with an earlier one."""
+    tasks = max(2 * int(images.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / ROWS_EACH))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty = lambda n, kind: pa.array([[]] * n, pa.list_(kind))
+        for batch in batches:
+            row, raw = batch.column("row_id").to_numpy(), batch.column(column).to_pylist()
+            found = describe_all([read_grey(x) for x in raw])
+            keys = [pair_keys(p, b) for p, b in found]
+            every = np.concatenate([np.zeros(0, np.uint64), *keys])
+            sent = placed((every % np.uint64(tasks)).astype(np.int64), np.repeat(row, list(map(len, keys))), key=(every >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            blank = [pa.nulls(sent.num_rows, pa.binary()), pa.nulls(sent.num_rows, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*sent.columns, *blank], names=[*sent.schema.names, "md5", "n_corners"])
+            md5 = pa.array([hashlib.md5(x).digest() if x else None for x in raw], pa.binary())
+            n = len(row)
+            yield pa.RecordBatch.from_arrays([pa.array(row % tasks), pa.array(row), empty(n, pa.int32()), empty(n, pa.int32()), md5, pa.array([len(b) for _, b in found], pa.int32())], names=["task", "base", "low", "key", "md5", "n_corners"])
+
+    def tie(table: pa.Table) -> pa.Table:
+        about = table.filter(pa.compute.is_valid(table.column("n_corners")))
+        rest = table.filter(pa.compute.is_null(table.column("n_corners")))
+        row, (key,) = row_ids(rest), unpacked(rest, "key")
+        order = np.lexsort((row, key))
+        row, key = row[order], key[order]
+        first = np.ones(len(row), bool)
+        first[1:] = key[1:] != key[:-1]
+        least = row[np.maximum.accumulate(np.where(first, np.arange(len(row)), 0))]
+        a, b = np.unique(np.c_[row, least][row != least], axis=0).reshape(-1, 2).T
+        of = pa.table({"a": about.column("base"), "b": pa.nulls(len(about), pa.int64()), "md5": about.column("md5"), "n_corners": about.column("n_corners")})
+        return pa.concat_tables([of, pa.table({"a": a, "b": b, "md5": pa.nulls(len(a), pa.binary()), "n_corners": pa.nulls(len(a), pa.int32())})])
+
+    sent = images.select("row_id", column).mapInArrow(send, "task long, base long, low array<int>, key array<int>, md5 binary, n_corners int")
+    return sent.groupBy("task").applyInArrow(tie, _FOUND)
+
+
 def descriptors(images: DataFrame, column: str = "image") -> DataFrame:
-    """(row_id, md5, places, bits): corners and descriptors as binary. md5 is null where there are no bytes. Images stay where they are."""
+    """(row_id, places, bits): corners and descriptors as binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = describe_all([read_grey(raw) for raw in batch.column(column).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("md5"), pa.array([packed_places(p) for p, _ in found], pa.binary()), pa.array([b.tobytes() for _, b in found], pa.binary())], names=["row_id", "md5", "places", "bits"])
-
-    keyed = images.select("row_id", F.when(F.length(column) > 0, F.unhex(F.md5(column))).alias("md5"), column)
-    return keyed.mapInArrow(run, "row_id long, md5 binary, places binary, bits binary")
-
-
-def _all_pairs(table: pa.Table, hot: int) -> pa.Table:
-    """(a, b, shared): every two images of each value that at most so many images have, and how many values they share here."""
-    row, (value,) = row_ids(table), unpacked(table, "value")
-    names, row = np.unique(row, return_inverse=True)
-    order = np.lexsort((row, value))
-    row, value = row[order], value[order]
-    heads = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(row) else np.zeros(0, np.int64)
-    size = np.diff(np.r_[heads, len(row)])
-    keys, times, waiting, held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
-
-    def counted() -> tuple[np.ndarray, np.ndarray]:
-        every = np.concatenate([keys, *waiting])
-        out, at = np.unique(every, return_inverse=True)
-        return out, np.bincount(at, np.r_[times, np.ones(len(every) - len(times), np.int64)], len(out)).astype(np.int64)
-
-    for n in np.unique(size[(size > 1) & (size <= hot)]):
-        i, j = np.triu_indices(n, 1)
-        at, step = heads[size == n], max(1, PAIRS // len(i))
-        for lo in range(0, len(at), step):
-            members = row[at[lo : lo + step, None] + np.arange(n)]
-            waiting.append((members[:, i] * len(names) + members[:, j]).ravel())
-            held += waiting[-1].size
-            if held >= PAIRS:
-                (keys, times), waiting, held = counted(), [], 0
-    keys, times = counted()
-    return pa.table({"a": names[keys // max(1, len(names))], "b": names[keys % max(1, len(names))], "shared": times})
-
-
-def _hot_tiles(table: pa.Table, hot: int) -> pa.Table:
-    """(low, high): the images of each value that more have, in tiles of so many, every two tiles as a row."""
-    row, (value,) = row_ids(table), unpacked(table, "value")
-    order = np.lexsort((row, value))
-    row, value = row[order], value[order]
-    heads = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(row) else np.zeros(0, np.int64)
-    low, high = [], []
-    for lo, n in zip(heads, np.diff(np.r_[heads, len(row)]), strict=True):
-        if n > hot:
-            tiles = [row[at : min(at + hot, lo + n)] for at in range(lo, lo + n, hot)]
-            for i, left in enumerate(tiles):
-                low += [left] * (len(tiles) - i)
-                high += tiles[i:]
-    return pa.table({"low": pa.array(low, pa.list_(pa.int64())), "high": pa.array(high, pa.list_(pa.int64()))})
-
-
-def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for low, high in zip(batch.column(0), batch.column(1), strict=True):
-            a, b = (x.values.to_numpy() for x in (low, high))
-            a, b = np.repeat(a, len(b)), np.tile(b, len(a))
-            yield pa.RecordBatch.from_arrays([pa.array(a[a < b]), pa.array(b[a < b]), pa.array(np.ones((a < b).sum(), np.int64))], names=["a", "b", "shared"])
-
-
-def candidate_pairs(described: DataFrame, ties: int = TIES, hot: int = HOT) -> DataFrame:
-    """(a, b, shared), a < b: every two images that share at least so many tables' values, whichever other images have them."""
-    tasks = max(2 * int(described.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(described.count() / 4096))
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array([packed_places(p) for p, _ in found], pa.binary()), pa.array([b.tobytes() for _, b in found], pa.binary())], names=["row_id", "places", "bits"])
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = [np.frombuffer(b, np.uint32).reshape(-1, SUBSTRINGS) for b in batch.column("bits").to_pylist()]
-            row = np.repeat(batch.column("row_id").to_numpy(), [b.size for b in bits])
-            value = np.concatenate([np.zeros((0, SUBSTRINGS), np.uint32), *bits])
-            table = np.tile(np.arange(SUBSTRINGS), len(value))
-            value = value.ravel()
-            order, first = groups(table, value, row)
-            once = np.sort(order[first])
-            table, value, row = table[once], value[once], row[once]
-            # Each task has the values of one table only.
-            task = (value * np.uint32(0x9E3779B1) >> np.uint32(8)).astype(np.int64) % tasks * SUBSTRINGS + table
-            yield placed(task, row, value=value.view(np.int32))
-
-    sent = described.select("row_id", "bits").mapInArrow(send, "task long, base long, low array<int>, value array<int>")
-    schema = "a long, b long, shared long"
-    few = sent.groupBy("task").applyInArrow(lambda table: _all_pairs(table, hot), schema)
-    many = sent.groupBy("task").applyInArrow(lambda table: _hot_tiles(table, hot), "low array<long>, high array<long>").repartition(tasks).mapInArrow(_crossed, schema)
-    return few.union(many).groupBy("a", "b").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= ties)
-
-
-def meetings(pairs: DataFrame, tile: int) -> DataFrame:
-    """(task, row_id, others): the images that each task needs, and those that it compares each one with. Images with many common values mostly meet in one task; a large group is cut into tiles."""
-    both = pairs.select(F.col("a").alias("row_id"), F.col("b").alias("other"), "shared").union(pairs.select("b", "a", "shared"))
-    home = both.groupBy("row_id").agg(F.least("row_id", F.min(F.when(F.col("shared") >= CLOSE, F.col("other")))).alias("home"))
-    sizes = home.groupBy("home").agg(F.count("*").alias("size"))
-    buckets = max(2 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * pairs.count() / tile))
-    parts = F.ceil(F.col("size") / tile)
-    tiles = home.join(sizes, "home").select("row_id", F.when(parts > 1, F.xxhash64("home", F.pmod(F.xxhash64("row_id"), parts))).otherwise(F.pmod(F.xxhash64("home"), F.lit(buckets))).alias("tile"))
-    tiles = cut(tiles)
-    met = pairs.join(tiles.select(F.col("row_id").alias("a"), F.col("tile").alias("x")), "a").join(tiles.select(F.col("row_id").alias("b"), F.col("tile").alias("y")), "b")
-    met = met.select("a", "b", F.xxhash64(F.least("x", "y"), F.greatest("x", "y")).alias("task"))
-    asked = met.select("task", F.col("a").alias("row_id"), F.col("b").alias("other")).union(met.select("task", "b", F.lit(None).cast("long")))
-    return asked.groupBy("task", "row_id").agg(F.collect_list("other").alias("others"))
-
-
-def _links(group: pd.DataFrame) -> pd.DataFrame:
-    """(a, b) of the pairs whose consensus is enough."""
-    at = {row: i for i, row in enumerate(group.row_id)}
-    places = [unpacked_places(p) for p in group.places]
-    bits = [np.frombuffer(b, np.uint8).reshape(-1, BITS // 8) for b in group.bits]
-    pairs = [(i, at[other]) for i, others in enumerate(group.others) for other in others]
-    linked = np.array([(i, j) for i, j in pairs if linked_by(places[i], bits[i], places[j], bits[j])], np.int64).reshape(-1, 2)
-    return pd.DataFrame({"a": group.row_id.to_numpy()[linked[:, 0]], "b": group.row_id.to_numpy()[linked[:, 1]]})
-
-
-def copies(images: DataFrame, column: str = "image", ties: int = TIES, tile: int = TILE) -> DataFrame:
-    """(row_id, class_id, n_equal, n_links, n_corners) for images (row_id unique, image binary); n_equal counts rows of the same bytes, n_links the other rows that are copies by bytes or consensus."""
-    every = cut(descriptors(images, column))
-    classes = cut(every.where("md5 is not null").groupBy("md5").agg(F.min("row_id").alias("rep"), F.count("*").alias("n")))
-    described = every.drop("md5").join(classes.select(F.col("rep").alias("row_id")), "row_id", "left_semi")
-    pairs = cut(candidate_pairs(described, ties))
-    rows = meetings(pairs, tile).join(described.select("row_id", "places", "bits"), "row_id")
-    links = cut(rows.groupBy("task").applyInPandas(_links, "a long, b long"))
-    label = components(links, EDGES_EACH).withColumnsRenamed({"node": "row_id", "label": "class_id"})
-    corners_of = described.select("row_id", (F.length("bits") / (BITS // 8)).cast("int").alias("n_corners"))
-    weight = links.union(links.select("b", "a")).join(classes.select(F.col("rep").alias("b"), "n"), "b")
-    others = weight.groupBy(F.col("a").alias("row_id")).agg(F.sum("n").alias("links"))
-    known = classes.withColumnRenamed("rep", "row_id").join(corners_of, "row_id").join(label, "row_id", "left").join(others, "row_id", "left")
-    known = known.select("md5", F.coalesce("class_id", "row_id").alias("class_id"), F.col("n").alias("n_equal"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "n_corners")
-    out = every.select("row_id", "md5").join(known, "md5", "left")
-    return out.select("row_id", F.coalesce("class_id", "row_id").alias("class_id"), F.coalesce("n_equal", F.lit(1)).cast("long").alias("n_equal"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_corners", F.lit(0)).alias("n_corners"))
-
-
-def drawn(texts: DataFrame, column: str, words_a_row: int = 16, side: int = 4, border: int = _MARGIN) -> DataFrame:
+    return images.select("row_id", column).mapInArrow(run, "row_id long, places binary, bits binary")
+
+
+def compared(places: list[np.ndarray], bits: list[np.ndarray], meet: np.ndarray) -> np.ndarray:
+    """Which of the pairs that meet (a matrix of booleans) share a key and reach the consensus.
+
+    Corners of the first level that both have at one place with one descriptor agree on standing still, so enough of these settle a pair.
+    """
+    keys = [pair_keys(p, b) for p, b in zip(places, bits, strict=True)]
+    still = []
+    for p, b in zip(places, bits, strict=True):
+        first = p[:, 2] == 0
+        whole, n = SpanHasher(np.c_[b[first].view(np.uint64), p[first].astype(np.float32).view(np.uint64)].ravel()), int(first.sum())
+        still.append(np.unique(whole(4 * np.arange(n), 4 * np.arange(1, n + 1))))
+    linked = meet & (incidence(keys) > 0)
+    sure = linked & (incidence(still) >= CONSENSUS)
+    for i, j in np.argwhere(np.triu(linked & ~sure, 1)):
+        sure[i, j] = sure[j, i] = min(len(bits[i]), len(bits[j])) >= CONSENSUS and consensus(places[i], bits[i], places[j], bits[j]) >= CONSENSUS
+    return sure
+
+
+def _links(frame: pd.DataFrame) -> pd.DataFrame:
+    """(rep, to, links) of the images of a task that link to others: the least that their links reach, and the weight of all linked images."""
+    out = [pd.DataFrame({"rep": [], "to": [], "links": []})]
+    for _, g in frame.groupby("piece", sort=False):
+        g = g.sort_values("rep", ignore_index=True)
+        left, right, ids = g.left.to_numpy(), g.right.to_numpy(), g.rep.to_numpy()
+        meet = (left[:, None] & right[None, :]) | (right[:, None] & left[None, :])
+        np.fill_diagonal(meet, False)
+        linked = compared([unpacked_places(p) for p in g.places], [np.frombuffer(b, np.uint8).reshape(-1, BITS // 8) for b in g.bits], meet)
+        some = linked.any(axis=1)
+        out.append(pd.DataFrame({"rep": ids[some], "to": ids[least_in_component(linked)][some], "links": (linked @ g.n.to_numpy())[some]}))
+    return pd.concat(out)
+
+
+def copies(images: DataFrame, column: str = "image", tile: int = TILE, rows: int | None = None) -> DataFrame:
+    """(row_id, class_id, n_equal, n_links, n_corners) for images (row_id unique, image binary, so many rows); n_equal counts rows of the same bytes."""
+    found = cut(ties(images, images.count() if rows is None else rows, column))
+    every = found.where("b is null").select(F.col("a").alias("row_id"), "md5", "n_corners")
+    classes = cut(every.where("md5 is not null").groupBy("md5").agg(F.min("row_id").alias("rep"), F.count("*").alias("n"), F.first("n_corners").alias("n_corners")))
+    rep = every.where("md5 is not null").select("row_id", "md5").join(classes.select("md5", "rep"), "md5").select("row_id", "rep")
+    tied = found.where("b is not null").select("a", "b").join(rep.toDF("a", "x"), "a").join(rep.toDF("b", "y"), "b").where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    pieces = components(tied).toDF("rep", "piece")
+    weights = classes.select("rep", "n")
+    members = cut(descriptors(images.join(pieces.select(F.col("rep").alias("row_id")), "row_id", "left_semi"), column).withColumnRenamed("row_id", "rep").join(weights, "rep"))
+    rows_of = meetings(pieces, tile).join(members, "rep")
+    linked = cut(rows_of.groupBy("task").applyInPandas(_links, "rep long, to long, links long"))
+    label = components(linked.where("rep != to").select(F.col("rep").alias("a"), F.col("to").alias("b")).distinct()).toDF("rep", "class_rep")
+    links = linked.groupBy("rep").agg(F.sum("links").alias("links"))
+    known = classes.join(label, "rep", "left").join(links, "rep", "left")
+    known = known.select("md5", F.coalesce("class_rep", "rep").alias("class_id"), F.col("n").alias("n_equal"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    out = every.join(known, "md5", "left")
+    return out.select("row_id", F.coalesce("class_id", "row_id").alias("class_id"), F.coalesce("n_equal", F.lit(1)).cast("long").alias("n_equal"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_corners")
+
+
+def drawn(texts: DataFrame, column: str, words_a_row: int = 21, side: int = 3, border: int = _MARGIN) -> DataFrame:
     """(row_id, image): each text as a picture, every word a square of grey dots that its hash chooses, row by row.
 
     Around the words the picture goes on from its other side, so that every dot of a word, however short the text, can
@@ -365,7 +372,7 @@ def drawn(texts: DataFrame, column: str, words_a_row: int = 16, side: int = 4, b
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables hold no pictures, so every page is drawn as one, whole."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("row_id"), "html")
-    return copies(drawn(pages, "html")).withColumnRenamed("row_id", "page_id")
+    return copies(drawn(pages, "html"), rows=pages.count()).withColumnRenamed("row_id", "page_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_media": op7_media}

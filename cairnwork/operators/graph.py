@@ -2,26 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Lineage ends here, in the folder that spark.checkpoint.dir names (one of our own only where none is set)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="cairnwork-"))
-    # A checkpoint keeps what is known of its rows; over many rounds that grows past what can be compiled.
-    conf, key = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
-    before = conf.get(key)
-    conf.set(key, "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        conf.set(key, before)
+from ..shared import Written
 
 
 def closure(edges: DataFrame, limit: int | None = None) -> DataFrame:
@@ -29,64 +14,78 @@ def closure(edges: DataFrame, limit: int | None = None) -> DataFrame:
 
     Paths are doubled, so the rounds grow with the logarithm of the longest path; each round keeps one row a pair.
     """
-    paths = cut(edges.where("source is not null and target is not null and source <> target").groupBy(F.col("source").alias("node"), F.col("target").alias("reached")).agg(F.lit(1).alias("depth")))
+    written = Written(edges.sparkSession, keep=2)
+    paths = written(edges.where("source is not null and target is not null and source <> target").groupBy(F.col("source").alias("node"), F.col("target").alias("reached")).agg(F.lit(1).alias("depth")))
     seen = paths.agg(F.count("*"), F.sum("depth")).first()
     while True:
         on = paths.select(F.col("node").alias("reached"), F.col("reached").alias("further"), F.col("depth").alias("more"))
         longer = paths.join(on, "reached").select("node", F.col("further").alias("reached"), (F.col("depth") + F.col("more")).alias("depth")).where("node <> reached")
         if limit is not None:
             longer = longer.where(F.col("depth") <= limit)
-        paths = cut(paths.union(longer).groupBy("node", "reached").agg(F.min("depth").alias("depth")))
+        paths = written(paths.union(longer).groupBy("node", "reached").agg(F.min("depth").alias("depth")))
         now = paths.agg(F.count("*"), F.sum("depth")).first()
         if now == seen:
             return paths
         seen = now
 
 
+def reach_of(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """(root, node, depth) of what each asked root reaches along edges, itself at depth 0; only asked roots are followed.
+
+    Each round's new nodes are a table of their own; a node met before is not followed again, so cycles end too.
+    """
+    written = Written(roots.sparkSession)
+    front = written(roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("depth")).where("root is not null").distinct())
+    while not front.isEmpty():
+        step = front.join(edges.select(F.col("source").alias("node"), F.col("target").alias("next")).where("next is not null"), "node").select("root", F.col("next").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
+        front = written(step.join(written.all(front).select("root", "node"), ["root", "node"], "left_anti"))
+    return written.all(front)
+
+
 def on_cycles(edges: DataFrame) -> DataFrame:
     """(node) of all that reach themselves. Any cycle has an edge that leads to no smaller node, so without such edges there is none."""
     edges = edges.where("source is not null and target is not null").select("source", "target").distinct()
     if edges.where("target >= source").isEmpty():
         return edges.select(F.col("source").alias("node")).limit(0)
-    edges = cut(edges)
+    written = Written(edges.sparkSession, keep=2)
+    edges = written(edges)
     before, now = None, edges.count()
     while now != before:
         # What nothing leads to, or what leads nowhere, is on no cycle.
         on = edges.join(edges.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
-        edges = cut(on.join(edges.select(F.col("target").alias("source")).distinct(), "source", "left_semi"))
+        edges = written(on.join(edges.select(F.col("target").alias("source")).distinct(), "source", "left_semi"))
         before, now = now, edges.count()
     back = closure(edges).select(F.col("node").alias("target"), F.col("reached").alias("source"))
     return edges.where("source = target").union(edges.join(back, ["source", "target"]).select("source", "target")).select(F.col("source").alias("node")).distinct()
 
 
-def levels(edges: DataFrame, most: int = 10_000) -> DataFrame:
-    """(node, level): 0 for what needs nothing, else one more than the highest level among targets. Needs a graph without cycles."""
-    edges = edges.select("source", "target").distinct()
+def levels(edges: DataFrame) -> DataFrame:
+    """(node, level): 0 for what needs nothing, else one more than the highest level among targets. Needs a graph without cycles.
+
+    Each round's table has what stands above the round before; a node's level is the last round that it is in.
+    """
+    edges = edges.where("source is not null and target is not null").select("source", "target").distinct()
     nodes = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
-    at = cut(nodes.join(edges.select(F.col("source").alias("node")), "node", "left_anti").withColumn("level", F.lit(0)))
-    out = at
-    for _ in range(most):
-        # What needs something of the last level moves up to this one.
-        above = edges.join(at.select(F.col("node").alias("target"), "level"), "target")
-        at = cut(above.groupBy(F.col("source").alias("node")).agg((F.max("level") + 1).alias("level")))
-        if at.isEmpty():
-            return out
-        out = cut(out.join(at.select("node"), "node", "left_anti").union(at))
-    raise ValueError("the graph has a cycle or is deeper than the limit")
+    most, written = nodes.count(), Written(edges.sparkSession)
+    at = written(nodes.join(edges.select(F.col("source").alias("node")), "node", "left_anti").withColumn("level", F.lit(0)))
+    depth = 0
+    while not at.isEmpty():
+        depth += 1
+        if depth > most:
+            raise ValueError("the graph has a cycle")
+        at = written(edges.join(at.select(F.col("node").alias("target")), "target", "left_semi").select(F.col("source").alias("node"), F.lit(depth).alias("level")).distinct())
+    return written.all(at).groupBy("node").agg(F.max("level").alias("level"))
 
 
 def reachable(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
     """(node, depth) of all that roots (node) reach, roots included; each round follows new nodes only."""
-    front = cut(roots.select("node").distinct().withColumn("depth", F.lit(0)))
-    out, depth = front, 0
-    while most is None or depth < most:
+    written = Written(edges.sparkSession)
+    front, depth = written(roots.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0))), 0
+    while (most is None or depth < most) and not front.isEmpty():
         depth += 1
-        step = edges.join(front.select(F.col("node").alias("source"), "depth"), "source").groupBy(F.col("target").alias("node")).agg((F.min("depth") + 1).alias("depth"))
-        front = cut(step.join(out.select("node"), "node", "left_anti"))
-        if front.isEmpty():
-            break
-        out = cut(out.union(front))
-    return out
+        step = edges.join(front.select(F.col("node").alias("source")), "source", "left_semi").select(F.col("target").alias("node"), F.lit(depth).alias("depth")).where("node is not null").distinct()
+        front = written(step.join(written.all(front).select("node"), "node", "left_anti"))
+    return written.all(front)
 
 
 def within_bytes(plan: DataFrame, order: list, size: str, cap: int, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -95,19 +94,37 @@ def within_bytes(plan: DataFrame, order: list, size: str, cap: int, keys: tuple[
     return plan.withColumn("running", F.sum(size).over(so_far)).where(F.col("running") <= cap)
 
 
-def prefetch_plan(targets: DataFrame, edges: DataFrame, sizes: DataFrame, cached: DataFrame) -> DataFrame:
+def prefetch_plan(targets: DataFrame, edges: DataFrame, sizes: DataFrame, cached: DataFrame, cap: int | None = None) -> DataFrame:
     """(target, node, depth, priority, size): one plan for each target; the priority is that of the edge on which a node is first met.
 
     kinds 0..3 are priorities; edges of kind 4 are not followed. Cached nodes are skipped, and so is what only they need.
+    With a cap a plan ends before the first node, by depth, priority and node, whose running bytes (column running) pass
+    it, and targets whose plan has ended are followed no further.
     """
     usable = edges.where("kind < 4").join(cached.select(F.col("node").alias("target")), "target", "left_anti").groupBy("source", "target").agg(F.min("kind").alias("kind"))
-    front = cut(targets.join(cached.select("node"), targets.target == cached.node, "left_anti").select("target", F.col("target").alias("node"), F.lit(0).alias("depth"), F.lit(0).alias("priority")))
-    out = front
-    while True:
+    sized = sizes.groupBy("node").agg(F.max("size").alias("size"))
+    written = Written(targets.sparkSession)
+    so_far = W.partitionBy("target").orderBy("priority", "node").rowsBetween(W.unboundedPreceding, W.currentRow)
+
+    def round_of(new: DataFrame, before: DataFrame | None) -> DataFrame:
+        new = new.join(sized, "node", "left").select("target", "node", "depth", "priority", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
+        if cap is None:
+            return written(new.withColumns({"running": F.lit(None).cast("long"), "ended": F.lit(False)}))
+        if before is not None:
+            new = new.join(before.groupBy("target").agg(F.max("running").alias("spent")), "target", "left")
+        spent = F.coalesce("spent", F.lit(0)) if before is not None else F.lit(0)
+        new = new.withColumn("running", (F.sum("size").over(so_far) + spent).cast("long"))
+        last = F.max("running").over(W.partitionBy("target")) > cap
+        return written(new.withColumn("ended", last).select("target", "node", "depth", "priority", "size", "running", "ended"))
+
+    start = targets.join(cached.select("node"), targets.target == cached.node, "left_anti")
+    front = round_of(start.select("target", F.col("target").alias("node"), F.lit(0).alias("depth"), F.lit(0).alias("priority")), None)
+    depth = 0
+    while not front.isEmpty():
+        depth += 1
         onward = usable.select(F.col("source").alias("node"), F.col("target").alias("next"), "kind")
-        step = front.join(onward, "node").groupBy("target", F.col("next").alias("node")).agg((F.min("depth") + 1).alias("depth"), F.min("kind").alias("priority"))
-        front = cut(step.join(out.select("target", "node"), ["target", "node"], "left_anti").select("target", "node", "depth", "priority"))
-        if front.isEmpty():
-            break
-        out = cut(out.union(front))
-    return out.join(sizes, "node", "left").select("target", "node", "depth", "priority", F.coalesce("size", F.lit(0)).alias("size"))
+        step = front.where("not ended").join(onward, "node").groupBy("target", F.col("next").alias("node")).agg(F.lit(depth).alias("depth"), F.min("kind").alias("priority"))
+        met = written.all(front)
+        front = round_of(step.join(met.select("target", "node"), ["target", "node"], "left_anti").select("target", "node", "depth", "priority"), met)
+    out = written.all(front)
+    return out.drop("running", "ended") if cap is None else out.where(F.col("running") <= cap).drop("ended")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import closure
+from .graph import closure, reach_of
 
 
 def ancestors(revisions: DataFrame) -> DataFrame:
@@ -14,14 +14,42 @@ def ancestors(revisions: DataFrame) -> DataFrame:
     return closure(edges).select(F.col("node").alias("rev"), F.col("reached").alias("ancestor"), "depth")
 
 
-def common_ancestors(pairs: DataFrame, lineage: DataFrame, revisions: DataFrame) -> DataFrame:
-    """(a, b, ancestor): the latest revision that both reach (or are), the least id of equal times."""
-    own = revisions.select("rev", F.col("rev").alias("ancestor"))
-    reach = lineage.select("rev", "ancestor").union(own)
-    of_a = pairs.join(reach, pairs.a == reach.rev).select("a", "b", "ancestor")
-    of_b = pairs.join(reach, pairs.b == reach.rev).select("a", "b", "ancestor")
-    both = of_a.join(of_b, ["a", "b", "ancestor"], "left_semi").join(revisions.select(F.col("rev").alias("ancestor"), "ts"), "ancestor")
-    return both.groupBy("a", "b").agg(F.max(F.struct("ts", (-F.col("ancestor")).alias("minus")))["minus"].alias("minus")).select("a", "b", (-F.col("minus")).alias("ancestor"))
+def parent_edges(revisions: DataFrame) -> DataFrame:
+    return revisions.where("parent is not null").select(F.col("rev").alias("source"), F.col("parent").alias("target"))
+
+
+def behind(asked: DataFrame, parents: DataFrame) -> DataFrame:
+    """(rev, ancestor, depth) of the asked revisions (rev) only, each its own ancestor at depth 0. A revision may have several parents."""
+    return reach_of(asked.select(F.col("rev").alias("root")), parent_edges(parents)).select(F.col("root").alias("rev"), F.col("node").alias("ancestor"), "depth")
+
+
+def is_ancestor(pairs: DataFrame, parents: DataFrame) -> DataFrame:
+    """pairs (rev, asked) with ``found``: whether asked is rev or behind it."""
+    lineage = behind(pairs.select("rev").distinct(), parents).select("rev", F.col("ancestor").alias("asked"), F.lit(True).alias("found"))
+    return pairs.join(lineage, ["rev", "asked"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def latest_common(pairs: DataFrame, parents: DataFrame, times: DataFrame) -> DataFrame:
+    """(a, b, ancestor): the latest revision (rev, ts in times) that is behind both or is one of them, the least id of equal times; no row without one."""
+    both = pairs.select("a", "b").distinct()
+    lineage = behind(both.select(F.col("a").alias("rev")).union(both.select("b")).distinct(), parents)
+    of = lambda side: both.join(lineage.select(F.col("rev").alias(side), "ancestor"), side).select("a", "b", "ancestor")
+    shared = of("a").join(of("b"), ["a", "b", "ancestor"], "left_semi").join(times.select(F.col("rev").alias("ancestor"), "ts"), "ancestor")
+    best = shared.groupBy("a", "b").agg(F.max("ts").alias("ts"))
+    return shared.join(best, ["a", "b", "ts"]).groupBy("a", "b").agg(F.min("ancestor").alias("ancestor"))
+
+
+def rejected(added: DataFrame, parents: DataFrame) -> DataFrame:
+    """Of edges to add (rev, parent) those that would close a cycle: the parent is the revision itself or has it behind it."""
+    asked = added.select(F.col("parent").alias("rev"), F.col("rev").alias("asked")).where("rev is not null").distinct()
+    return is_ancestor(asked, parents).where("found").select(F.col("asked").alias("rev"), F.col("rev").alias("parent"))
+
+
+def merged_lists(a: DataFrame, b: DataFrame, ancestor: DataFrame, keys: list[str], with_ancestor: bool) -> DataFrame:
+    """What a merge lists: what each side has beyond the ancestor, one after the other, after the ancestor's own where asked."""
+    fresh = [side.join(ancestor, keys, "left_anti").select(*keys, F.lit(name).alias("origin")) for name, side in (("a", a), ("b", b))]
+    out = fresh[0].union(fresh[1])
+    return ancestor.select(*keys, F.lit("ancestor").alias("origin")).union(out) if with_ancestor else out
 
 
 def effective(heads: DataFrame, lineage: DataFrame, changes: DataFrame) -> DataFrame:

@@ -33,10 +33,10 @@ _PLAN = """WITH RECURSIVE usable AS (SELECT source, target, MIN(kind) AS kind FR
     firsts AS (SELECT target, node, MIN(depth) AS depth FROM walk GROUP BY 1, 2), plan AS (SELECT w.target, w.node, w.depth, MIN(w.priority) AS priority FROM walk w JOIN firsts f ON f.target = w.target AND f.node = w.node AND f.depth = w.depth GROUP BY 1, 2, 3)"""
 
 
-def _plan(t):
+def _plan(t, cap=None):
     targets = t.part.select(F.col("p_partkey").alias("target"))
     cached = t.part.where("p_partkey % 10 = 9").select(F.col("p_partkey").alias("node"))
-    return graph.prefetch_plan(targets, t.deps, t.cells.select(F.col("cell_id").alias("node"), "size"), cached)
+    return graph.prefetch_plan(targets, t.deps, t.cells.select(F.col("cell_id").alias("node"), "size"), cached, cap)
 
 
 @query(f"{_PLAN} SELECT target, COUNT(*) AS requests, CAST(SUM(size) AS BIGINT) AS bytes, CAST(COUNT(*) * 1000 + FLOOR(SUM(size) / 1048576e0) * 100 AS BIGINT) AS latency_us FROM plan p JOIN {{cells}} c ON c.cell_id = p.node GROUP BY target")
@@ -47,8 +47,7 @@ def prefetch_plan(t):
 
 @query(f"{_PLAN} SELECT target, node, CAST(priority AS INT) AS priority, CAST(running AS BIGINT) AS running FROM (SELECT p.*, SUM(size) OVER (PARTITION BY target ORDER BY depth, priority, node ROWS UNBOUNDED PRECEDING) AS running FROM plan p JOIN {{cells}} c ON c.cell_id = p.node) x WHERE running <= 1000000")
 def prefetch_byte_cap(t):
-    capped = graph.within_bytes(_plan(t), ["depth", "priority", "node"], "size", 1_000_000, ("target",))
-    return capped.select("target", "node", "priority", "running")
+    return _plan(t, 1_000_000).select("target", "node", "priority", "running")
 
 
 @query("SELECT l_orderkey, CAST(k AS INT) AS place, l_partkey AS expert FROM (SELECT l_orderkey, l_partkey, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS k FROM {lineitem}) x WHERE k < 2 AND l_partkey % 10 <> 9")

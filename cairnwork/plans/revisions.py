@@ -23,9 +23,8 @@ def rev_ancestors(t):
 
 @query(f"{_LINE} SELECT h.head, CAST(COUNT(l.ancestor) AS BIGINT) AS ancestors, CAST(COALESCE(MAX(l.depth), 0) AS BIGINT) AS dag_depth FROM ({_HEADS}) h LEFT JOIN line l ON l.rev = h.head GROUP BY h.head")
 def rev_dag_depth(t):
-    line = revision.ancestors(t.revisions)
-    joined = _heads(t).select(F.col("head").alias("rev")).join(line, "rev", "left")
-    return joined.groupBy(F.col("rev").alias("head")).agg(F.count("ancestor").alias("ancestors"), F.coalesce(F.max("depth"), F.lit(0)).cast("long").alias("dag_depth"))
+    line = revision.behind(_heads(t).select(F.col("head").alias("rev")), t.revisions).withColumn("ancestor", F.when(F.col("depth") > 0, F.col("ancestor")))
+    return line.groupBy(F.col("rev").alias("head")).agg(F.count("ancestor").alias("ancestors"), F.coalesce(F.max("depth"), F.lit(0)).cast("long").alias("dag_depth"))
 
 
 @query(f"{_LINE} SELECT a.rev AS descendant, a.parent AS asked, EXISTS (SELECT 1 FROM line l WHERE l.rev = a.rev AND l.ancestor = a.parent) AS is_ancestor FROM revs a")
@@ -40,7 +39,7 @@ def rev_common_ancestor(t):
     """Of each branch's head and its parent: the latest revision that both have behind them or are."""
     revisions = t.revisions
     pairs = _heads(t).join(revisions, F.col("head") == F.col("rev")).where("parent is not null").select(F.col("head").alias("a"), F.col("parent").alias("b"))
-    return revision.common_ancestors(pairs, revision.ancestors(revisions), revisions)
+    return revision.latest_common(pairs, revisions, revisions)
 
 
 @query("SELECT parent AS rev, COUNT(*) AS children FROM {revisions} WHERE parent IS NOT NULL GROUP BY parent")
@@ -73,7 +72,9 @@ _EFFECTIVE = f"{_LINE}, heads AS ({_HEADS}), reach AS (SELECT l.rev AS head, l.a
 
 @query(f"{_EFFECTIVE} SELECT head, cell, rev, amount FROM state")
 def rev_effective_graph(t):
-    return revision.effective(_heads(t).select("head"), revision.ancestors(t.revisions), t.rev_cells)
+    heads = _heads(t).select("head")
+    line = revision.behind(heads.select(F.col("head").alias("rev")), t.revisions)
+    return revision.effective(heads, line.where("depth > 0"), t.rev_cells)
 
 
 def _tips(t):

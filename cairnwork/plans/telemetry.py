@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import telemetry
 from .registry import query
 
 _EDGES = (10, 50, 100, 250, 500)
@@ -35,9 +36,12 @@ def latency_percentiles(t):
     """Exact percentiles without samples beyond three standard deviations."""
     samples = t.lineitem.select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").alias("x"))
     spread = samples.groupBy("flag").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s"))
-    kept = samples.join(F.broadcast(spread), "flag").where(F.abs(F.col("x") - F.col("m")) <= 3 * F.col("s"))
-    p = lambda q: F.round(F.percentile("x", q), 4)
-    return kept.groupBy("flag").agg(F.count("*").alias("n"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.round(F.avg("x"), 4).alias("mean"), F.round(F.stddev_samp("x"), 4).alias("deviation"))
+    kept = samples.join(spread, "flag").where(F.abs(F.col("x") - F.col("m")) <= 3 * F.col("s"))
+    picked = telemetry.percentiles(kept, "flag", "x", (0.5, 0.95, 0.99))
+    told = kept.groupBy("flag").agg(F.count("*").alias("n"), F.round(F.avg("x"), 4).alias("mean"), F.round(F.stddev_samp("x"), 4).alias("deviation"))
+    p = lambda q: F.round(F.max(F.when(F.col("share") == q, F.col("value"))), 4)
+    wide = picked.groupBy("flag").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"))
+    return told.join(wide, "flag").select("flag", "n", "p50", "p95", "p99", "mean", "deviation")
 
 
 @query("SELECT brand, CASE WHEN now > base * 11e-1 THEN 'Block' WHEN now > base * 105e-2 THEN 'Warn' ELSE 'Pass' END AS verdict FROM (SELECT p_brand AS brand, AVG(CASE WHEN p_partkey % 2 = 0 THEN p_retailprice END) AS base, AVG(CASE WHEN p_partkey % 2 = 1 THEN p_retailprice END) AS now FROM {part} GROUP BY 1) x")

@@ -1,7 +1,8 @@
 """Near-copy detection in a media column by local image descriptors.
 
 Corners of an image at three levels (as it is, softened by squares of two, half as large) get a 128-bit descriptor:
-brightness tests of point pairs in a patch, turned to the patch's own orientation. A corner and each of its NEIGHBOURS
+brightness tests of point pairs in a patch, turned to the patch's own orientation. Descriptors with a near one
+at another place of their image are left out, for in a repeating pattern none says where it is. A corner and each of its NEIGHBOURS
 nearest corners of the same level are one key in each of SUBSTRINGS Hamming tables: the substrings of both descriptors. Images with an equal
 key are tied to the least of them, never pair by pair, and connected ties are the candidate pieces. Within a piece every
 two images with an equal key are compared on all descriptors, a large piece in tiles that meet in separate tasks: pairs
@@ -31,17 +32,19 @@ from pyspark.sql import functions as F
 from .common import SpanHasher, chunks, cut, mix, word_spans
 from .components import components
 from .exchange import groups, placed, row_ids, unpacked
-from .tiles import incidence, least_in_component, meetings
+from .tiles import least_in_component, meetings, shared_counts
 
 BITS, SUBSTRINGS = 128, 5
 #: Bits of one substring; the last 3 bits of a descriptor are in no table.
 SUBSTRING_BITS = BITS // SUBSTRINGS
 #: Nearest corners of a corner that make a key with it.
-NEIGHBOURS = 2
+NEIGHBOURS = 3
 #: Most bits in which two descriptors of one corner differ.
 NEAR = 24
 #: Corners that must agree on one turn, scale and shift.
 CONSENSUS = 5
+#: Descriptor pairs that are measured at once.
+DISTANCES = 1 << 16
 #: Pixels of a spot: corners of one level are further apart.
 SPOT = 6
 TILE = 256
@@ -59,6 +62,10 @@ _TESTS = np.random.default_rng(3).normal(0, 3.0, (BITS, 2, 2))
 _TESTS *= np.minimum(1, 6 / np.maximum(np.hypot(_TESTS[..., 0], _TESTS[..., 1]), 1e-9))[..., None]
 
 
+#: What turns a column into images, each with a digest of its bytes.
+Decoder = Callable[[pa.Array], list[tuple[np.ndarray | None, bytes | None]]]
+
+
 def read_grey(raw: bytes | None) -> np.ndarray | None:
     head = _HEADER.match(raw or b"")
     if not head:
@@ -74,6 +81,11 @@ def write_grey(image: np.ndarray) -> bytes:
     return b"P5 %d %d 255\n" % (image.shape[1], image.shape[0]) + image.astype(np.uint8).tobytes()
 
 
+def grey_maps(column: pa.Array) -> list[tuple[np.ndarray | None, bytes | None]]:
+    """Image and digest of each of a column's values; no digest where there are no bytes."""
+    return [(read_grey(raw), hashlib.md5(raw).digest() if raw else None) for raw in column.to_pylist()]
+
+
 def soften(image: np.ndarray) -> np.ndarray:
     """The mean of every square of two by two."""
     x = image.astype(np.float32)
@@ -145,6 +157,21 @@ def _describe_stack(images: list[np.ndarray], number: int) -> tuple[np.ndarray,
     return image, np.c_[at[:, 1] * SCALE[number], (at[:, 0] - starts[image]) * SCALE[number], np.full(len(at), number), angle].astype(np.float32), bits
 
 
+def _alone(owner: np.ndarray, level: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which descriptors have no near one at another place of their image and level: in a pattern that repeats none says where it is."""
+    words, group = bits.view(np.uint64), owner * len(LEVELS) + level.astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    cuts = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0, True]) if len(order) else np.zeros(1, np.int64)
+    out = np.ones(len(order), bool)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        mine = words[order[a:b]]
+        step = max(1, DISTANCES // (b - a))
+        for lo in range(0, b - a, step):
+            near = np.bitwise_count(mine[lo : lo + step, None, 0] ^ mine[None, :, 0]) + np.bitwise_count(mine[lo : lo + step, None, 1] ^ mine[None, :, 1]) <= NEAR
+            out[order[a + lo : min(b, a + lo + step)]] = near.sum(axis=1) == 1
+    return out
+
+
 def describe_all(images: list[np.ndarray | None]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Of each image the places (x, y, level, angle) in its own pixels and the descriptors (uint8 rows) of all corners, level by level."""
     owner, places, bits = [np.zeros(0, np.int64)], [np.zeros((0, 4), np.float32)], [np.zeros((0, BITS // 8), np.uint8)]
@@ -166,41 +193,101 @@ def describe_all(images: list[np.ndarray | None]) -> list[tuple[np.ndarray, np.n
                 bits.append(b)
                 lo = hi
     of, places_, bits_ = np.concatenate(owner), np.concatenate(places), np.concatenate(bits)
+    alone = _alone(of, places_[:, 2], bits_)
+    of, places_, bits_ = of[alone], places_[alone], bits_[alone]
     order = np.argsort(of, kind="stable")
     cuts = np.searchsorted(of[order], np.arange(len(images) + 1))
     return [(places_[order[a:b]], bits_[order[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Few images at a time, as all their levels are held together."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def describe(image: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     return describe_all([image])[0]
 
 
-def consensus(places_a: np.ndarray, bits_a: np.ndarray, places_b: np.ndarray, bits_b: np.ndarray) -> int:
-    """Most spots of a with near descriptors that agree on a turn (30 degrees), a scale and a shift (8 pixels)."""
-    words_a, words_b = bits_a.view(np.uint64), bits_b.view(np.uint64)
-    distance = np.zeros((len(words_a), len(words_b)), np.uint8)
-    for k in range(words_a.shape[1]):
-        distance += np.bitwise_count(words_a[:, k, None] ^ words_b[None, :, k])
-    i, j = np.nonzero(distance <= NEAR)
-    if len(i) < CONSENSUS:
-        return len(i) and 1
-    a, b = places_a[i], places_b[j]
+def vote_cells(a: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
+    """The cell of turn (30 degrees), scale and shift (8 pixels) that each pair of places votes for, in two grids half a cell apart."""
     turn, scale = b[:, 3] - a[:, 3], SCALE[b[:, 2].astype(int)] / SCALE[a[:, 2].astype(int)]
     cos, sin = np.cos(turn), np.sin(turn)
     dx, dy = b[:, 0] - scale * (cos * a[:, 0] - sin * a[:, 1]), b[:, 1] - scale * (sin * a[:, 0] + cos * a[:, 1])
-    _, spot = np.unique(places_a[:, :2] // SPOT @ np.array([1 << 14, 1], np.float64), return_inverse=True)
-    best = 0
     for shift in (0, 0.5):
-        votes = np.c_[np.floor(turn / (np.pi / 6) + shift) % 12, np.log2(scale), np.floor(dx / 8 + shift), np.floor(dy / 8 + shift)]
-        cell = np.zeros(len(votes), np.int64)
-        for column in np.rint(votes - votes.min(axis=0)).astype(np.int64).T:
-            cell = cell * (column.max() + 1) + column
-        # A spot votes once for a cell, on however many levels it has corners and however many of the other image look like it.
-        voted = np.unique(cell * len(bits_a) + spot[i]) // len(bits_a)
-        best = max(best, int(np.diff(np.r_[np.flatnonzero(np.r_[True, voted[1:] != voted[:-1]]), len(voted)]).max()))
+        parts = (np.floor(turn / (np.pi / 6) + shift) % 12, np.log2(scale) + 1, np.floor(dx / 8 + shift) + (1 << 17), np.floor(dy / 8 + shift) + (1 << 17))
+        cell = np.zeros(len(a), np.int64)
+        for part, width in zip(parts, (4, 2, 18, 18), strict=True):
+            cell = cell << width | np.rint(part).astype(np.int64)
+        yield cell
+
+
+def spots(places: np.ndarray) -> np.ndarray:
+    """The number of each place's spot: corners of several levels there are one."""
+    return np.unique(places[:, :2] // SPOT @ np.array([1 << 14, 1], np.float64), return_inverse=True)[1]
+
+
+def consensus(places_a: np.ndarray, bits_a: np.ndarray, places_b: np.ndarray, bits_b: np.ndarray, enough: int | None = None) -> int:
+    """Most spots of a with near descriptors that agree on a cell of vote_cells(); a spot votes once for a cell, however many corners of b look like it.
+
+    With enough, counting ends once so many agree: where much looks alike, few corners say it.
+    """
+    words_a, words_b, spot = bits_a.view(np.uint64), bits_b.view(np.uint64), spots(places_a)
+    votes, best, step = [np.zeros(0, np.int64)] * 2, 0, max(1, DISTANCES // max(1, len(words_b)))
+    for lo in range(0, len(words_a), step):
+        distance = np.bitwise_count(words_a[lo : lo + step, 0, None] ^ words_b[None, :, 0])
+        for k in range(1, words_a.shape[1]):
+            distance += np.bitwise_count(words_a[lo : lo + step, k, None] ^ words_b[None, :, k])
+        i, j = np.nonzero(distance <= NEAR)
+        if not len(i):
+            continue
+        for grid, cell in enumerate(vote_cells(places_a[lo + i], places_b[j])):
+            votes[grid] = np.unique(np.r_[votes[grid], cell << 21 | spot[lo + i]])
+            cells = votes[grid] >> 21
+            best = max(best, int(np.diff(np.flatnonzero(np.r_[True, cells[1:] != cells[:-1], True])).max()))
+        if enough is not None and best >= enough:
+            return best
     return best
 
 
+def surely_linked(places: list[np.ndarray], bits: list[np.ndarray], meet: np.ndarray) -> np.ndarray:
+    """Of the pairs that meet those whose equal descriptors alone reach the consensus, counting each descriptor of an image at its first place only."""
+    out = np.zeros(meet.shape, bool)
+    owner = np.repeat(np.arange(len(bits)), [len(b) for b in bits])
+    words = np.concatenate([np.zeros((0, 2), np.uint64), *[b.view(np.uint64) for b in bits]])
+    place = np.concatenate([np.zeros((0, 4), np.float32), *places])
+    spot = np.concatenate([np.zeros(0, np.int64), *map(spots, places)])
+    value = mix(words[:, 0] ^ mix(words[:, 1].copy()))
+    order = np.lexsort((owner, value))
+    same = (value[order][1:] == value[order][:-1]) & (owner[order][1:] == owner[order][:-1])
+    order = order[~np.r_[False, same]] if len(order) else order
+    owner, place, spot, value = owner[order], place[order], spot[order], value[order]
+    starts = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(value) else np.zeros(0, np.int64)
+    ends = np.repeat(np.r_[starts[1:], len(value)], np.diff(np.r_[starts, len(value)])) if len(value) else starts
+    by_owner = np.argsort(owner, kind="stable")
+    cuts = np.searchsorted(owner[by_owner], np.arange(len(bits) + 1))
+    for i in range(len(bits)):
+        mine = by_owner[cuts[i] : cuts[i + 1]]
+        size = ends[mine] - mine - 1
+        total = np.cumsum(size)
+        other = np.repeat(mine + 1 - total + size, size) + np.arange(int(total[-1]) if len(total) else 0)
+        here = np.repeat(mine, size)[meet[i, owner[other]]]
+        other = other[meet[i, owner[other]]]
+        if len(other) < CONSENSUS:
+            continue
+        for cell in vote_cells(place[here], place[other]):
+            order = np.lexsort((spot[here], cell, owner[other]))
+            o, c, s = owner[other][order], cell[order], spot[here][order]
+            cell_new = np.r_[True, (o[1:] != o[:-1]) | (c[1:] != c[:-1])]
+            vote = cell_new | np.r_[True, s[1:] != s[:-1]]
+            heads = np.flatnonzero(cell_new)
+            enough = np.add.reduceat(vote.astype(np.int64), heads) >= CONSENSUS
+            out[i, o[heads[enough]]] = True
+    return out | out.T
+
+
 def packed_places(places: np.ndarray) -> bytes:
     """x and y as 16 bits, level and angle (in 256 steps) as 8 bits each: six bytes a corner."""
     out = np.zeros(len(places), [("x", "<u2"), ("y", "<u2"), ("s", "u1"), ("a", "u1")])
@@ -214,54 +301,73 @@ def unpacked_places(raw: bytes) -> np.ndarray:
     return np.c_[x["x"], x["y"], x["s"], x["a"] * (2 * np.pi / 256)].astype(np.float32)
 
 
-def nearest_pairs(places: np.ndarray, at_once: int = 512) -> np.ndarray:
-    """(corner, one of its nearest of the same level), each two corners once."""
+def nearest_pairs(places: np.ndarray, owner: np.ndarray, at_once: int = 1 << 20) -> np.ndarray:
+    """(corner, one of its nearest of the same image and level), each two corners once. Corners of few are measured together."""
+    group = owner * len(LEVELS) + places[:, 2].astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0]) if len(order) else np.zeros(0, np.int64)
+    sizes = np.diff(np.r_[starts, len(order)])
+    x, y = (np.r_[places[order, i], np.float32(np.inf)] for i in (0, 1))
     out = [np.zeros((0, 2), np.int64)]
-    for level in range(len(LEVELS)):
-        mine = np.flatnonzero(places[:, 2] == level)
-        if len(mine) > 1:
-            x, y = places[mine, 0], places[mine, 1]
-            for lo in range(0, len(mine), at_once):
-                apart = (x[lo : lo + at_once, None] - x[None, :]) ** 2 + (y[lo : lo + at_once, None] - y[None, :]) ** 2
-                apart[np.arange(len(apart)), np.arange(lo, lo + len(apart))] = np.inf
-                for _ in range(min(NEIGHBOURS, len(mine) - 1)):
-                    nearest = apart.argmin(axis=1)
-                    out.append(np.sort(np.c_[mine[lo : lo + at_once], mine[nearest]], axis=1))
-                    apart[np.arange(len(apart)), nearest] = np.inf
-    return np.unique(np.concatenate(out), axis=0)
-
-
-def pair_keys(places: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """The different keys of an image, 64 bits each."""
-    pairs = nearest_pairs(places)
-    if not len(pairs):
-        return np.zeros(0, np.uint64)
-    each = np.unpackbits(bits, axis=1)[:, : SUBSTRINGS * SUBSTRING_BITS].reshape(-1, SUBSTRINGS, SUBSTRING_BITS)
-    value = each @ (np.uint64(1) << np.arange(SUBSTRING_BITS, dtype=np.uint64))
+    width = 2
+    while (sizes > width // 2).any():
+        mine = np.flatnonzero((sizes > max(1, width // 2)) & (sizes <= width))
+        step = max(1, at_once // width**2)
+        for lo in range(0, len(mine), step):
+            first, size = starts[mine[lo : lo + step]], sizes[mine[lo : lo + step]]
+            at = np.where(np.arange(width) < size[:, None], first[:, None] + np.arange(width), len(order))
+            # A large group goes a few rows at a time.
+            rows = max(1, at_once // (len(at) * width))
+            for r in range(0, width, rows):
+                this = at[:, r : r + rows]
+                with np.errstate(invalid="ignore"):
+                    apart = (x[this][:, :, None] - x[at][:, None, :]) ** 2 + (y[this][:, :, None] - y[at][:, None, :]) ** 2
+                apart[np.isnan(apart) | (this[:, :, None] == at[:, None, :])] = np.inf
+                for _ in range(NEIGHBOURS):
+                    nearest = apart.argmin(axis=2)
+                    least = np.take_along_axis(apart, nearest[:, :, None], 2)[:, :, 0]
+                    some = np.isfinite(least)
+                    other = np.take_along_axis(at, nearest, 1)
+                    out.append(np.c_[order[this[some]], order[other[some]]])
+                    np.put_along_axis(apart, nearest[:, :, None], np.inf, 2)
+        width *= 2
+    pairs = np.sort(np.concatenate(out), axis=1)
+    code = np.unique(pairs[:, 0] * len(order) + pairs[:, 1])
+    return np.stack(np.divmod(code, max(1, len(order))), axis=1)
+
+
+def pair_keys(places: list[np.ndarray], bits: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(image, key): the different keys of every image, 64 bits each."""
+    owner = np.repeat(np.arange(len(places)), [len(b) for b in bits])
+    pairs = nearest_pairs(np.concatenate([np.zeros((0, 4), np.float32), *places]), owner)
+    each = np.unpackbits(np.concatenate([np.zeros((0, BITS // 8), np.uint8), *bits]), axis=1)[:, : SUBSTRINGS * SUBSTRING_BITS].reshape(-1, SUBSTRINGS, SUBSTRING_BITS)
+    value = (each @ (1 << np.arange(SUBSTRING_BITS)).astype(np.float32)).astype(np.uint64)
     low, high = (f(value[pairs[:, 0]], value[pairs[:, 1]]) for f in (np.minimum, np.maximum))
     table = np.arange(SUBSTRINGS, dtype=np.uint64)[None, :]
-    return np.unique(mix((((low << np.uint64(SUBSTRING_BITS)) | high) + (table << np.uint64(2 * SUBSTRING_BITS))).ravel()))
+    key = mix((((low << np.uint64(SUBSTRING_BITS)) | high) + (table << np.uint64(2 * SUBSTRING_BITS))).ravel())
+    image = np.repeat(owner[pairs[:, 0]], SUBSTRINGS)
+    order, first = groups(image, key)
+    return image[order[first]], key[order[first]]
 
 
 _FOUND = "a long, b long, md5 binary, n_corners int"
 
 
-def ties(images: DataFrame, rows: int, column: str = "image") -> DataFrame:
+def ties(images: DataFrame, rows: int, column: str = "image", decode: Decoder = grey_maps) -> DataFrame:
     """Two kinds of rows: (a, md5, n_corners) of each image, b being null and md5 too where there are no bytes, and (a, b) for each image that shares a key with an earlier one."""
     tasks = max(2 * int(images.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / ROWS_EACH))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         empty = lambda n, kind: pa.array([[]] * n, pa.list_(kind))
-        for batch in batches:
-            row, raw = batch.column("row_id").to_numpy(), batch.column(column).to_pylist()
-            found = describe_all([read_grey(x) for x in raw])
-            keys = [pair_keys(p, b) for p, b in found]
-            every = np.concatenate([np.zeros(0, np.uint64), *keys])
-            sent = placed((every % np.uint64(tasks)).astype(np.int64), np.repeat(row, list(map(len, keys))), key=(every >> np.uint64(32)).astype(np.uint32).view(np.int32))
+        for batch in slices(batches):
+            row = batch.column("row_id").to_numpy()
+            decoded, digests = zip(*decode(batch.column(column)), strict=True)
+            found = describe_all(list(decoded))
+            image, every = pair_keys(*map(list, zip(*found, strict=True)))
+            sent = placed((every % np.uint64(tasks)).astype(np.int64), row[image], key=(every >> np.uint64(32)).astype(np.uint32).view(np.int32))
             blank = [pa.nulls(sent.num_rows, pa.binary()), pa.nulls(sent.num_rows, pa.int32())]
             yield pa.RecordBatch.from_arrays([*sent.columns, *blank], names=[*sent.schema.names, "md5", "n_corners"])
-            md5 = pa.array([hashlib.md5(x).digest() if x else None for x in raw], pa.binary())
-            n = len(row)
+            md5, n = pa.array(digests, pa.binary()), len(row)
             yield pa.RecordBatch.from_arrays([pa.array(row % tasks), pa.array(row), empty(n, pa.int32()), empty(n, pa.int32()), md5, pa.array([len(b) for _, b in found], pa.int32())], names=["task", "base", "low", "key", "md5", "n_corners"])
 
     def tie(table: pa.Table) -> pa.Table:
@@ -281,32 +387,23 @@ def ties(images: DataFrame, rows: int, column: str = "image") -> DataFrame:
     return sent.groupBy("task").applyInArrow(tie, _FOUND)
 
 
-def descriptors(images: DataFrame, column: str = "image") -> DataFrame:
+def descriptors(images: DataFrame, column: str = "image", decode: Decoder = grey_maps) -> DataFrame:
     """(row_id, places, bits): corners and descriptors as binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = describe_all([read_grey(raw) for raw in batch.column(column).to_pylist()])
+        for batch in slices(batches):
+            found = describe_all([image for image, _ in decode(batch.column(column))])
             yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array([packed_places(p) for p, _ in found], pa.binary()), pa.array([b.tobytes() for _, b in found], pa.binary())], names=["row_id", "places", "bits"])
 
     return images.select("row_id", column).mapInArrow(run, "row_id long, places binary, bits binary")
 
 
 def compared(places: list[np.ndarray], bits: list[np.ndarray], meet: np.ndarray) -> np.ndarray:
-    """Which of the pairs that meet (a matrix of booleans) share a key and reach the consensus.
-
-    Corners of the first level that both have at one place with one descriptor agree on standing still, so enough of these settle a pair.
-    """
-    keys = [pair_keys(p, b) for p, b in zip(places, bits, strict=True)]
-    still = []
-    for p, b in zip(places, bits, strict=True):
-        first = p[:, 2] == 0
-        whole, n = SpanHasher(np.c_[b[first].view(np.uint64), p[first].astype(np.float32).view(np.uint64)].ravel()), int(first.sum())
-        still.append(np.unique(whole(4 * np.arange(n), 4 * np.arange(1, n + 1))))
-    linked = meet & (incidence(keys) > 0)
-    sure = linked & (incidence(still) >= CONSENSUS)
+    """Which of the pairs that meet (a matrix of booleans) share a key and reach the consensus; most pairs are settled by equal descriptors."""
+    linked = meet & (shared_counts(len(bits), *pair_keys(places, bits)) > 0)
+    sure = surely_linked(places, bits, linked)
     for i, j in np.argwhere(np.triu(linked & ~sure, 1)):
-        sure[i, j] = sure[j, i] = min(len(bits[i]), len(bits[j])) >= CONSENSUS and consensus(places[i], bits[i], places[j], bits[j]) >= CONSENSUS
+        sure[i, j] = sure[j, i] = min(len(bits[i]), len(bits[j])) >= CONSENSUS and consensus(places[i], bits[i], places[j], bits[j], CONSENSUS) >= CONSENSUS
     return sure
 
 
@@ -324,16 +421,16 @@ def _links(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out)
 
 
-def copies(images: DataFrame, column: str = "image", tile: int = TILE, rows: int | None = None) -> DataFrame:
-    """(row_id, class_id, n_equal, n_links, n_corners) for images (row_id unique, image binary, so many rows); n_equal counts rows of the same bytes."""
-    found = cut(ties(images, images.count() if rows is None else rows, column))
+def copies(images: DataFrame, column: str = "image", tile: int = TILE, decode: Decoder = grey_maps) -> DataFrame:
+    """(row_id, class_id, n_equal, n_links, n_corners) for images (row_id unique, a column that decode turns into images); n_equal counts rows of the same bytes."""
+    found = cut(ties(images, images.count(), column, decode))
     every = found.where("b is null").select(F.col("a").alias("row_id"), "md5", "n_corners")
     classes = cut(every.where("md5 is not null").groupBy("md5").agg(F.min("row_id").alias("rep"), F.count("*").alias("n"), F.first("n_corners").alias("n_corners")))
     rep = every.where("md5 is not null").select("row_id", "md5").join(classes.select("md5", "rep"), "md5").select("row_id", "rep")
     tied = found.where("b is not null").select("a", "b").join(rep.toDF("a", "x"), "a").join(rep.toDF("b", "y"), "b").where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     pieces = components(tied).toDF("rep", "piece")
     weights = classes.select("rep", "n")
-    members = cut(descriptors(images.join(pieces.select(F.col("rep").alias("row_id")), "row_id", "left_semi"), column).withColumnRenamed("row_id", "rep").join(weights, "rep"))
+    members = cut(descriptors(images.join(pieces.select(F.col("rep").alias("row_id")), "row_id", "left_semi"), column, decode).withColumnRenamed("row_id", "rep").join(weights, "rep"))
     rows_of = meetings(pieces, tile).join(members, "rep")
     linked = cut(rows_of.groupBy("task").applyInPandas(_links, "rep long, to long, links long"))
     label = components(linked.where("rep != to").select(F.col("rep").alias("a"), F.col("to").alias("b")).distinct()).toDF("rep", "class_rep")
@@ -344,35 +441,43 @@ def copies(images: DataFrame, column: str = "image", tile: int = TILE, rows: int
     return out.select("row_id", F.coalesce("class_id", "row_id").alias("class_id"), F.coalesce("n_equal", F.lit(1)).cast("long").alias("n_equal"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_corners")
 
 
-def drawn(texts: DataFrame, column: str, words_a_row: int = 21, side: int = 3, border: int = _MARGIN) -> DataFrame:
-    """(row_id, image): each text as a picture, every word a square of grey dots that its hash chooses, row by row.
+_DOTS = np.random.default_rng(9).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
+
+
+def draw(column: pa.Array, words_a_row: int = 21, side: int = 3, border: int = _MARGIN) -> list[tuple[np.ndarray | None, bytes | None]]:
+    """Each text as a picture, every word a square of grey dots that its hash chooses, row by row; none of a text without words.
 
     Around the words the picture goes on from its other side, so that every dot of a word, however short the text, can
-    be a corner of the first scale, and none twice.
+    be a corner of the first level.
     """
+    out = []
+    for _, data, offsets in chunks(pa.RecordBatch.from_arrays([column], names=["text"])):
+        starts, ends, firsts = word_spans(data, offsets)
+        dots = ((SpanHasher.of_bytes(data)(starts, ends)[:, None] * _DOTS[: side * side]) >> np.uint64(56)).astype(np.uint8).reshape(-1, side, side)
+        for a, b in zip(firsts[:-1], firsts[1:], strict=True):
+            rows = -(-int(b - a) // words_a_row)
+            grid = np.zeros((rows * words_a_row, side, side), np.uint8)
+            grid[: b - a] = dots[a:b]
+            page = np.ascontiguousarray(grid.reshape(rows, words_a_row, side, side).swapaxes(1, 2)).reshape(rows * side, words_a_row * side)
+            out.append((np.pad(page, border, mode="wrap"), hashlib.md5(page).digest()) if rows else (None, None))
+    return out
+
+
+def drawn(texts: DataFrame, column: str) -> DataFrame:
+    """(row_id, image): the pictures of draw() as grey maps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.random.default_rng(9).integers(1, 2**63, side * side, dtype=np.uint64) | np.uint64(1)
-        for batch in batches:
-            for part, data, offsets in chunks(batch, column):
-                starts, ends, firsts = word_spans(data, offsets)
-                dots = ((SpanHasher.of_bytes(data)(starts, ends)[:, None] * weights) >> np.uint64(56)).astype(np.uint8).reshape(-1, side, side)
-                images = []
-                for a, b in zip(firsts[:-1], firsts[1:], strict=True):
-                    rows = -(-int(b - a) // words_a_row)
-                    grid = np.zeros((rows * words_a_row, side, side), np.uint8)
-                    grid[: b - a] = dots[a:b]
-                    page = grid.reshape(rows, words_a_row, side, side).swapaxes(1, 2).reshape(rows * side, words_a_row * side)
-                    images.append(write_grey(np.pad(page, border, mode="wrap")) if rows else None)
-                yield pa.RecordBatch.from_arrays([part.column("row_id"), pa.array(images, pa.binary())], names=["row_id", "image"])
-
-    return texts.select("row_id", F.coalesce(column, F.lit("")).alias(column)).mapInArrow(run, "row_id long, image binary")
+        for batch in slices(batches):
+            images = [None if image is None else write_grey(image) for image, _ in draw(batch.column(column))]
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(images, pa.binary())], names=["row_id", "image"])
+
+    return texts.select("row_id", column).mapInArrow(run, "row_id long, image binary")
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables hold no pictures, so every page is drawn as one, whole."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("row_id"), "html")
-    return copies(drawn(pages, "html"), rows=pages.count()).withColumnRenamed("row_id", "page_id")
+    return copies(pages, "html", decode=draw).withColumnRenamed("row_id", "page_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_media": op7_media}

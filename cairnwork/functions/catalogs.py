@@ -21,6 +21,8 @@ CATEGORIES = [(0x01, 0x1F, "Weight"), (0x20, 0x2F, "Memory"), (0x30, 0x3F, "Rout
 DTYPES = [("F32", 4), ("F16", 2), ("BF16", 2), ("F8", 1), ("I8", 1), ("I16", 2), ("I32", 4), ("I64", 8), ("U8", 1), ("U16", 2), ("U32", 4), ("U64", 8), ("Bool", 1)]
 # Which type widens to which.
 WIDENING = {"F16": "F32", "BF16": "F32", "F8": "F32 F16", "I8": "I16 I32 I64", "I16": "I32 I64", "I32": "I64", "U8": "U16 U32 U64", "U16": "U32 U64", "U32": "U64"}
+# Conversions with a rule: from, to, whether allowed, whether lossy.
+CONVERSIONS = [("F32", "F16", True, True), ("F32", "BF16", True, True), ("F16", "F32", True, False), ("BF16", "F32", True, False), ("F64", "F32", True, True), ("I8", "I16", True, False), ("I8", "I32", True, False), ("I8", "I64", True, False), ("I32", "I8", False, True), ("F32", "I32", False, True)]
 # Error kinds with code, and which are fatal, recoverable, transient.
 ERRORS = {
     "StoreNotFound": "E-STORE", "CorruptStore": "E-CORRUPT", "TileNotFound": "E-TILE", "CellNotFound": "E-CELL", "MemoryNotFound": "E-MEMORY", "RevisionNotFound": "E-REVISION", "StoreFull": "E-STORE-FULL",
@@ -51,6 +53,10 @@ def widening(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(a, b) for a, bs in WIDENING.items() for b in bs.split()], "source string, target string")
 
 
+def conversions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(CONVERSIONS, "source string, target string, allowed boolean, lossy boolean")
+
+
 def errors(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, c, k in FATAL, k in RECOVERABLE, k in TRANSIENT) for k, c in ERRORS.items()], "kind string, code string, fatal boolean, recoverable boolean, transient boolean")
 

@@ -171,3 +171,8 @@ def canonical_name(name: Column) -> Column:
     rules += [(rf"^(?:model\.layers\.(\d+)\.{long}|blk\.(\d+)\.{short})\.weight$", f"model.layer.$1$2.{new}") for long, short, new in LAYER_PARTS]
     rules += [(rf"^(?:model\.layers\.(\d+)\.block_sparse_moe\.experts\.(\d+)\.{long}|blk\.(\d+)\.{short}\.(\d+))\.weight$", f"model.layer.$1$3.moe.expert.$2$4.{new}") for long, short, new in EXPERT_PARTS]
     return F.coalesce(*[F.when(name.rlike(p), F.regexp_replace(name, p, to)) for p, to in rules])
+
+
+def normalized_latency(measured: Column, reference_score: Column, actual_score: Column) -> Column:
+    """Latency as hardware of the reference score would have it."""
+    return measured * (reference_score / actual_score)

@@ -94,6 +94,14 @@ def within_bytes(plan: DataFrame, order: list, size: str, cap: int, keys: tuple[
     return plan.withColumn("running", F.sum(size).over(so_far)).where(F.col("running") <= cap)
 
 
+def executed(roots: DataFrame, edges: DataFrame, sizes: DataFrame, max_compute: int) -> DataFrame:
+    """(root, executed, bytes_moved, budget_exceeded): each root's closure in the order of levels and nodes, up to max_compute steps. Nodes without a size are not run."""
+    order = reach_of(roots, edges).select("root", "node").join(sizes, "node").join(levels(edges), "node", "left")
+    step = F.row_number().over(W.partitionBy("root").orderBy(F.coalesce("level", F.lit(0)), "node"))
+    within = F.col("step") <= max_compute
+    return order.withColumn("step", step).groupBy("root").agg(F.count_if(within).alias("executed"), F.sum(F.when(within, F.col("size")).otherwise(0)).alias("bytes_moved"), (F.count("*") > max_compute).alias("budget_exceeded"))
+
+
 def prefetch_plan(targets: DataFrame, edges: DataFrame, sizes: DataFrame, cached: DataFrame, cap: int | None = None) -> DataFrame:
     """(target, node, depth, priority, size): one plan for each target; the priority is that of the edge on which a node is first met.
 

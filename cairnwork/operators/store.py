@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -85,3 +87,49 @@ def row_tiles(matrices: DataFrame, rows: str, row_bytes: str, tile_bytes: int) -
     first = F.explode(F.sequence(F.lit(0).cast("long"), F.col(rows) - 1, per_tile))
     planned = matrices.where(F.col(rows) > 0).withColumn("per_tile", per_tile).withColumn("first_row", first)
     return planned.withColumn("tile_no", F.floor(F.col("first_row") / F.col("per_tile"))).withColumn("n_rows", F.least("per_tile", F.col(rows) - F.col("first_row"))).drop("per_tile")
+
+
+def sparse_cosine(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """pairs (rev, parent) with ``similarity``: the products over shared cells of vectors (rev, cell, amount), over the product of the norms; 0 where a norm is 0. Pairs without a vector on a side are left out."""
+    norms = vectors.groupBy("rev").agg(F.sqrt(F.sum(F.col("amount").cast("double") * F.col("amount"))).alias("norm"))
+    mine = pairs.join(vectors.select("rev", "cell", F.col("amount").alias("x")), "rev")
+    shared = mine.join(vectors.select(F.col("rev").alias("parent"), "cell", F.col("amount").alias("y")), ["parent", "cell"])
+    dots = shared.groupBy("rev", "parent").agg(F.sum(F.col("x").cast("double") * F.col("y")).alias("dot"))
+    both = pairs.join(norms.withColumnRenamed("norm", "own"), "rev").join(norms.select(F.col("rev").alias("parent"), F.col("norm").alias("its")), "parent").join(dots, ["rev", "parent"], "left")
+    length = F.col("own") * F.col("its")
+    return both.select("rev", "parent", F.when(length > 0, F.coalesce("dot", F.lit(0.0)) / length).otherwise(0.0).alias("similarity"))
+
+
+def mismatched(tiles: DataFrame) -> DataFrame:
+    """Tiles (payload, tile_hash) for quarantine: their bytes do not give their hash, or there are none; with the reason."""
+    own = content_hash(F.col("payload"))
+    reason = F.when(F.col("payload").isNull(), "no bytes").when(own != F.col("tile_hash"), "hash mismatch")
+    return tiles.withColumn("reason", reason).where("reason is not null")
+
+
+#: An access policy takes the tiles of all cells and keeps what may be read.
+Policy = Callable[[DataFrame], DataFrame]
+
+
+def FULL_CELL(tiles: DataFrame) -> DataFrame:
+    return tiles
+
+
+def in_range(column: str, first: object, last: object) -> Policy:
+    return lambda tiles: tiles.where(F.col(column).between(first, last))
+
+
+def top_k(k: int, keys: list[str], order: list[Column]) -> Policy:
+    return lambda tiles: tiles.withColumn("policy_place", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("policy_place") <= k).drop("policy_place")
+
+
+def matching(condition: Column) -> Policy:
+    return lambda tiles: tiles.where(condition)
+
+
+def migrated(cells: DataFrame) -> DataFrame:
+    """Cells of a first-version manifest (cell_id, dtype, size, lifecycle) with the columns of the second."""
+    return cells.select(
+        "cell_id", "dtype", F.col("size").cast("long").alias("uncompressed_size"), F.lit(0).alias("compression"), F.lit(1).alias("major"), F.lit(0).alias("minor"),
+        (F.col("lifecycle") != "Tombstone").alias("kept"), F.lit("2").alias("store_version"),
+    )

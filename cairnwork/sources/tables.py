@@ -31,6 +31,14 @@ BINDINGS: dict[str, str] = {
         1e0 * (p_partkey % 48) AS age_hours FROM {part}""",
     "revisions": """SELECT o_orderkey AS rev, o_custkey AS branch, o_orderdate AS ts, o_orderpriority AS priority,
         LAG(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS parent FROM {orders}""",
+    # A graph of revisions with merges: besides the one before it in its branch every fourth revision has another of its group as parent.
+    "dag": """SELECT o_orderkey AS rev, o_orderdate AS ts, o_orderstatus AS status, LAG(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS parent FROM {orders}
+        UNION ALL SELECT rev, ts, status, parent FROM (SELECT o_orderkey AS rev, o_orderdate AS ts, o_orderstatus AS status, LAG(o_orderkey) OVER (PARTITION BY CAST(FLOOR(o_custkey / 8e0) AS BIGINT) ORDER BY o_orderdate, o_orderkey) AS parent FROM {orders}) m WHERE rev % 4 = 0 AND parent IS NOT NULL""",
+    # Asked pairs: a revision and another of its group in an order that has nothing to do with time.
+    "dag_pairs": """SELECT a, b FROM (SELECT o_orderkey AS a, LAG(o_orderkey) OVER (PARTITION BY CAST(FLOOR(o_custkey / 8e0) AS BIGINT) ORDER BY (o_orderkey * 7919) % 10007, o_orderkey) AS b FROM {orders}) p WHERE b IS NOT NULL AND a % 5 = 0""",
+    # One log of updates of all nine kinds.
+    "updates": """SELECT event_id AS seq, CAST(event_id % 9 AS INT) AS kind, user_id % 25 AS pattern, 1 + event_id % 7 AS frequency, COALESCE(value, 0e0) AS compute,
+        CASE WHEN event_type <> 'error' THEN 8e-1 ELSE 2e-1 END AS confidence, user_id AS cell, CASE WHEN event_id % 2 = 0 THEN user_id + 1000 END AS other FROM {events}""",
     "rev_cells": "SELECT l_orderkey AS rev, l_partkey AS cell, l_suppkey AS tile, l_linenumber AS line, CAST(l_quantity AS BIGINT) AS amount FROM {lineitem}",
     "wal": """SELECT event_id AS seq, user_id % 50 AS txn, CASE event_type WHEN 'signup' THEN 'Begin' WHEN 'view' THEN 'Write' WHEN 'click' THEN 'Stage' WHEN 'purchase' THEN 'Commit' ELSE 'Rename' END AS record_type FROM {events}""",
 }

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pytest
+
 import struct
 
 from pyspark.sql import functions as F
@@ -31,3 +33,29 @@ def test_detection(spark):
     frame = spark.createDataFrame(rows, "path string, content binary, length int")
     got = [tuple(r.d) for r in frame.select(formats.detected(F.col("path"), F.col("content"), F.col("length")).alias("d")).collect()]
     assert got == [("safetensors", 0.9), ("gguf", 0.95), ("pytorch", 0.9), ("pytorch", 0.95), ("onnx", 0.95), ("Unknown", 0.0), ("safetensors", 0.95), ("Unknown", 0.3)]
+
+
+def test_records_come_back(spark):
+    from pyspark.sql import functions as F
+
+    from cairnwork.functions import codecs
+
+    wide = spark.createDataFrame([(0, 0), (1, 255), (2**31, 2**40 + 7), (4294967295, 2**62)], "a long, b long")
+    record = codecs.encoded(codecs.SEGMENT, {"magic": F.lit(b"ABCDEFGH"), "index": F.col("a"), "payload_size": F.col("b")}, codecs.BLOCK)
+    back = wide.select("a", "b", F.octet_length(record).alias("n"), codecs.checked(codecs.SEGMENT, record, b"ABCDEFGH").alias("r")).collect()
+    assert all((x.r["index"], x.r.payload_size, x.n, bytes(x.r.magic)) == (x.a, x.b, 4096, b"ABCDEFGH") for x in back)
+    one = codecs.encoded(codecs.SUPERBLOCK, {"version": F.lit(3), "tile_count": F.lit(258)})
+    assert bytes(spark.range(1).select(one.alias("x")).first().x)[8:40] == (3).to_bytes(4, "little") + bytes(20) + (258).to_bytes(8, "little")
+    with pytest.raises(Exception, match="not a record"):
+        spark.range(1).select(codecs.checked(codecs.SUPERBLOCK, one, b"OTHER").alias("r")).collect()
+
+
+def test_json_and_hashes_in_their_form(spark):
+    from pyspark.sql import functions as F
+
+    from cairnwork.functions import codecs
+
+    rows = spark.createDataFrame([('{"zebra":1, "apple": {"b": 2, "a": [1, 2]}}',), ("no",), (None,)], "t string").select(codecs.canonical_json("t").alias("j")).collect()
+    assert [r.j for r in rows] == ['{"apple":{"a":[1,2],"b":2},"zebra":1}', None, None]
+    text = spark.createDataFrame([("AB" * 32,), ("xy",)], "h string").select(codecs.hash_text(F.col("h")).alias("t"), codecs.parse_hash(F.col("h")).alias("b")).collect()
+    assert text[0].t == "b3:" + "ab" * 32 and bytes(text[0].b) == b"\xab" * 32 and text[1].t is None and text[1].b is None

@@ -429,9 +429,9 @@ def copies(images: DataFrame, column: str = "image", tile: int = TILE, decode: D
     rep = every.where("md5 is not null").select("row_id", "md5").join(classes.select("md5", "rep"), "md5").select("row_id", "rep")
     tied = found.where("b is not null").select("a", "b").join(rep.toDF("a", "x"), "a").join(rep.toDF("b", "y"), "b").where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     pieces = components(tied).toDF("rep", "piece")
-    weights = classes.select("rep", "n")
-    members = cut(descriptors(images.join(pieces.select(F.col("rep").alias("row_id")), "row_id", "left_semi"), column, decode).withColumnRenamed("row_id", "rep").join(weights, "rep"))
-    rows_of = meetings(pieces, tile).join(members, "rep")
+    asked = meetings(pieces, tile).join(classes.select("rep", "n"), "rep")
+    members = descriptors(images.join(pieces.select(F.col("rep").alias("row_id")), "row_id", "left_semi"), column, decode).withColumnRenamed("row_id", "rep")
+    rows_of = asked.join(members, "rep")
     linked = cut(rows_of.groupBy("task").applyInPandas(_links, "rep long, to long, links long"))
     label = components(linked.where("rep != to").select(F.col("rep").alias("a"), F.col("to").alias("b")).distinct()).toDF("rep", "class_rep")
     links = linked.groupBy("rep").agg(F.sum("links").alias("links"))

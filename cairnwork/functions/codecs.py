@@ -58,7 +58,7 @@ def _type(layout: Layout) -> T.StructType:
     return T.StructType([T.StructField(name, T.BinaryType() if kind == "x" else T.LongType()) for name, _, kind in layout])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json(text: pd.Series) -> pd.Series:
     """JSON with sorted keys and no spaces; null where the text is none."""
 

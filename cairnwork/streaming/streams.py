@@ -49,7 +49,8 @@ def lru_hits(log: DataFrame, capacity: int) -> DataFrame:
     return log.groupBy("cell").applyInPandasWithState(step, "seq long, cell long, item string, hit boolean", "held array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
-def open_transactions(wal: DataFrame) -> DataFrame:
-    """(txn, record_type): running counts of begun and committed records for each transaction; open where they differ."""
-    counts = wal.groupBy("txn").agg(F.count_if(F.col("record_type") == "Begin").alias("begun"), F.count_if(F.col("record_type") == "Commit").alias("committed"))
+def open_transactions(wal: DataFrame, late: str = "10 minutes", most: str = "1 hour") -> DataFrame:
+    """(ts, txn, record_type): each transaction's counts within a session, which ends when nothing came for so long, so that its state ends too; open where none was committed."""
+    sessions = wal.withWatermark("ts", late).groupBy(F.session_window("ts", most), "txn")
+    counts = sessions.agg(F.count_if(F.col("record_type") == "Begin").alias("begun"), F.count_if(F.col("record_type") == "Commit").alias("committed"))
     return counts.withColumn("open", (F.col("begun") > 0) & (F.col("committed") == 0))

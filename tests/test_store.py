@@ -121,6 +121,10 @@ def test_command_line(spark, tmp_path, capsys):
     assert Store(spark, at).stats().first().tiles == 1 and main([at, "verify"], spark) == 0
     assert main([at, "commit", "--cells", "c", "--ts", "1"], spark) == 0 and main([at, "log"], spark) == 0
     assert main([at, "remember", "1", "k", "v", "2"], spark) == 0 and main([at, "search", "k"], spark) == 0
+    assert main([at, "metrics"], spark) == 0 and main([at, "query", "rev_head", "/root/testdata/sf0.001"], spark) == 0
+    assert "store_tiles_total 1" in capsys.readouterr().out
+    assert main([at, "read", Store(spark, at).memories().first().id], spark) == 0 and Store(spark, at).memories().first().access_count == 1
+    assert main([at, "health"], spark) == 0
     assert main([at, "gc"], spark) == 0
     assert capsys.readouterr().out.strip().endswith("1")
     assert Store(spark, at).table("memory").where(F.col("key") == "k").count() == 1

@@ -48,6 +48,6 @@ def test_lru_hits(run):
 
 
 def test_open_transactions(run):
-    rows = [(1, "Begin"), (1, "Commit"), (2, "Begin")]
-    got = run(rows, "txn int, record_type string", streams.open_transactions, "complete")
-    assert {r.txn for r in got if r.open} == {2}
+    rows = [(at(0), 1, "Begin"), (at(5), 1, "Commit"), (at(6), 2, "Begin")]
+    got = run(rows, "ts timestamp, txn int, record_type string", streams.open_transactions, "complete")
+    assert {r.txn for r in got if r.open} == {2} and len(got) == 2

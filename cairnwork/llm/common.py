@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import Written, shared_dir
+
+__all__ = ["Written", "shared_dir"]
+
 #: One word, as every operator on words takes it.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one numpy step holds at a time; a longer text is one step of its own.
@@ -22,43 +24,12 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Only a local session, whose executors are this machine, may go without."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None and sc.master != "local" and not sc.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cairnwork-"))
-    return sc.getCheckpointDir()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """The frame with its lineage cut by a reliable checkpoint, which outlives executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-class Written:
-    """Tables of a loop in the shared folder: each round reads what the round before wrote, and the rounds before that go.
-
-    A table read again carries no constraints, which over many rounds of checkpoints grow past what can be compiled.
-    """
-
-    def __init__(self, spark: SparkSession, keep: int = 2):
-        self.spark, self.keep, self.paths = spark, keep, []
-        self.folder = f"{shared_dir(spark)}/rounds-{uuid.uuid4().hex}"
-
-    def __call__(self, df: DataFrame, name: str | None = None) -> DataFrame:
-        path = f"{self.folder}/{name or len(self.paths)}"
-        df.write.parquet(path)
-        self.paths.append(path)
-        for old in self.paths[: -self.keep]:
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(old)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-
 def null_safe_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SpanHasher, chunks, cut, null_safe_text, numbered, owners, word_spans
+from .common import SpanHasher, chunks, cut, mix, null_safe_text, numbered, owners, word_spans
 from .components import components
+from .tiles import least_in_component, meetings, shared_counts
 
 N_GRAM = 5
 THRESHOLD = (4, 5)  # a fraction: similarity is compared in whole numbers
@@ -31,8 +32,6 @@ TARGET_RECALL = 0.9995
 MAX_HASHES = 192
 #: Classes in a tile of a candidate group.
 TILE = 1024
-#: Shared n-grams that one block of the verification counts at a time.
-BLOCK = 4096
 
 
 def choose_bands(similarity: float, recall: float = TARGET_RECALL, most: int = MAX_HASHES) -> tuple[int, int]:
@@ -56,7 +55,10 @@ def n_grams(data: np.ndarray, offsets: np.ndarray, n: int = N_GRAM) -> tuple[np.
     gram_firsts = np.r_[0, np.cumsum(grams)]
     begin = np.arange(gram_firsts[-1]) - np.repeat(gram_firsts[:-1] - firsts[:-1], grams)
     hashes = run(begin, begin + np.repeat(np.minimum(count, n), grams))
-    whole = np.stack([run(firsts[:-1], firsts[1:]), SpanHasher(SpanHasher.of_bytes(data, 2)(starts, ends))(firsts[:-1], firsts[1:])], axis=1)
+    # The second hash of a sequence adds up words mixed with their places, so that no sequence fools both.
+    place = (np.arange(len(words)) - firsts[owners(firsts)]).astype(np.uint64)
+    placed = np.r_[np.uint64(0), np.cumsum(mix(SpanHasher.of_bytes(data, 2)(starts, ends) + mix(place + np.uint64(1))), dtype=np.uint64)]
+    whole = np.stack([run(firsts[:-1], firsts[1:]), placed[firsts[1:]] - placed[firsts[:-1]]], axis=1)
     return hashes, gram_firsts, whole
 
 
@@ -97,17 +99,6 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", null_safe_text().alias("text")).mapInArrow(run, schema)
 
 
-def _least_in_component(links: np.ndarray) -> np.ndarray:
-    """For each row of a symmetric boolean matrix the least index that its links reach."""
-    label = np.arange(len(links))
-    while True:
-        new = np.minimum(label, np.where(links, label[None, :], len(links)).min(axis=1, initial=len(links)))
-        new = np.minimum(new, new[new])
-        if (new == label).all():
-            return label
-        label = new
-
-
 def verify(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of one group: ids, the least id that links reach, and the weight of all linked rows. left and right say on which side a class stands."""
     grams, firsts, _ = n_grams(data, offsets)
@@ -117,40 +108,21 @@ def verify(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, weights: np.n
     new[1:] = (grams[order][1:] != grams[order][:-1]) | (doc[order][1:] != doc[order][:-1])
     doc, grams = doc[order][new], grams[order][new]
     sizes = np.bincount(doc, minlength=len(ids))
-    _, gram, times = np.unique(grams, return_inverse=True, return_counts=True)
-    shared = times[gram] > 1
-    doc, gram = doc[shared], gram[shared]
-    _, gram = np.unique(gram, return_inverse=True)
-    order = np.argsort(gram, kind="stable")
-    doc, gram = doc[order], gram[order]
-    common = np.zeros((len(ids), len(ids)), np.float32)
-    for lo in range(0, int(gram[-1]) + 1 if len(gram) else 0, BLOCK):
-        a, b = np.searchsorted(gram, (lo, lo + BLOCK))
-        block = np.zeros((len(ids), min(BLOCK, int(gram[-1]) + 1 - lo)), np.float32)
-        block[doc[a:b], gram[a:b] - lo] = 1
-        common += block @ block.T
+    common = shared_counts(len(ids), doc, grams)
     up, down = threshold
     both = sizes[:, None] + sizes[None, :]
     linked = (common * (up + down) >= up * both) & ((left[:, None] & right[None, :]) | (right[:, None] & left[None, :]))
     np.fill_diagonal(linked, False)
-    return ids[_least_in_component(linked)], linked @ weights, linked.any(axis=1)
+    return ids[least_in_component(linked)], linked @ weights, linked.any(axis=1)
 
 
 def link_classes(classes: DataFrame, docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, tile: int = TILE) -> DataFrame:
     """(rep, class_rep, links) for the classes (rep, n, bands) that link to others; links counts rows of other classes."""
-    spark = classes.sparkSession
     each = classes.select("rep", F.explode("bands").alias("band"))
     least = each.groupBy("band").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     ties = each.join(least, "band").where("rep != least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct()
     groups = cut(components(cut(ties)).withColumnRenamed("node", "rep").withColumnRenamed("label", "piece"))
-    sizes = groups.groupBy("piece").agg(F.count("*").alias("size"))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(groups.count() / tile))
-    last = F.ceil(F.col("size") / tile).cast("int") - 1
-    placed = groups.join(sizes, "piece").withColumn("own", F.pmod(F.xxhash64("rep"), last + 1).cast("int"))
-    # A group of one tile shares its task with others; tiles i <= j of a larger one meet in a task for each (i, j).
-    meetings = placed.select("rep", "piece", "own", F.explode(F.sequence(F.lit(0), last)).alias("other"), (last > 0).alias("large"))
-    key = F.when(F.col("large"), F.concat_ws(":", "piece", F.least("own", "other"), F.greatest("own", "other"))).otherwise(F.pmod(F.xxhash64("piece"), F.lit(buckets)).cast("string"))
-    side = meetings.select("rep", "piece", key.alias("task"), (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right"))
+    side = meetings(groups, tile)
     texts = docs.select(F.col("row_id").alias("rep"), "text").join(classes.select("rep", "n").join(groups.select("rep"), "rep", "left_semi"), "rep")
     rows = side.join(texts, "rep")
 
@@ -182,9 +154,11 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, rec
 
 def first_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs without those that link to a row before them in their component; a null text becomes empty."""
-    rows, _ = numbered(docs, *(c for c in docs.columns if c != "text"))
+    # Other columns travel as one value, so that their names cannot clash.
+    rows, back = numbered(docs.select("doc_id", "text", F.struct("*").alias("document")), "document")
     later = near_duplicates(rows.select("row_id", "text")).where("row_id != class_rep").select("row_id")
-    return rows.join(later, "row_id", "left_anti").select(*docs.columns)
+    stay = rows.join(later, "row_id", "left_anti")
+    return stay.select(*[(F.col("text") if c == "text" else F.col("document")[c]).alias(c) for c in docs.columns])
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

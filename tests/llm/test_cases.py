@@ -253,6 +253,23 @@ def test_jaccard(docs, messy, nothing, tile):
     assert op8_jaccard.near_duplicates(numbered(nothing)[0]).count() == 0
 
 
+def test_hashes_of_sequences_tell_them_apart():
+    """Two words in the order of the Thue-Morse sequence and its complement, which fool one polynomial hash modulo 2^64."""
+    order = [bin(i).count("1") % 2 for i in range(2048)]
+    rows = [" ".join("ab"[x] for x in order), " ".join("ba"[x] for x in order)]
+    data = "".join(rows).encode()
+    _, _, whole = op8_jaccard.n_grams(np.frombuffer(data, np.uint8), np.array([0, len(rows[0]), len(data)]))
+    assert whole[0, 0] == whole[1, 0] and whole[0, 1] != whole[1, 1]
+
+
+def test_first_of_each_takes_any_columns(docs, messy):
+    clash = docs.selectExpr("doc_id", "text", "row_id", "1 as row_doc_id", "2 as document", "3 as class_rep")
+    out = op8_jaccard.first_of_each(clash).collect()
+    assert len(out) < docs.count() and all((r.row_id, r.row_doc_id, r.document, r.class_rep) == (-r.doc_id, 1, 2, 3) for r in out)
+    many = op8_jaccard.first_of_each(messy)
+    assert many.columns == messy.columns and many.count() == len({r.class_rep for r in op8_jaccard.near_duplicates(numbered(messy)[0]).collect()})
+
+
 def test_bands_reach_their_recall():
     bands, rows = op8_jaccard.choose_bands(0.8, 0.999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and bands * rows <= op8_jaccard.MAX_HASHES

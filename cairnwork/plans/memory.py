@@ -41,7 +41,8 @@ def vector_metrics(t):
 
 @query("SELECT id, ROUND(importance, 6) AS importance FROM {memory} WHERE lifecycle <> 'Forgotten' AND (lower(key) LIKE '%src1%' OR lower(value) LIKE '%src1%' OR lower(lang) LIKE '%src1%')")
 def memory_text_search(t):
-    return ops.text_search(t.memory, "SRC1").select("id", F.round("importance", 6).alias("importance"))
+    """The most important first."""
+    return ops.text_search(t.memory, "SRC1").select("id", F.round("importance", 6).alias("importance")).orderBy(F.col("importance").desc(), "id")
 
 
 @query("SELECT memory_type, lifecycle, COUNT(*) AS entries, ROUND(AVG(importance), 6) AS mean_importance FROM {memory} GROUP BY 1, 2")

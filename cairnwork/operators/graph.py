@@ -8,38 +8,54 @@ from pyspark.sql import functions as F
 
 from ..shared import Written
 
+#: Up to so many rows a round's table is sent to every executor; larger ones are joined where they lie.
+FEW = 20_000
+
+
+def joinable(df: DataFrame, rows: int) -> DataFrame:
+    """A table of counted rows with the way that joins take it. A file's size says little about rows that compress well."""
+    return df.hint("broadcast" if rows <= FEW else "merge")
+
 
 def closure(edges: DataFrame, limit: int | None = None) -> DataFrame:
     """(node, reached, depth): everything that a node reaches, with the least number of steps.
 
-    Paths are doubled, so the rounds grow with the logarithm of the longest path; each round keeps one row a pair.
+    Reach is doubled, so the rounds grow with the logarithm of the longest path. A shortest path of more than ``step``
+    steps passes a node at just that distance, so only pairs at that distance are led on, by all that was found so far.
     """
     written = Written(edges.sparkSession, keep=2)
     paths = written(edges.where("source is not null and target is not null and source <> target").groupBy(F.col("source").alias("node"), F.col("target").alias("reached")).agg(F.lit(1).alias("depth")))
-    seen = paths.agg(F.count("*"), F.sum("depth")).first()
-    while True:
+    step = 1
+    while (limit is None or step < limit) and not paths.where(F.col("depth") == step).isEmpty():
         on = paths.select(F.col("node").alias("reached"), F.col("reached").alias("further"), F.col("depth").alias("more"))
-        longer = paths.join(on, "reached").select("node", F.col("further").alias("reached"), (F.col("depth") + F.col("more")).alias("depth")).where("node <> reached")
+        longer = paths.where(F.col("depth") == step).join(on, "reached").select("node", F.col("further").alias("reached"), (F.col("depth") + F.col("more")).alias("depth")).where("node <> reached")
         if limit is not None:
             longer = longer.where(F.col("depth") <= limit)
         paths = written(paths.union(longer).groupBy("node", "reached").agg(F.min("depth").alias("depth")))
-        now = paths.agg(F.count("*"), F.sum("depth")).first()
-        if now == seen:
-            return paths
-        seen = now
+        step *= 2
+    return paths
 
 
 def reach_of(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """(root, node, depth) of what each asked root reaches along edges, itself at depth 0; only asked roots are followed.
 
-    Each round's new nodes are a table of their own; a node met before is not followed again, so cycles end too.
+    Edges are written once. Each round's new nodes are a table of their own; a node met before is not followed again, so
+    cycles end too. Where roots have a column ``floor`` and edges ``at``, targets below their root's floor are left out.
     """
+    floored = "floor" in roots.columns
+    keys = ["root", "floor"] if floored else ["root"]
     written = Written(roots.sparkSession)
-    front = written(roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("depth")).where("root is not null").distinct())
-    while not front.isEmpty():
-        step = front.join(edges.select(F.col("source").alias("node"), F.col("target").alias("next")).where("next is not null"), "node").select("root", F.col("next").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
-        front = written(step.join(written.all(front).select("root", "node"), ["root", "node"], "left_anti"))
-    return written.all(front)
+    onward = Written(roots.sparkSession)(edges.where("source is not null and target is not null").select(F.col("source").alias("node"), F.col("target").alias("next"), *["at"] * floored).distinct())
+    front = written(roots.where("root is not null").select(*keys, F.col("root").alias("node"), F.lit(0).alias("depth")).distinct())
+    depth, met = 0, 0
+    while rows := front.count():
+        depth, met = depth + 1, met + rows
+        step = onward.hint("merge").join(joinable(front, rows), "node")
+        if floored:
+            step = step.where("floor is null or at is null or at >= floor")
+        step = step.select(*keys, F.col("next").alias("node"), F.lit(depth).alias("depth")).distinct()
+        front = written(step.join(joinable(written.all(front).select("root", "node"), met), ["root", "node"], "left_anti"))
+    return written.all(front).select("root", "node", "depth")
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:
@@ -64,27 +80,28 @@ def levels(edges: DataFrame) -> DataFrame:
 
     Each round's table has what stands above the round before; a node's level is the last round that it is in.
     """
-    edges = edges.where("source is not null and target is not null").select("source", "target").distinct()
+    edges = Written(edges.sparkSession)(edges.where("source is not null and target is not null").select("source", "target").distinct())
     nodes = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
     most, written = nodes.count(), Written(edges.sparkSession)
-    at = written(nodes.join(edges.select(F.col("source").alias("node")), "node", "left_anti").withColumn("level", F.lit(0)))
+    at = written(nodes.join(edges.select(F.col("source").alias("node")).hint("merge"), "node", "left_anti").withColumn("level", F.lit(0)))
     depth = 0
-    while not at.isEmpty():
+    while rows := at.count():
         depth += 1
         if depth > most:
             raise ValueError("the graph has a cycle")
-        at = written(edges.join(at.select(F.col("node").alias("target")), "target", "left_semi").select(F.col("source").alias("node"), F.lit(depth).alias("level")).distinct())
+        at = written(edges.join(joinable(at.select(F.col("node").alias("target")), rows), "target", "left_semi").select(F.col("source").alias("node"), F.lit(depth).alias("level")).distinct())
     return written.all(at).groupBy("node").agg(F.max("level").alias("level"))
 
 
 def reachable(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
     """(node, depth) of all that roots (node) reach, roots included; each round follows new nodes only."""
     written = Written(edges.sparkSession)
-    front, depth = written(roots.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0))), 0
-    while (most is None or depth < most) and not front.isEmpty():
-        depth += 1
-        step = edges.join(front.select(F.col("node").alias("source")), "source", "left_semi").select(F.col("target").alias("node"), F.lit(depth).alias("depth")).where("node is not null").distinct()
-        front = written(step.join(written.all(front).select("node"), "node", "left_anti"))
+    edges = Written(edges.sparkSession)(edges.where("source is not null and target is not null").select("source", "target").distinct())
+    front, depth, met = written(roots.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0))), 0, 0
+    while (most is None or depth < most) and (rows := front.count()):
+        depth, met = depth + 1, met + rows
+        step = edges.join(joinable(front.select(F.col("node").alias("source")), rows), "source", "left_semi").select(F.col("target").alias("node"), F.lit(depth).alias("depth")).distinct()
+        front = written(step.join(joinable(written.all(front).select("node"), met), "node", "left_anti"))
     return written.all(front)
 
 
@@ -96,7 +113,7 @@ def within_bytes(plan: DataFrame, order: list, size: str, cap: int, keys: tuple[
 
 def executed(roots: DataFrame, edges: DataFrame, sizes: DataFrame, max_compute: int) -> DataFrame:
     """(root, executed, bytes_moved, budget_exceeded): each root's closure in the order of levels and nodes, up to max_compute steps. Nodes without a size are not run."""
-    order = reach_of(roots, edges).select("root", "node").join(sizes, "node").join(levels(edges), "node", "left")
+    order = reach_of(roots, edges).select("root", "node").join(sizes.hint("merge"), "node").join(levels(edges).hint("merge"), "node", "left")
     step = F.row_number().over(W.partitionBy("root").orderBy(F.coalesce("level", F.lit(0)), "node"))
     within = F.col("step") <= max_compute
     return order.withColumn("step", step).groupBy("root").agg(F.count_if(within).alias("executed"), F.sum(F.when(within, F.col("size")).otherwise(0)).alias("bytes_moved"), (F.count("*") > max_compute).alias("budget_exceeded"))
@@ -109,30 +126,36 @@ def prefetch_plan(targets: DataFrame, edges: DataFrame, sizes: DataFrame, cached
     With a cap a plan ends before the first node, by depth, priority and node, whose running bytes (column running) pass
     it, and targets whose plan has ended are followed no further.
     """
-    usable = edges.where("kind < 4").join(cached.select(F.col("node").alias("target")), "target", "left_anti").groupBy("source", "target").agg(F.min("kind").alias("kind"))
-    sized = sizes.groupBy("node").agg(F.max("size").alias("size"))
+    keep = Written(targets.sparkSession)
+    cached = keep(cached.select("node").where("node is not null").distinct())
+    uncached = joinable(cached.withColumnRenamed("node", "target"), cached.count())
+    usable = edges.where("kind < 4").join(uncached, "target", "left_anti").groupBy("source", "target").agg(F.min("kind").alias("kind"))
+    sized = sizes.groupBy("node").agg(F.max("size").cast("long").alias("size"))
+    # Edges carry the size of what they lead to, so that rounds need no other table.
+    onward = keep(usable.join(sized.select(F.col("node").alias("target"), "size").hint("merge"), "target", "left").select(F.col("source").alias("node"), F.col("target").alias("next"), "kind", F.coalesce("size", F.lit(0)).alias("size")))
     written = Written(targets.sparkSession)
     so_far = W.partitionBy("target").orderBy("priority", "node").rowsBetween(W.unboundedPreceding, W.currentRow)
 
-    def round_of(new: DataFrame, before: DataFrame | None) -> DataFrame:
-        new = new.join(sized, "node", "left").select("target", "node", "depth", "priority", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
+    def round_of(new: DataFrame) -> DataFrame:
         if cap is None:
-            return written(new.withColumns({"running": F.lit(None).cast("long"), "ended": F.lit(False)}))
-        if before is not None:
-            new = new.join(before.groupBy("target").agg(F.max("running").alias("spent")), "target", "left")
-        spent = F.coalesce("spent", F.lit(0)) if before is not None else F.lit(0)
-        new = new.withColumn("running", (F.sum("size").over(so_far) + spent).cast("long"))
+            return written(new.select("target", "node", "depth", "priority", "size", F.lit(None).cast("long").alias("running"), F.lit(False).alias("ended")))
+        new = new.withColumn("running", (F.sum("size").over(so_far) + F.col("spent")).cast("long"))
         last = F.max("running").over(W.partitionBy("target")) > cap
         return written(new.withColumn("ended", last).select("target", "node", "depth", "priority", "size", "running", "ended"))
 
-    start = targets.join(cached.select("node"), targets.target == cached.node, "left_anti")
-    front = round_of(start.select("target", F.col("target").alias("node"), F.lit(0).alias("depth"), F.lit(0).alias("priority")), None)
-    depth = 0
-    while not front.isEmpty():
-        depth += 1
-        onward = usable.select(F.col("source").alias("node"), F.col("target").alias("next"), "kind")
-        step = front.where("not ended").join(onward, "node").groupBy("target", F.col("next").alias("node")).agg(F.lit(depth).alias("depth"), F.min("kind").alias("priority"))
-        met = written.all(front)
-        front = round_of(step.join(met.select("target", "node"), ["target", "node"], "left_anti").select("target", "node", "depth", "priority"), met)
+    start = targets.select("target").join(uncached, "target", "left_anti").withColumn("node", F.col("target")).join(sized.hint("merge"), "node", "left")
+    front = round_of(start.select("target", "node", F.lit(0).alias("depth"), F.lit(0).alias("priority"), F.coalesce("size", F.lit(0)).alias("size"), F.lit(0).cast("long").alias("spent")))
+    depth, met = 0, 0
+    while rows := front.count():
+        depth, met = depth + 1, met + rows
+        ahead = front.where("not ended")
+        if cap is not None:
+            # What a target spent up to a round is the most that the round's rows say.
+            ahead = ahead.withColumn("spent", F.max("running").over(W.partitionBy("target")))
+        else:
+            ahead = ahead.withColumn("spent", F.lit(0).cast("long"))
+        step = onward.withColumnRenamed("size", "its").hint("merge").join(joinable(ahead.select("target", "node", "spent"), rows), "node")
+        step = step.groupBy("target", F.col("next").alias("node")).agg(F.lit(depth).alias("depth"), F.min("kind").alias("priority"), F.first("its").alias("size"), F.first("spent").alias("spent"))
+        front = round_of(step.join(joinable(written.all(front).select("target", "node"), met), ["target", "node"], "left_anti"))
     out = written.all(front)
     return out.drop("running", "ended") if cap is None else out.where(F.col("running") <= cap).drop("ended")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .graph import closure, reach_of
+from ..shared import Written
+from .graph import closure, joinable, reach_of
 
 
 def ancestors(revisions: DataFrame) -> DataFrame:
@@ -23,26 +25,71 @@ def behind(asked: DataFrame, parents: DataFrame) -> DataFrame:
     return reach_of(asked.select(F.col("rev").alias("root")), parent_edges(parents)).select(F.col("root").alias("rev"), F.col("node").alias("ancestor"), "depth")
 
 
-def is_ancestor(pairs: DataFrame, parents: DataFrame) -> DataFrame:
-    """pairs (rev, asked) with ``found``: whether asked is rev or behind it."""
-    lineage = behind(pairs.select("rev").distinct(), parents).select("rev", F.col("ancestor").alias("asked"), F.lit(True).alias("found"))
-    return pairs.join(lineage, ["rev", "asked"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+def timed(parents: DataFrame, times: DataFrame) -> tuple[DataFrame, bool]:
+    """Parent edges (source, target, at) with the target's time, written; and whether every edge has both times and none leads to a later one."""
+    at = times.select("rev", "ts").groupBy("rev").agg(F.max("ts").alias("ts")).hint("merge")
+    of = lambda end, name: at.select(F.col("rev").alias(end), F.col("ts").alias(name))
+    edges = Written(parents.sparkSession)(parent_edges(parents).distinct().join(of("target", "at"), "target", "left").join(of("source", "since"), "source", "left").select("source", "target", "at", "since"))
+    return edges.drop("since"), edges.where("at is null or since is null or at > since").isEmpty()
 
 
-def latest_common(pairs: DataFrame, parents: DataFrame, times: DataFrame) -> DataFrame:
-    """(a, b, ancestor): the latest revision (rev, ts in times) that is behind both or is one of them, the least id of equal times; no row without one."""
-    both = pairs.select("a", "b").distinct()
-    lineage = behind(both.select(F.col("a").alias("rev")).union(both.select("b")).distinct(), parents)
-    of = lambda side: both.join(lineage.select(F.col("rev").alias(side), "ancestor"), side).select("a", "b", "ancestor")
-    shared = of("a").join(of("b"), ["a", "b", "ancestor"], "left_semi").join(times.select(F.col("rev").alias("ancestor"), "ts"), "ancestor")
-    best = shared.groupBy("a", "b").agg(F.max("ts").alias("ts"))
-    return shared.join(best, ["a", "b", "ts"]).groupBy("a", "b").agg(F.min("ancestor").alias("ancestor"))
+def is_ancestor(pairs: DataFrame, parents: DataFrame, times: DataFrame | None = None) -> DataFrame:
+    """pairs (rev, asked) with ``found``: whether asked is rev or behind it.
+
+    With times (rev, ts), and if no parent is later than its child, nothing older than what is asked is followed.
+    """
+    roots, edges = pairs.select(F.col("rev").alias("root")).distinct(), None
+    if times is not None:
+        edges, falling = timed(parents, times)
+        if falling:
+            oldest = times.groupBy(F.col("rev").alias("asked")).agg(F.max("ts").alias("ts")).hint("merge")
+            # An asked revision without a time keeps all that is behind rev.
+            floors = pairs.select("rev", "asked").join(oldest, "asked", "left").groupBy("rev").agg(F.min("ts").alias("floor"), F.count_if(F.col("ts").isNull()).alias("open"))
+            roots = floors.select(F.col("rev").alias("root"), F.when(F.col("open") == 0, F.col("floor")).alias("floor"))
+    lineage = reach_of(roots, parent_edges(parents) if edges is None else edges).select(F.col("root").alias("rev"), F.col("node").alias("asked"), F.lit(True).alias("found"))
+    return pairs.join(lineage.hint("merge"), ["rev", "asked"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
-def rejected(added: DataFrame, parents: DataFrame) -> DataFrame:
+def latest_common(pairs: DataFrame, parents: DataFrame, times: DataFrame) -> DataFrame:
+    """(a, b, ancestor): the latest revision (rev, ts in times) that is behind both or is one of them, the least id of equal times; no row without one.
+
+    Both sides of a pair are followed a step a round. If no parent is later than its child, nothing older than a common
+    revision that is known is followed, and a pair without anything to follow is written and left.
+    """
+    edges, falling = timed(parents, times)
+    edges = edges.withColumnsRenamed({"source": "node", "target": "next"})
+    at = times.groupBy(F.col("rev").alias("node")).agg(F.max("ts").alias("ts")).hint("merge")
+    rounds, done = Written(pairs.sparkSession, keep=2), Written(pairs.sparkSession)
+    both = pairs.select("a", "b").where("a is not null and b is not null").distinct()
+    sides = both.select("a", "b", F.col("a").alias("node"), F.lit(1).alias("sides")).union(both.select("a", "b", F.col("b"), F.lit(2)))
+    # sides: 1 behind a, 2 behind b, 3 both; old: what was known a round before.
+    state = sides.join(at, "node", "left").select("a", "b", "node", "ts", "sides", F.lit(0).alias("old"))
+    of_pair = W.partitionBy("a", "b")
+    while True:
+        state = state.repartition("a", "b").groupBy("a", "b", "node").agg(F.max("ts").alias("ts"), F.bit_or("sides").alias("sides"), F.bit_or("old").alias("old"))
+        state = state.withColumn("best", F.max(F.when(F.col("sides") == 3, F.col("ts"))).over(of_pair))
+        follows = F.col("sides") != F.col("old")
+        if falling:
+            follows = follows & (F.col("best").isNull() | F.coalesce(F.col("ts") >= F.col("best"), F.lit(False)))
+        state = state.withColumn("follows", follows)
+        state = rounds(state.withColumn("open", F.max("follows").over(of_pair)))
+        best = state.where("not open and sides = 3 and ts = best").groupBy("a", "b").agg(F.min("node").alias("ancestor"))
+        found = done(best)
+        front = state.where("follows").select("a", "b", "node", (F.col("sides") - F.col("old")).alias("fresh"), "best")
+        rows = front.count()
+        if rows == 0:
+            return done.all(found)
+        step = edges.hint("merge").join(joinable(front, rows), "node")
+        if falling:
+            step = step.where("best is null or at >= best")
+        known = state.where("open").select("a", "b", "node", "ts", "sides", F.col("sides").alias("old"))
+        state = known.union(step.select("a", "b", F.col("next").alias("node"), F.col("at").alias("ts"), F.col("fresh").alias("sides"), F.lit(0).alias("old")))
+
+
+def rejected(added: DataFrame, parents: DataFrame, times: DataFrame | None = None) -> DataFrame:
     """Of edges to add (rev, parent) those that would close a cycle: the parent is the revision itself or has it behind it."""
     asked = added.select(F.col("parent").alias("rev"), F.col("rev").alias("asked")).where("rev is not null").distinct()
-    return is_ancestor(asked, parents).where("found").select(F.col("asked").alias("rev"), F.col("rev").alias("parent"))
+    return is_ancestor(asked, parents, times).where("found").select(F.col("asked").alias("rev"), F.col("rev").alias("parent"))
 
 
 def merged_lists(a: DataFrame, b: DataFrame, ancestor: DataFrame, keys: list[str], with_ancestor: bool) -> DataFrame:
@@ -52,6 +99,22 @@ def merged_lists(a: DataFrame, b: DataFrame, ancestor: DataFrame, keys: list[str
     return ancestor.select(*keys, F.lit("ancestor").alias("origin")).union(out) if with_ancestor else out
 
 
+def merged_counts(a: DataFrame, b: DataFrame, ancestor: DataFrame, items: DataFrame, keys: list[str], column: str, with_ancestor: bool) -> DataFrame:
+    """(keys, origin, column, n): merged_lists() of each pair with repeats as a number.
+
+    a, b and ancestor are (keys, rev), items (rev, column); items are joined once, and one grouping tells what is fresh.
+    """
+    of = lambda df, name: df.select(*keys, "rev", F.lit(name).alias("side"))
+    asked = of(a, "a").union(of(b, "b")).union(of(ancestor, "ancestor")).where("rev is not null")
+    n = lambda name: F.count_if(F.col("side") == name).alias(f"of_{name}")
+    # An item without a value equals none, so it is fresh on each side.
+    counted = items.hint("merge").join(asked, "rev").groupBy(*keys, column).agg(n("a"), n("b"), n("ancestor"))
+    fresh = (F.col("of_ancestor") == 0) | F.col(column).isNull()
+    rows = [F.when(fresh, F.col(f"of_{name}")).otherwise(0) for name in ("a", "b")] + [F.col("of_ancestor") if with_ancestor else F.lit(0).cast("long")]
+    listed = F.explode(F.array(*[F.struct(F.lit(name).alias("origin"), c.alias("n")) for name, c in zip(("a", "b", "ancestor"), rows)])).alias("x")
+    return counted.select(*keys, column, listed).where("x.n > 0").select(*keys, "x.origin", column, "x.n")
+
+
 def effective(heads: DataFrame, lineage: DataFrame, changes: DataFrame) -> DataFrame:
     """(head, cell, rev, amount): the state of each cell at a head is its change nearest to it."""
     reach = lineage.join(heads, F.col("rev") == F.col("head")).select("head", F.col("ancestor").alias("rev"), "depth").union(heads.select("head", F.col("head").alias("rev"), F.lit(0)))

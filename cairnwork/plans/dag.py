@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph, revision
@@ -22,7 +25,7 @@ def _times(t):
 @query(f"{_LINE} SELECT p.a, p.b, EXISTS (SELECT 1 FROM line l WHERE l.root = p.a AND l.node = p.b) AS behind FROM p")
 def dag_is_ancestor(t):
     """Of asked pairs whether b is behind a."""
-    return revision.is_ancestor(_pairs(t).toDF("rev", "asked"), t.dag).select(F.col("rev").alias("a"), F.col("asked").alias("b"), F.col("found").alias("behind"))
+    return revision.is_ancestor(_pairs(t).toDF("rev", "asked"), t.dag, _times(t)).select(F.col("rev").alias("a"), F.col("asked").alias("b"), F.col("found").alias("behind"))
 
 
 @query(f"{_LINE}, {_COMMON} SELECT a, b, ancestor FROM common")
@@ -33,15 +36,14 @@ def dag_common_ancestor(t):
 @query(f"{_LINE} SELECT p.a AS rev, p.b AS parent FROM p WHERE EXISTS (SELECT 1 FROM line l WHERE l.root = p.b AND l.node = p.a)")
 def dag_cycle_rejection(t):
     """Of the edges that make b a parent of a those that must be refused."""
-    return revision.rejected(_pairs(t).toDF("rev", "parent"), t.dag)
+    return revision.rejected(_pairs(t).toDF("rev", "parent"), t.dag, _times(t))
 
 
-def _merge(t, column):
+def _merged(t, column, with_ancestor):
     pairs = _pairs(t).where("a % 3 = 0")
-    common = revision.latest_common(pairs, t.dag, _times(t))
-    items = t.rev_cells.select("rev", column)
-    of = lambda df, side: df.join(items, F.col(side) == F.col("rev")).select("a", "b", column)
-    return of(pairs, "a"), of(pairs, "b"), of(common, "ancestor")
+    common = revision.latest_common(pairs, t.dag, _times(t)).withColumnRenamed("ancestor", "rev")
+    side = lambda c: pairs.select("a", "b", F.col(c).alias("rev"))
+    return revision.merged_counts(side("a"), side("b"), common, t.rev_cells.select("rev", column), ["a", "b"], column, with_ancestor)
 
 
 def _merged_sql(column, own):
@@ -54,15 +56,13 @@ def _merged_sql(column, own):
 @query(_merged_sql("cell", True))
 def dag_merged_cells(t):
     """Cells that a merge of a and b lists: the common ancestor's, then what each side has beyond it; repeats are kept as a number."""
-    merged = revision.merged_lists(*_merge(t, "cell"), ["a", "b", "cell"], True)
-    return merged.groupBy("a", "b", "origin", "cell").agg(F.count("*").alias("n"))
+    return _merged(t, "cell", True)
 
 
 @query(_merged_sql("tile", False))
 def dag_merged_tiles(t):
     """Tiles that a merge of a and b lists: what each side has beyond the common ancestor, whose own tiles are not listed again."""
-    merged = revision.merged_lists(*_merge(t, "tile"), ["a", "b", "tile"], False)
-    return merged.groupBy("a", "b", "origin", "tile").agg(F.count("*").alias("n"))
+    return _merged(t, "tile", False)
 
 
 _MARK = """WITH RECURSIVE edges AS (SELECT 'r' || CAST(rev AS STRING) AS source, 'r' || CAST(parent AS STRING) AS target FROM {dag} WHERE parent IS NOT NULL
@@ -75,14 +75,18 @@ _MARK = """WITH RECURSIVE edges AS (SELECT 'r' || CAST(rev AS STRING) AS source,
 @query(f"{_MARK} SELECT substring(n.node, 1, 1) AS kind, COUNT(m.node) AS reached, CAST(COUNT(*) - COUNT(m.node) AS BIGINT) AS lost FROM nodes n LEFT JOIN mark m ON m.node = n.node GROUP BY 1")
 def gc_mark(t):
     """What live revisions (status P, key in threes) reach over parents, changed cells and tiles, and the hard dependencies of cells."""
-    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
-    edge = lambda df, a, x, b, y: df.select(name(a, x).alias("source"), name(b, y).alias("target"))
-    edges = edge(t.dag.where("parent is not null"), "r", "rev", "r", "parent").union(edge(t.rev_cells, "r", "rev", "c", "cell")).union(edge(t.rev_cells, "r", "rev", "t", "tile")).union(edge(t.deps.where("kind < 3"), "c", "source", "c", "target")).distinct()
-    roots = t.orders.where("o_orderstatus = 'P' and o_orderkey % 3 = 0").select(name("r", "o_orderkey").alias("node"))
-    marked = graph.reachable(edges, roots).select("node", F.lit(1).alias("live"))
-    nodes = edges.select(F.col("source").alias("node")).union(edges.select("target")).union(roots).distinct()
-    joined = nodes.join(marked, "node", "left").groupBy(F.substring("node", 1, 1).alias("kind"))
-    return joined.agg(F.count("live").alias("reached"), (F.count("*") - F.count("live")).alias("lost"))
+    parents, hard = revision.parent_edges(t.dag), t.deps.where("kind < 3").select("source", "target")
+    roots = t.orders.where("o_orderstatus = 'P' and o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("node"))
+    # Nothing leads back from cells to revisions or from tiles to anything, so each kind is marked from the one before it.
+    live = graph.reachable(parents, roots).select("node")
+    changed = t.rev_cells.join(live.withColumnRenamed("node", "rev").hint("merge"), "rev", "left_semi").select("cell", "tile")
+    marked = {"r": live, "c": graph.reachable(hard, changed.select(F.col("cell").alias("node"))).select("node"), "t": changed.select(F.col("tile").alias("node")).where("node is not null").distinct()}
+    ends = lambda df, *columns: [df.select(F.col(c).alias("node")) for c in columns]
+    known = {"r": [*ends(parents, "source", "target"), *ends(t.rev_cells, "rev"), roots], "c": [*ends(t.rev_cells, "cell"), *ends(hard, "source", "target")], "t": ends(t.rev_cells, "tile")}
+    of_kind = lambda kind, df, is_live: df.select(F.when(F.col("node").isNotNull(), kind).alias("kind"), "node", F.lit(is_live).alias("live"))
+    all_of = [of_kind(kind, df, 0) for kind, parts in known.items() for df in parts] + [of_kind(kind, df, 1) for kind, df in marked.items()]
+    nodes = reduce(DataFrame.union, all_of).groupBy("kind", "node").agg(F.max("live").alias("live"))
+    return nodes.groupBy("kind").agg(F.sum("live").alias("reached"), (F.count("*") - F.sum("live")).alias("lost"))
 
 
 _BUDGET = """WITH RECURSIVE walk AS (SELECT source AS node, target AS reached, 1 AS depth FROM {deps} UNION SELECT w.node, d.target, w.depth + 1 FROM walk w JOIN {deps} d ON d.source = w.reached),

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..shared import Written
+from .graph import joinable
+
 #: Ranges of values that a group is cut into.
 RANGES = 1024
 
@@ -16,22 +19,26 @@ def percentiles(samples: DataFrame, group: str, value: str, shares: Sequence[flo
     """(group, share, value): interpolated percentiles, exact. Null values take no part.
 
     A group's span is cut into ranges of equal width; counts of ranges say which of them hold the wanted ranks, and
-    only the values of those ranges are ranked. Equal values count once with their number, so ties make no large range.
+    only the values of those ranges are grouped and ranked. Equal values count once with their number, so ties make no large range.
     """
-    counted = samples.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).cast("double").alias("x")).agg(F.count("*").alias("n"))
-    span = counted.groupBy("g").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.sum("n").alias("total"))
+    written = Written(samples.sparkSession)
+    held = samples.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("x"))
+    span = written(held.groupBy("g").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("total")).where("g is not null"))
+    groups = span.count()
     place = F.least(F.floor((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * ranges), F.lit(ranges - 1))
-    placed = counted.join(span, "g").withColumn("range", F.when(F.col("high") > F.col("low"), place).otherwise(0))
-    sums = placed.groupBy("g", "range").agg(F.sum("n").alias("in_range"), F.first("total").alias("total"))
+    placed = held.join(joinable(span, groups), "g").select("g", "x", F.when(F.col("high") > F.col("low"), place).otherwise(0).alias("range"))
+    sums = placed.groupBy("g", "range").agg(F.count("*").alias("in_range"))
     so_far = W.partitionBy("g").orderBy("range").rowsBetween(W.unboundedPreceding, W.currentRow)
     sums = sums.withColumn("before", F.sum("in_range").over(so_far) - F.col("in_range"))
     asked = F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share")
     at = F.col("share") * (F.col("total") - 1)
     # Of each share the two ranks around its place.
     ranks = span.select("g", "total", asked).select("g", "share", at.alias("at"), F.explode(F.array(F.floor(at), F.ceil(at))).alias("rank"))
-    holding = ranks.join(sums.drop("total"), "g").where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("in_range"))).select("g", "share", "at", "rank", "range", "before").distinct()
+    holding = ranks.join(sums, "g").where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("in_range"))).select("g", "share", "at", "rank", "range", "before").distinct()
+    holding = written(holding)
+    wanted = joinable(holding.select("g", "range").distinct(), groups * 2 * len(shares))
     inside = W.partitionBy("g", "range").orderBy("x").rowsBetween(W.unboundedPreceding, W.currentRow)
-    near = placed.select("g", "range", "x", "n").join(holding.select("g", "range").distinct(), ["g", "range"], "left_semi").withColumn("upto", F.sum("n").over(inside))
+    near = placed.join(wanted, ["g", "range"], "left_semi").groupBy("g", "range", "x").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(inside))
     hit = near.join(holding, ["g", "range"]).where((F.col("rank") - F.col("before") < F.col("upto")) & (F.col("rank") - F.col("before") >= F.col("upto") - F.col("n")))
     weight = F.when(F.floor("at") == F.ceil("at"), 1.0).when(F.col("rank") == F.floor("at"), F.ceil("at") - F.col("at")).otherwise(F.col("at") - F.floor("at"))
     return hit.groupBy(F.col("g").alias(group), "share").agg(F.sum(F.col("x") * weight).alias("value"))

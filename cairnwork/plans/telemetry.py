@@ -6,6 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import telemetry
+from ..operators.graph import joinable
+from ..shared import Written
 from .registry import query
 
 _EDGES = (10, 50, 100, 250, 500)
@@ -36,7 +38,8 @@ def latency_percentiles(t):
     """Exact percentiles without samples beyond three standard deviations."""
     samples = t.lineitem.select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").alias("x"))
     spread = samples.groupBy("flag").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s"))
-    kept = samples.join(spread, "flag").where(F.abs(F.col("x") - F.col("m")) <= 3 * F.col("s"))
+    spread = Written(t.spark)(spread)
+    kept = samples.join(joinable(spread, spread.count()), "flag").where(F.abs(F.col("x") - F.col("m")) <= 3 * F.col("s"))
     picked = telemetry.percentiles(kept, "flag", "x", (0.5, 0.95, 0.99))
     told = kept.groupBy("flag").agg(F.count("*").alias("n"), F.round(F.avg("x"), 4).alias("mean"), F.round(F.stddev_samp("x"), 4).alias("deviation"))
     p = lambda q: F.round(F.max(F.when(F.col("share") == q, F.col("value"))), 4)

@@ -16,6 +16,8 @@ SUPERBLOCK = (("magic", 8, "x"), ("version", 4, "u"), ("created_at", 8, "u"), ("
 SEGMENT = (("magic", 8, "x"), ("version_major", 4, "u"), ("version_minor", 4, "u"), ("index", 4, "u"), ("segment_type", 4, "u"), ("created_at_ns", 8, "u"), ("tile_count", 4, "u"), ("payload_offset", 8, "u"), ("payload_size", 8, "u"), ("index_offset", 8, "u"), ("index_size", 8, "u"), ("compression_flags", 4, "u"), ("checksum", 32, "x"), ("flags", 4, "u"))
 # Fixed value: bytes of a first block and of a segment's header, zeros after the last field.
 BLOCK = 4096
+#: Bytes of recoded values that a task holds before it hands them on.
+HELD = 1 << 21
 
 Layout = Sequence[tuple[str, int, str]]
 
@@ -86,8 +88,14 @@ def _recoded(tiles: DataFrame, column: str, work) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(column)
-            values = pa.array([None if x is None else work(x) for x in batch.column(at).to_pylist()], pa.binary())
-            yield batch.set_column(at, pa.field(column, pa.binary()), values)
+            start, values, held = 0, [], 0
+            for i, x in enumerate(batch.column(at)):
+                y = None if not x.is_valid else work(x.as_py())
+                values.append(y)
+                held += len(y or b"")
+                if held >= HELD or i == batch.num_rows - 1:
+                    yield batch.slice(start, len(values)).set_column(at, pa.field(column, pa.binary()), pa.array(values, pa.binary()))
+                    start, values, held = i + 1, [], 0
 
     return tiles.mapInArrow(run, tiles.schema)
 

@@ -19,7 +19,8 @@ def _pairs(t):
 
 
 def _times(t):
-    return t.orders.select(F.col("o_orderkey").alias("rev"), F.col("o_orderdate").alias("ts"))
+    """Of each revision its time and its family: the group of branches that its parents come from."""
+    return t.orders.select(F.col("o_orderkey").alias("rev"), F.col("o_orderdate").alias("ts"), F.floor(F.col("o_custkey") / 8).alias("family"))
 
 
 @query(f"{_LINE} SELECT p.a, p.b, EXISTS (SELECT 1 FROM line l WHERE l.root = p.a AND l.node = p.b) AS behind FROM p")

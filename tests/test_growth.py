@@ -7,10 +7,11 @@ from types import SimpleNamespace
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cairnwork import shared
 from cairnwork.functions import codecs
-from cairnwork.operators import graph, revision, telemetry
+from cairnwork.operators import families, graph, revision, telemetry
 
 
 @pytest.fixture
@@ -139,3 +140,32 @@ def test_recoded_payloads_are_handed_on_in_parts():
     assert max(p.column("payload").nbytes for p in parts) < 1 << 22 and len(parts) > 5
     assert [x for p in parts for x in p.column("own").to_pylist()] == list(range(200))
     assert [x for p in parts for x in p.column("payload").to_pylist()] == [bytes([i % 7]) * 100_000 if i % 9 else None for i in range(200)]
+
+
+def test_families_searched_whole_equal_rounds(spark, plans, monkeypatch):
+    draw = random.Random(11)
+    # Families of 12 revisions, in some of them cycles; the third is large. Revision 1000 is of no family, 1001 has no time at all.
+    edges = sorted({(i, draw.randrange(i // 12 * 12, i if i < 36 else i // 12 * 12 + 12)) for i in range(84) if i % 12 for _ in range(1 + i % 2)})
+    parents = spark.createDataFrame(edges + [(0, None), (1, 0)], "rev long, parent long")
+    times = spark.createDataFrame([(i, i // 4 if i % 20 else None, i // 12) for i in range(84)] + [(1000, 7, None)], "rev long, ts long, family long")
+    pairs = [(i, draw.randrange(i // 12 * 12, i // 12 * 12 + 12)) for i in range(84)] + [(7, 50), (1000, 1000), (1001, 1001), (1000, 5), (5, None)]
+    pairs = spark.createDataFrame(pairs + [(i, j) for i in range(24, 36) for j in range(24, 36)], "a long, b long").distinct()
+    monkeypatch.setattr(families, "LARGE", 100)
+    monkeypatch.setattr(families, "EACH", 40)
+    asked, plain, rows = pairs.toDF("rev", "asked"), times.drop("family"), lambda df: sorted(map(tuple, df.collect()), key=str)
+    for f in (lambda at: revision.is_ancestor(asked, parents, at), lambda at: revision.latest_common(pairs, parents, at)):
+        assert rows(f(times)) == rows(f(plain))
+    heads = spark.createDataFrame([(11,), (83,), (30,), (1001,), (None,)], "rev long")
+    assert rows(revision.behind(heads, parents, times)) == rows(revision.behind(heads, parents))
+    # A parent of another family: rounds.
+    mixed = times.withColumn("family", F.when(F.col("rev") == 44, 8).otherwise(F.col("family")))
+    assert rows(revision.behind(heads, parents, mixed)) == rows(revision.behind(heads, parents))
+
+
+def test_small_families_need_no_rounds(spark, plans):
+    parents, times = spark.createDataFrame([(i, i - 1) for i in range(50) if i % 25], "rev long, parent long"), spark.createDataFrame([(i, i, i // 25) for i in range(50)], "rev long, ts long, family int")
+    pairs = spark.createDataFrame([(24, 1), (49, 26), (49, 3)], "a long, b long")
+    assert sorted((r.rev, r.found) for r in revision.is_ancestor(pairs.toDF("rev", "asked"), parents, times).collect()) == [(24, True), (49, False), (49, True)]
+    assert sorted(r.ancestor for r in revision.latest_common(pairs, parents, times).collect()) == [1, 26]
+    assert revision.behind(pairs.select(pairs.a.alias("rev")), parents, times).count() == 50
+    assert len(plans) <= 12

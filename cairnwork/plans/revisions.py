@@ -16,6 +16,11 @@ def _heads(t):
     return t.revisions.groupBy("branch").agg(F.max(F.struct("ts", "rev"))["rev"].alias("head"))
 
 
+def _times(t):
+    """Of each revision its time and its family: a parent is of the same branch."""
+    return t.revisions.select("rev", "ts", F.col("branch").alias("family"))
+
+
 @query(f"{_LINE} SELECT rev, ancestor, CAST(depth AS INT) AS depth FROM line")
 def rev_ancestors(t):
     return revision.ancestors(t.revisions).select("rev", "ancestor", F.col("depth").cast("int").alias("depth"))
@@ -23,7 +28,7 @@ def rev_ancestors(t):
 
 @query(f"{_LINE} SELECT h.head, CAST(COUNT(l.ancestor) AS BIGINT) AS ancestors, CAST(COALESCE(MAX(l.depth), 0) AS BIGINT) AS dag_depth FROM ({_HEADS}) h LEFT JOIN line l ON l.rev = h.head GROUP BY h.head")
 def rev_dag_depth(t):
-    line = revision.behind(_heads(t).select(F.col("head").alias("rev")), t.revisions).withColumn("ancestor", F.when(F.col("depth") > 0, F.col("ancestor")))
+    line = revision.behind(_heads(t).select(F.col("head").alias("rev")), t.revisions, _times(t)).withColumn("ancestor", F.when(F.col("depth") > 0, F.col("ancestor")))
     return line.groupBy(F.col("rev").alias("head")).agg(F.count("ancestor").alias("ancestors"), F.coalesce(F.max("depth"), F.lit(0)).cast("long").alias("dag_depth"))
 
 
@@ -39,7 +44,7 @@ def rev_common_ancestor(t):
     """Of each branch's head and its parent: the latest revision that both have behind them or are."""
     revisions = t.revisions
     pairs = _heads(t).join(revisions, F.col("head") == F.col("rev")).where("parent is not null").select(F.col("head").alias("a"), F.col("parent").alias("b"))
-    return revision.latest_common(pairs, revisions, revisions)
+    return revision.latest_common(pairs, revisions, _times(t))
 
 
 @query("SELECT parent AS rev, COUNT(*) AS children FROM {revisions} WHERE parent IS NOT NULL GROUP BY parent")
@@ -73,7 +78,7 @@ _EFFECTIVE = f"{_LINE}, heads AS ({_HEADS}), reach AS (SELECT l.rev AS head, l.a
 @query(f"{_EFFECTIVE} SELECT head, cell, rev, amount FROM state")
 def rev_effective_graph(t):
     heads = _heads(t).select("head")
-    line = revision.behind(heads.select(F.col("head").alias("rev")), t.revisions)
+    line = revision.behind(heads.select(F.col("head").alias("rev")), t.revisions, _times(t))
     return revision.effective(heads, line.where("depth > 0"), t.rev_cells)
 
 

@@ -10,6 +10,10 @@ from ..shared import Written
 
 #: Up to so many rows a round's table is sent to every executor; larger ones are joined where they lie.
 FEW = 20_000
+#: Budgets of up to so many steps are worked out on lists of so many nodes, larger ones on the whole of what each root reaches.
+LISTED = 64
+#: Lists that are merged at once, about.
+MERGED = 1000
 
 
 def joinable(df: DataFrame, rows: int) -> DataFrame:
@@ -111,12 +115,62 @@ def within_bytes(plan: DataFrame, order: list, size: str, cap: int, keys: tuple[
     return plan.withColumn("running", F.sum(size).over(so_far)).where(F.col("running") <= cap)
 
 
+def first_needed(edges: DataFrame, nodes: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
+    """(node, needed) of every node of edges and nodes: the first ``most`` (level, node, nth, size) of what it reaches, itself included, by level and node.
+
+    What has no size is not listed. Levels are those of levels(): a node is done in the round after the last of its
+    targets, and hands its list on to its sources once, so no pair of nodes that are further apart is ever made.
+    """
+    keep = Written(edges.sparkSession)
+    edges = keep(edges.where("source is not null and target is not null").select("source", "target").distinct())
+    own = sizes.where("node is not null").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("size"))).alias("own")).hint("merge")
+    none = F.array().cast(own.schema["own"].dataType)
+    degrees = edges.groupBy("source").agg(F.count("*").alias("degree"))
+    every = edges.select(F.col("source").alias("node")).union(edges.select("target")).union(nodes.select("node").where("node is not null")).distinct()
+    every = keep(every.join(degrees.withColumnRenamed("source", "node").hint("merge"), "node", "left").join(own, "node", "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("own", none).alias("own")))
+    # Edges carry what their source waits for and its sizes, so that rounds need no other table.
+    onward = keep(edges.join(every.withColumnRenamed("node", "source").hint("merge"), "source").select(F.col("target").alias("node"), F.col("source").alias("next"), "degree", "own"))
+    rounds, left = Written(edges.sparkSession), every.count()
+
+    def listed(level: int, handed):
+        mine = F.transform("own", lambda x, i: F.struct(F.lit(level).alias("level"), F.col("node").alias("node"), i.alias("nth"), x["size"].alias("size")))
+        return F.slice(mine, 1, most) if handed is None else F.when(F.col("ready"), F.slice(F.concat(handed, mine), 1, most)).otherwise(handed)
+
+    columns = ["node", "degree", "own", "done", "needed", "ready"]
+    state = rounds(every.where("degree = 0").withColumns({"done": F.lit(0).cast("long"), "ready": F.lit(True)}).withColumn("needed", listed(0, None)).select(columns))
+    level = 0
+    while rows := (front := state.where("ready").select("node", "needed")).count():
+        level, left = level + 1, left - rows
+        handed = onward.hint("merge").join(joinable(front, rows * most), "node").select(F.col("next").alias("node"), "degree", "own", F.lit(1).cast("long").alias("done"), "needed", F.pmod(F.xxhash64("node"), F.ceil(F.col("degree") / MERGED)).alias("part"))
+        state = state.where("not ready").select("node", "degree", "own", "done", "needed", F.lit(0).cast("long").alias("part")).union(handed).repartition("node")
+        # Lists of a node with many targets are merged in parts first.
+        for by in (["node", "part"], ["node"]):
+            state = state.groupBy(*by).agg(F.first("degree").alias("degree"), F.first("own").alias("own"), F.sum("done").alias("done"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("needed")))), 1, most).alias("needed"))
+        state = state.withColumn("ready", F.col("done") == F.col("degree")).withColumn("needed", listed(level, F.col("needed")))
+        state = rounds(state.select(columns))
+    if left:
+        raise ValueError("the graph has a cycle")
+    return rounds.all(state).where("ready").select("node", "needed")
+
+
 def executed(roots: DataFrame, edges: DataFrame, sizes: DataFrame, max_compute: int) -> DataFrame:
     """(root, executed, bytes_moved, budget_exceeded): each root's closure in the order of levels and nodes, up to max_compute steps. Nodes without a size are not run."""
-    order = reach_of(roots, edges).select("root", "node").join(sizes.hint("merge"), "node").join(levels(edges).hint("merge"), "node", "left")
-    step = F.row_number().over(W.partitionBy("root").orderBy(F.coalesce("level", F.lit(0)), "node"))
-    within = F.col("step") <= max_compute
-    return order.withColumn("step", step).groupBy("root").agg(F.count_if(within).alias("executed"), F.sum(F.when(within, F.col("size")).otherwise(0)).alias("bytes_moved"), (F.count("*") > max_compute).alias("budget_exceeded"))
+    if max_compute > LISTED:
+        order = reach_of(roots, edges).select("root", "node").join(sizes.hint("merge"), "node").join(levels(edges).hint("merge"), "node", "left")
+        step = F.row_number().over(W.partitionBy("root").orderBy(F.coalesce("level", F.lit(0)), "node"))
+        within = F.col("step") <= max_compute
+        return order.withColumn("step", step).groupBy("root").agg(F.count_if(within).alias("executed"), F.sum(F.when(within, F.col("size")).otherwise(0)).alias("bytes_moved"), (F.count("*") > max_compute).alias("budget_exceeded"))
+    asked = roots.select("root").where("root is not null").distinct()
+    # One more than the budget says whether it is exceeded.
+    order = first_needed(edges, asked.select(F.col("root").alias("node")), sizes, max_compute + 1).withColumnRenamed("node", "root").join(asked.hint("merge"), "root").where(F.size("needed") > 0)
+    ran, more = F.slice("needed", 1, max_compute), F.size("needed") > max_compute
+    moved = F.aggregate(ran, F.lit(0).cast(_total(sizes)), lambda total, x: total + F.coalesce(x["size"], F.lit(0)))
+    return order.select("root", F.size(ran).cast("long").alias("executed"), F.when(more | F.exists(ran, lambda x: x["size"].isNotNull()), moved).alias("bytes_moved"), more.alias("budget_exceeded"))
+
+
+def _total(sizes: DataFrame) -> str:
+    """The type that sums of sizes have."""
+    return sizes.agg(F.sum("size").alias("total")).schema["total"].dataType.simpleString()
 
 
 def prefetch_plan(targets: DataFrame, edges: DataFrame, sizes: DataFrame, cached: DataFrame, cap: int | None = None) -> DataFrame:

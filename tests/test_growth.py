@@ -169,3 +169,23 @@ def test_small_families_need_no_rounds(spark, plans):
     assert sorted(r.ancestor for r in revision.latest_common(pairs, parents, times).collect()) == [1, 26]
     assert revision.behind(pairs.select(pairs.a.alias("rev")), parents, times).count() == 50
     assert len(plans) <= 12
+
+
+def test_budgets_on_lists_equal_whole_closures(spark, plans, monkeypatch):
+    draw = random.Random(17)
+    # Node 59 has 40 targets, 7 and 13 have no size, 8 has a null one, 9 has two; 100 is in no edge, 101 is nowhere else.
+    edges = sorted({(i, draw.randrange(i)) for i in range(1, 60) for _ in range(1 + i % 3)} | {(59, j) for j in range(40)})
+    deps = spark.createDataFrame(edges + [(None, 1), (2, None)], "source long, target long")
+    sizes = spark.createDataFrame([(i, 10 * i if i != 8 else None) for i in range(60) if i not in (7, 13)] + [(9, 5), (100, 3)], "node long, size long")
+    roots, rows = spark.createDataFrame([(i,) for i in range(60)] + [(100,), (101,), (59,), (None,)], "root long"), lambda df: sorted(map(tuple, df.collect()), key=str)
+    monkeypatch.setattr(graph, "MERGED", 7)
+    rounds = graph.levels(deps).agg({"level": "max"}).first()[0] + 1
+    plans.clear()
+    found = rows(graph.executed(roots, deps, sizes, 4))
+    # One loop for levels and lists: three tables ahead of it, and one round for each level and one to see the end.
+    assert len(plans) <= rounds + 4
+    monkeypatch.setattr(graph, "LISTED", 0)
+    assert found == rows(graph.executed(roots, deps, sizes, 4))
+    monkeypatch.undo()
+    with pytest.raises(ValueError, match="cycle"):
+        graph.executed(roots, deps.union(spark.createDataFrame([(3, 50), (50, 3)], "source long, target long")), sizes, 4)

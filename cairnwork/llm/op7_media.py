@@ -4,7 +4,9 @@ Corners of an image at three levels (as it is, softened by squares of two, half
 brightness tests of point pairs in a patch, turned to the patch's own orientation. Descriptors with a near one
 at another place of their image are left out, for in a repeating pattern none says where it is. A corner and each of its NEIGHBOURS
 nearest corners of the same level are one key in each of SUBSTRINGS Hamming tables: the substrings of both descriptors. Images with an equal
-key are tied to the least of them, never pair by pair, and connected ties are the candidate pieces. Within a piece every
+key are tied to the least of them, never pair by pair, and all that are tied to one image are a candidate piece with it:
+two images with an equal key are both of the piece of its least image. Pieces overlap but are not joined, so chains of
+chance ties make no large ones; two images that meet in several pieces are compared in the least. There every
 two images with an equal key are compared on all descriptors, a large piece in tiles that meet in separate tasks: pairs
 of near descriptors vote for a turn, a scale and a shift, and enough votes for one of them (the geometric consensus) make
 the images copies of one another, cropped or edited as they may be. Nothing else decides a link. Images without an equal
@@ -21,7 +23,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SpanHasher, chunks, cut, mix, word_spans
+from .common import SpanHasher, Written, chunks, mix, word_spans
 from .components import components
 from .exchange import groups, placed, row_ids, unpacked
-from .tiles import least_in_component, meetings, shared_counts
+from .tiles import incidence, least_in_component, meetings, shared_counts
 
 BITS, SUBSTRINGS = 128, 5
 #: Bits of one substring; the last 3 bits of a descriptor are in no table.
@@ -50,6 +53,8 @@ SPOT = 6
 TILE = 256
 #: Images whose keys one task compares, about.
 ROWS_EACH = 2048
+#: Tables whose keys are shuffled at once, and in how many parts images go to their pieces, so that less lies on disk at a time.
+WAVES, SHIPMENTS = ((0, 1, 2), (3, 4)), 2
 #: Levels: how many pixels of the image a pixel stands for, and whether it is softened first.
 LEVELS = ((1, False), (1, True), (2, False))
 SCALE = np.array([scale for scale, _ in LEVELS], np.float32)
@@ -148,9 +153,11 @@ def _describe_stack(images: list[np.ndarray], number: int) -> tuple[np.ndarray,
     patch = smooth[at[:, 0, None, None] + span[None, :, None], at[:, 1, None, None] + span[None, None, :]] * disc
     angle = np.arctan2((patch * span[None, :, None]).sum(axis=(1, 2)), (patch * span[None, None, :]).sum(axis=(1, 2)))
     cos, sin = np.cos(angle)[:, None], np.sin(angle)[:, None]
+    wide = smooth.shape[1]
+    flat, here = smooth.ravel(), at[:, :1] * wide + at[:, 1:]
 
     def sample(dx: np.ndarray, dy: np.ndarray) -> np.ndarray:
-        return smooth[at[:, :1] + np.rint(sin * dx + cos * dy).astype(int), at[:, 1:] + np.rint(cos * dx - sin * dy).astype(int)]
+        return flat.take(here + (np.rint(sin * dx + cos * dy) * wide + np.rint(cos * dx - sin * dy)).astype(np.int64))
 
     bits = np.packbits(sample(*_TESTS[:, 0].T) < sample(*_TESTS[:, 1].T), axis=1)
     image = owner[at[:, 0]]
@@ -161,14 +168,23 @@ def _alone(owner: np.ndarray, level: np.ndarray, bits: np.ndarray) -> np.ndarray
     """Which descriptors have no near one at another place of their image and level: in a pattern that repeats none says where it is."""
     words, group = bits.view(np.uint64), owner * len(LEVELS) + level.astype(np.int64)
     order = np.argsort(group, kind="stable")
-    cuts = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0, True]) if len(order) else np.zeros(1, np.int64)
-    out = np.ones(len(order), bool)
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        mine = words[order[a:b]]
-        step = max(1, DISTANCES // (b - a))
-        for lo in range(0, b - a, step):
-            near = np.bitwise_count(mine[lo : lo + step, None, 0] ^ mine[None, :, 0]) + np.bitwise_count(mine[lo : lo + step, None, 1] ^ mine[None, :, 1]) <= NEAR
-            out[order[a + lo : min(b, a + lo + step)]] = near.sum(axis=1) == 1
+    starts = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0]) if len(order) else np.zeros(0, np.int64)
+    sizes = np.diff(np.r_[starts, len(order)])
+    out, widths = np.ones(len(order), bool), -(-sizes // 8) * 8
+    # Groups of about one size are measured together, a large one a few rows at a time.
+    for width in np.unique(widths):
+        mine = np.flatnonzero(widths == width)
+        step = max(1, DISTANCES // width**2)
+        for lo in range(0, len(mine), step):
+            inside = np.arange(width) < sizes[mine[lo : lo + step], None]
+            at = order[np.where(inside, starts[mine[lo : lo + step], None] + np.arange(width), 0)]
+            one, two = words[at, 0], words[at, 1]
+            rows = max(1, DISTANCES // (len(at) * width))
+            for r in range(0, width, rows):
+                this = slice(r, r + rows)
+                near = np.bitwise_count(one[:, this, None] ^ one[:, None, :]) + np.bitwise_count(two[:, this, None] ^ two[:, None, :]) <= NEAR
+                near &= inside[:, None, :]
+                out[at[:, this][inside[:, this]]] = near.sum(axis=2)[inside[:, this]] == 1
     return out
 
 
@@ -336,71 +352,71 @@ def nearest_pairs(places: np.ndarray, owner: np.ndarray, at_once: int = 1 << 20)
     return np.stack(np.divmod(code, max(1, len(order))), axis=1)
 
 
-def pair_keys(places: list[np.ndarray], bits: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(image, key): the different keys of every image, 64 bits each."""
-    owner = np.repeat(np.arange(len(places)), [len(b) for b in bits])
-    pairs = nearest_pairs(np.concatenate([np.zeros((0, 4), np.float32), *places]), owner)
-    each = np.unpackbits(np.concatenate([np.zeros((0, BITS // 8), np.uint8), *bits]), axis=1)[:, : SUBSTRINGS * SUBSTRING_BITS].reshape(-1, SUBSTRINGS, SUBSTRING_BITS)
-    value = (each @ (1 << np.arange(SUBSTRING_BITS)).astype(np.float32)).astype(np.uint64)
+def keys_of(places: np.ndarray, bits: np.ndarray, owner: np.ndarray, tables: Sequence[int] = range(SUBSTRINGS)) -> tuple[np.ndarray, np.ndarray]:
+    """(image, key) of some tables: the different keys of every image, 64 bits each, image by image."""
+    pairs = nearest_pairs(places, owner)
+    each = np.unpackbits(bits, axis=1)[:, : SUBSTRINGS * SUBSTRING_BITS].reshape(-1, SUBSTRINGS, SUBSTRING_BITS)
+    value = (each @ (1 << np.arange(SUBSTRING_BITS)).astype(np.float32)).astype(np.uint64)[:, list(tables)]
     low, high = (f(value[pairs[:, 0]], value[pairs[:, 1]]) for f in (np.minimum, np.maximum))
-    table = np.arange(SUBSTRINGS, dtype=np.uint64)[None, :]
+    table = np.array(tables, np.uint64)[None, :]
     key = mix((((low << np.uint64(SUBSTRING_BITS)) | high) + (table << np.uint64(2 * SUBSTRING_BITS))).ravel())
-    image = np.repeat(owner[pairs[:, 0]], SUBSTRINGS)
+    image = np.repeat(owner[pairs[:, 0]], len(tables))
     order, first = groups(image, key)
     return image[order[first]], key[order[first]]
 
 
-_FOUND = "a long, b long, md5 binary, n_corners int"
+def pair_keys(places: list[np.ndarray], bits: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """keys_of() images with these places and descriptors each."""
+    owner = np.repeat(np.arange(len(places)), [len(b) for b in bits])
+    return keys_of(np.concatenate([np.zeros((0, 4), np.float32), *places]), np.concatenate([np.zeros((0, BITS // 8), np.uint8), *bits]), owner)
+
+
+def joined(places: list[bytes], bits: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, descriptors and image numbers of packed images, end to end."""
+    sizes = [len(b) // (BITS // 8) for b in bits]
+    return unpacked_places(b"".join(places)), np.frombuffer(b"".join(bits), np.uint8).reshape(-1, BITS // 8), np.repeat(np.arange(len(bits)), sizes)
 
 
-def ties(images: DataFrame, rows: int, column: str = "image", decode: Decoder = grey_maps) -> DataFrame:
-    """Two kinds of rows: (a, md5, n_corners) of each image, b being null and md5 too where there are no bytes, and (a, b) for each image that shares a key with an earlier one."""
-    tasks = max(2 * int(images.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / ROWS_EACH))
+def ties(described: DataFrame, rows: int, tables: Sequence[int]) -> DataFrame:
+    """(a, b) for each image a that shares a key of these tables with an earlier one, b being the least that has it."""
+    tasks = max(2 * int(described.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / ROWS_EACH))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = lambda n, kind: pa.array([[]] * n, pa.list_(kind))
         for batch in slices(batches):
             row = batch.column("row_id").to_numpy()
-            decoded, digests = zip(*decode(batch.column(column)), strict=True)
-            found = describe_all(list(decoded))
-            image, every = pair_keys(*map(list, zip(*found, strict=True)))
-            sent = placed((every % np.uint64(tasks)).astype(np.int64), row[image], key=(every >> np.uint64(32)).astype(np.uint32).view(np.int32))
-            blank = [pa.nulls(sent.num_rows, pa.binary()), pa.nulls(sent.num_rows, pa.int32())]
-            yield pa.RecordBatch.from_arrays([*sent.columns, *blank], names=[*sent.schema.names, "md5", "n_corners"])
-            md5, n = pa.array(digests, pa.binary()), len(row)
-            yield pa.RecordBatch.from_arrays([pa.array(row % tasks), pa.array(row), empty(n, pa.int32()), empty(n, pa.int32()), md5, pa.array([len(b) for _, b in found], pa.int32())], names=["task", "base", "low", "key", "md5", "n_corners"])
+            image, every = keys_of(*joined(batch.column("places").to_pylist(), batch.column("bits").to_pylist()), tables)
+            yield placed((every % np.uint64(tasks)).astype(np.int64), row[image], key=(every >> np.uint64(32)).astype(np.uint32).view(np.int32))
 
     def tie(table: pa.Table) -> pa.Table:
-        about = table.filter(pa.compute.is_valid(table.column("n_corners")))
-        rest = table.filter(pa.compute.is_null(table.column("n_corners")))
-        row, (key,) = row_ids(rest), unpacked(rest, "key")
+        row, (key,) = row_ids(table), unpacked(table, "key")
         order = np.lexsort((row, key))
         row, key = row[order], key[order]
         first = np.ones(len(row), bool)
         first[1:] = key[1:] != key[:-1]
         least = row[np.maximum.accumulate(np.where(first, np.arange(len(row)), 0))]
         a, b = np.unique(np.c_[row, least][row != least], axis=0).reshape(-1, 2).T
-        of = pa.table({"a": about.column("base"), "b": pa.nulls(len(about), pa.int64()), "md5": about.column("md5"), "n_corners": about.column("n_corners")})
-        return pa.concat_tables([of, pa.table({"a": a, "b": b, "md5": pa.nulls(len(a), pa.binary()), "n_corners": pa.nulls(len(a), pa.int32())})])
+        return pa.table({"a": a, "b": b})
 
-    sent = images.select("row_id", column).mapInArrow(send, "task long, base long, low array<int>, key array<int>, md5 binary, n_corners int")
-    return sent.groupBy("task").applyInArrow(tie, _FOUND)
+    sent = described.select("row_id", "places", "bits").mapInArrow(send, "task long, base long, low array<int>, key array<int>")
+    return sent.groupBy("task").applyInArrow(tie, "a long, b long")
 
 
 def descriptors(images: DataFrame, column: str = "image", decode: Decoder = grey_maps) -> DataFrame:
-    """(row_id, places, bits): corners and descriptors as binary."""
+    """(row_id, md5, n_corners, places, bits): digest, corners and descriptors as binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = describe_all([image for image, _ in decode(batch.column(column))])
-            yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array([packed_places(p) for p, _ in found], pa.binary()), pa.array([b.tobytes() for _, b in found], pa.binary())], names=["row_id", "places", "bits"])
+            decoded, digests = zip(*decode(batch.column(column)), strict=True)
+            found = describe_all(list(decoded))
+            columns = [pa.array(digests, pa.binary()), pa.array([len(b) for _, b in found], pa.int32()), pa.array([packed_places(p) for p, _ in found], pa.binary()), pa.array([b.tobytes() for _, b in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), *columns], names=["row_id", "md5", "n_corners", "places", "bits"])
 
-    return images.select("row_id", column).mapInArrow(run, "row_id long, places binary, bits binary")
+    return images.select("row_id", column).mapInArrow(run, "row_id long, md5 binary, n_corners int, places binary, bits binary")
 
 
-def compared(places: list[np.ndarray], bits: list[np.ndarray], meet: np.ndarray) -> np.ndarray:
+def compared(places: list[np.ndarray], bits: list[np.ndarray], owner: np.ndarray, key: np.ndarray, meet: np.ndarray) -> np.ndarray:
     """Which of the pairs that meet (a matrix of booleans) share a key and reach the consensus; most pairs are settled by equal descriptors."""
-    linked = meet & (shared_counts(len(bits), *pair_keys(places, bits)) > 0)
+    linked = meet & (shared_counts(len(bits), owner, key) > 0)
     sure = surely_linked(places, bits, linked)
     for i, j in np.argwhere(np.triu(linked & ~sure, 1)):
         sure[i, j] = sure[j, i] = min(len(bits[i]), len(bits[j])) >= CONSENSUS and consensus(places[i], bits[i], places[j], bits[j], CONSENSUS) >= CONSENSUS
@@ -410,29 +426,42 @@ def compared(places: list[np.ndarray], bits: list[np.ndarray], meet: np.ndarray)
 def _links(frame: pd.DataFrame) -> pd.DataFrame:
     """(rep, to, links) of the images of a task that link to others: the least that their links reach, and the weight of all linked images."""
     out = [pd.DataFrame({"rep": [], "to": [], "links": []})]
-    for _, g in frame.groupby("piece", sort=False):
-        g = g.sort_values("rep", ignore_index=True)
+    frame = frame.sort_values(["piece", "rep"], ignore_index=True)
+    every_place, every_bits, owner = joined(frame.places.tolist(), frame.bits.tolist())
+    image, key = keys_of(every_place, every_bits, owner)
+    corner, at = (np.searchsorted(x, np.arange(len(frame) + 1)) for x in (owner, image))
+    for piece, g in frame.groupby("piece", sort=False):
+        rows, lo = g.index, g.index[0]
         left, right, ids = g.left.to_numpy(), g.right.to_numpy(), g.rep.to_numpy()
         meet = (left[:, None] & right[None, :]) | (right[:, None] & left[None, :])
         np.fill_diagonal(meet, False)
-        linked = compared([unpacked_places(p) for p in g.places], [np.frombuffer(b, np.uint8).reshape(-1, BITS // 8) for b in g.bits], meet)
+        # Two images that meet in a lesser piece too are compared there.
+        meet &= incidence([x[x < piece] for x in g.pieces]) == 0
+        mine = slice(at[lo], at[rows[-1] + 1])
+        linked = compared([every_place[corner[i] : corner[i + 1]] for i in rows], [every_bits[corner[i] : corner[i + 1]] for i in rows], image[mine] - lo, key[mine], meet)
         some = linked.any(axis=1)
         out.append(pd.DataFrame({"rep": ids[some], "to": ids[least_in_component(linked)][some], "links": (linked @ g.n.to_numpy())[some]}))
     return pd.concat(out)
 
 
+def pieces_of(tied: DataFrame) -> DataFrame:
+    """(rep, piece) of (a, b): each b and all that are tied to it are the piece b."""
+    return tied.select(F.col("a").alias("rep"), F.col("b").alias("piece")).union(tied.select("b", "b")).distinct()
+
+
 def copies(images: DataFrame, column: str = "image", tile: int = TILE, decode: Decoder = grey_maps) -> DataFrame:
     """(row_id, class_id, n_equal, n_links, n_corners) for images (row_id unique, a column that decode turns into images); n_equal counts rows of the same bytes."""
-    found = cut(ties(images, images.count(), column, decode))
-    every = found.where("b is null").select(F.col("a").alias("row_id"), "md5", "n_corners")
-    classes = cut(every.where("md5 is not null").groupBy("md5").agg(F.min("row_id").alias("rep"), F.count("*").alias("n"), F.first("n_corners").alias("n_corners")))
-    rep = every.where("md5 is not null").select("row_id", "md5").join(classes.select("md5", "rep"), "md5").select("row_id", "rep")
-    tied = found.where("b is not null").select("a", "b").join(rep.toDF("a", "x"), "a").join(rep.toDF("b", "y"), "b").where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    pieces = components(tied).toDF("rep", "piece")
-    asked = meetings(pieces, tile).join(classes.select("rep", "n"), "rep")
-    members = descriptors(images.join(pieces.select(F.col("rep").alias("row_id")), "row_id", "left_semi"), column, decode).withColumnRenamed("row_id", "rep")
-    rows_of = asked.join(members, "rep")
-    linked = cut(rows_of.groupBy("task").applyInPandas(_links, "rep long, to long, links long"))
+    write = Written(images.sparkSession, clean=True)
+    described = write(descriptors(images, column, decode))
+    every, rows = described.select("row_id", "md5", "n_corners"), described.count()
+    classes = write(every.where("md5 is not null").groupBy("md5").agg(F.min("row_id").alias("rep"), F.count("*").alias("n")))
+    # Images of the same bytes have the same keys, so the least of a key is the least of its bytes.
+    found = reduce(DataFrame.union, [write(ties(described, rows, tables)) for tables in WAVES])
+    pieces = write(pieces_of(found.join(classes.select(F.col("rep").alias("a")), "a", "left_semi")))
+    of_rep = pieces.groupBy("rep").agg(F.collect_list("piece").alias("pieces"))
+    asked = write(meetings(pieces, tile).join(of_rep, "rep").join(classes.select("rep", "n"), "rep"))
+    shipped = lambda n: asked.where(F.pmod(F.xxhash64("piece"), F.lit(SHIPMENTS)) == n).join(described.select(F.col("row_id").alias("rep"), "places", "bits"), "rep")
+    linked = reduce(DataFrame.union, [write(shipped(n).groupBy("task").applyInPandas(_links, "rep long, to long, links long")) for n in range(SHIPMENTS)])
     label = components(linked.where("rep != to").select(F.col("rep").alias("a"), F.col("to").alias("b")).distinct()).toDF("rep", "class_rep")
     links = linked.groupBy("rep").agg(F.sum("links").alias("links"))
     known = classes.join(label, "rep", "left").join(links, "rep", "left")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,19 +21,34 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN, before)
+
+
 class Written:
     """Tables of a loop in the shared folder: each round reads what the round before wrote.
 
-    A table read again carries neither lineage nor constraints, and its size is known. With keep, older tables go.
+    A table read again carries neither lineage nor constraints, and its size is known. With keep, older tables go. With
+    clean, what was shuffled for a table goes once it is written, not when the driver next collects garbage.
     """
 
-    def __init__(self, spark: SparkSession, keep: int | None = None):
-        self.spark, self.keep, self.paths = spark, keep, []
+    def __init__(self, spark: SparkSession, keep: int | None = None, clean: bool = False):
+        self.spark, self.keep, self.clean, self.paths = spark, keep, clean, []
         self.folder = f"{shared_dir(spark)}/rounds-{uuid.uuid4().hex}"
 
     def __call__(self, df: DataFrame, name: str | None = None) -> DataFrame:
         path = f"{self.folder}/{name or len(self.paths)}"
-        df.write.parquet(path)
+        with _cleaned(self.spark) if self.clean else nullcontext():
+            df.write.parquet(path)
         self.paths.append(path)
         if self.keep is not None:
             for old in self.paths[: -self.keep]:

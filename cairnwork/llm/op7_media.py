@@ -245,12 +245,12 @@ def spots(places: np.ndarray) -> np.ndarray:
     return np.unique(places[:, :2] // SPOT @ np.array([1 << 14, 1], np.float64), return_inverse=True)[1]
 
 
-def consensus(places_a: np.ndarray, bits_a: np.ndarray, places_b: np.ndarray, bits_b: np.ndarray, enough: int | None = None) -> int:
+def consensus(places_a: np.ndarray, bits_a: np.ndarray, places_b: np.ndarray, bits_b: np.ndarray, enough: int | None = None, spot: np.ndarray | None = None) -> int:
     """Most spots of a with near descriptors that agree on a cell of vote_cells(); a spot votes once for a cell, however many corners of b look like it.
 
     With enough, counting ends once so many agree: where much looks alike, few corners say it.
     """
-    words_a, words_b, spot = bits_a.view(np.uint64), bits_b.view(np.uint64), spots(places_a)
+    words_a, words_b, spot = bits_a.view(np.uint64), bits_b.view(np.uint64), spots(places_a) if spot is None else spot
     votes, best, step = [np.zeros(0, np.int64)] * 2, 0, max(1, DISTANCES // max(1, len(words_b)))
     for lo in range(0, len(words_a), step):
         distance = np.bitwise_count(words_a[lo : lo + step, 0, None] ^ words_b[None, :, 0])
@@ -352,8 +352,8 @@ def nearest_pairs(places: np.ndarray, owner: np.ndarray, at_once: int = 1 << 20)
     return np.stack(np.divmod(code, max(1, len(order))), axis=1)
 
 
-def keys_of(places: np.ndarray, bits: np.ndarray, owner: np.ndarray, tables: Sequence[int] = range(SUBSTRINGS)) -> tuple[np.ndarray, np.ndarray]:
-    """(image, key) of some tables: the different keys of every image, 64 bits each, image by image."""
+def keys_of(places: np.ndarray, bits: np.ndarray, owner: np.ndarray, tables: Sequence[int] = range(SUBSTRINGS), shared: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(image, key) of some tables: the different keys of every image, 64 bits each, image by image. With shared, most keys that come once are left out."""
     pairs = nearest_pairs(places, owner)
     each = np.unpackbits(bits, axis=1)[:, : SUBSTRINGS * SUBSTRING_BITS].reshape(-1, SUBSTRINGS, SUBSTRING_BITS)
     value = (each @ (1 << np.arange(SUBSTRING_BITS)).astype(np.float32)).astype(np.uint64)[:, list(tables)]
@@ -361,6 +361,10 @@ def keys_of(places: np.ndarray, bits: np.ndarray, owner: np.ndarray, tables: Seq
     table = np.array(tables, np.uint64)[None, :]
     key = mix((((low << np.uint64(SUBSTRING_BITS)) | high) + (table << np.uint64(2 * SUBSTRING_BITS))).ravel())
     image = np.repeat(owner[pairs[:, 0]], len(tables))
+    if shared:
+        slot = (key >> np.uint64(64 - max(1, 2 * len(key)).bit_length())).astype(np.int64)
+        several = np.bincount(slot)[slot] > 1
+        image, key = image[several], key[several]
     order, first = groups(image, key)
     return image[order[first]], key[order[first]]
 
@@ -414,33 +418,56 @@ def descriptors(images: DataFrame, column: str = "image", decode: Decoder = grey
     return images.select("row_id", column).mapInArrow(run, "row_id long, md5 binary, n_corners int, places binary, bits binary")
 
 
-def compared(places: list[np.ndarray], bits: list[np.ndarray], owner: np.ndarray, key: np.ndarray, meet: np.ndarray) -> np.ndarray:
-    """Which of the pairs that meet (a matrix of booleans) share a key and reach the consensus; most pairs are settled by equal descriptors."""
-    linked = meet & (shared_counts(len(bits), owner, key) > 0)
-    sure = surely_linked(places, bits, linked)
-    for i, j in np.argwhere(np.triu(linked & ~sure, 1)):
-        sure[i, j] = sure[j, i] = min(len(bits[i]), len(bits[j])) >= CONSENSUS and consensus(places[i], bits[i], places[j], bits[j], CONSENSUS) >= CONSENSUS
-    return sure
+def compared(places: list[np.ndarray], bits: list[np.ndarray], linked: np.ndarray) -> np.ndarray:
+    """Which pairs of a matrix of booleans reach the consensus; most are settled by equal descriptors."""
+    some = np.flatnonzero(linked.any(axis=1))
+    out = np.zeros(linked.shape, bool)
+    if not len(some):
+        return out
+    places, bits, linked = [places[i] for i in some], [bits[i] for i in some], linked[np.ix_(some, some)]
+    sure, spot = surely_linked(places, bits, linked), {}
+    for i, j in np.argwhere(np.triu(linked & ~sure, 1)).tolist():
+        if min(len(bits[i]), len(bits[j])) >= CONSENSUS:
+            if i not in spot:
+                spot[i] = spots(places[i])
+            sure[i, j] = sure[j, i] = consensus(places[i], bits[i], places[j], bits[j], CONSENSUS, spot[i]) >= CONSENSUS
+    out[np.ix_(some, some)] = sure
+    return out
+
+
+def _met(piece: int, g: pd.DataFrame) -> np.ndarray:
+    """Which images of a piece meet here: by its tiles, and if no lesser piece has both of them."""
+    left, right = g.left.to_numpy(), g.right.to_numpy()
+    meet = (left[:, None] & right[None, :]) | (right[:, None] & left[None, :])
+    np.fill_diagonal(meet, False)
+    return meet & (incidence([x[x < piece] for x in g.pieces]) == 0)
 
 
 def _links(frame: pd.DataFrame) -> pd.DataFrame:
     """(rep, to, links) of the images of a task that link to others: the least that their links reach, and the weight of all linked images."""
     out = [pd.DataFrame({"rep": [], "to": [], "links": []})]
-    frame = frame.sort_values(["piece", "rep"], ignore_index=True)
+    meetings, kept, size = [], [], 0
+    for piece, g in frame.sort_values(["piece", "rep"]).groupby("piece", sort=False):
+        meet = _met(piece, g)
+        some = meet.any(axis=1)
+        if some.any():
+            meetings.append((size, meet[np.ix_(some, some)]))
+            kept.append(g.index[some])
+            size += int(some.sum())
+    if not kept:
+        return out[0]
+    frame = frame.loc[np.concatenate(kept)]
+    ids, weight = frame.rep.to_numpy(), frame.n.to_numpy()
     every_place, every_bits, owner = joined(frame.places.tolist(), frame.bits.tolist())
-    image, key = keys_of(every_place, every_bits, owner)
-    corner, at = (np.searchsorted(x, np.arange(len(frame) + 1)) for x in (owner, image))
-    for piece, g in frame.groupby("piece", sort=False):
-        rows, lo = g.index, g.index[0]
-        left, right, ids = g.left.to_numpy(), g.right.to_numpy(), g.rep.to_numpy()
-        meet = (left[:, None] & right[None, :]) | (right[:, None] & left[None, :])
-        np.fill_diagonal(meet, False)
-        # Two images that meet in a lesser piece too are compared there.
-        meet &= incidence([x[x < piece] for x in g.pieces]) == 0
-        mine = slice(at[lo], at[rows[-1] + 1])
-        linked = compared([every_place[corner[i] : corner[i + 1]] for i in rows], [every_bits[corner[i] : corner[i + 1]] for i in rows], image[mine] - lo, key[mine], meet)
+    image, key = keys_of(every_place, every_bits, owner, shared=True)
+    corner, at = (np.searchsorted(x, np.arange(size + 1)) for x in (owner, image))
+    for lo, meet in meetings:
+        hi = lo + len(meet)
+        mine, rows = slice(at[lo], at[hi]), range(lo, hi)
+        meet &= shared_counts(len(meet), image[mine] - lo, key[mine]) > 0
+        linked = compared([every_place[corner[i] : corner[i + 1]] for i in rows], [every_bits[corner[i] : corner[i + 1]] for i in rows], meet)
         some = linked.any(axis=1)
-        out.append(pd.DataFrame({"rep": ids[some], "to": ids[least_in_component(linked)][some], "links": (linked @ g.n.to_numpy())[some]}))
+        out.append(pd.DataFrame({"rep": ids[lo:hi][some], "to": ids[lo:hi][least_in_component(linked)][some], "links": (linked @ weight[lo:hi])[some]}))
     return pd.concat(out)
 
 

@@ -36,6 +36,8 @@ BINDINGS: dict[str, str] = {
         UNION ALL SELECT rev, ts, status, parent FROM (SELECT o_orderkey AS rev, o_orderdate AS ts, o_orderstatus AS status, LAG(o_orderkey) OVER (PARTITION BY CAST(FLOOR(o_custkey / 8e0) AS BIGINT) ORDER BY o_orderdate, o_orderkey) AS parent FROM {orders}) m WHERE rev % 4 = 0 AND parent IS NOT NULL""",
     # Asked pairs: a revision and another of its group in an order that has nothing to do with time.
     "dag_pairs": """SELECT a, b FROM (SELECT o_orderkey AS a, LAG(o_orderkey) OVER (PARTITION BY CAST(FLOOR(o_custkey / 8e0) AS BIGINT) ORDER BY (o_orderkey * 7919) % 10007, o_orderkey) AS b FROM {orders}) p WHERE b IS NOT NULL AND a % 5 = 0""",
+    # Merges: every revision with the one before it of its group in that order; only the first of a group has none.
+    "dag_merges": """SELECT a, b FROM (SELECT o_orderkey AS a, LAG(o_orderkey) OVER (PARTITION BY CAST(FLOOR(o_custkey / 8e0) AS BIGINT) ORDER BY (o_orderkey * 7919) % 10007, o_orderkey) AS b FROM {orders}) p WHERE b IS NOT NULL""",
     # One log of updates of all nine kinds.
     "updates": """SELECT event_id AS seq, CAST(event_id % 9 AS INT) AS kind, user_id % 25 AS pattern, 1 + event_id % 7 AS frequency, COALESCE(value, 0e0) AS compute,
         CASE WHEN event_type <> 'error' THEN 8e-1 ELSE 2e-1 END AS confidence, user_id AS cell, CASE WHEN event_id % 2 = 0 THEN user_id + 1000 END AS other FROM {events}""",

@@ -40,36 +40,33 @@ def dag_cycle_rejection(t):
     return revision.rejected(_pairs(t).toDF("rev", "parent"), t.dag, _times(t))
 
 
-def _merges(t):
-    return t.dag_merges.select("a", "b").distinct()
-
-
-def _merged(t, pairs, column, with_ancestor):
+def _merged(t, column, with_ancestor):
+    pairs = t.dag_merges.select("a", "b").distinct()
     common = revision.latest_common(pairs, t.dag, _times(t)).withColumnRenamed("ancestor", "rev")
     side = lambda c: pairs.select("a", "b", F.col(c).alias("rev"))
     return revision.merged_counts(side("a"), side("b"), common, t.rev_cells.select("rev", column), ["a", "b"], column, with_ancestor)
 
 
-def _merged_sql(column, own, line, asked, common):
-    side = lambda table, key: f"SELECT s.a, s.b, c.{column} FROM {table} s JOIN {{rev_cells}} c ON c.rev = s.{key}"
-    fresh = lambda key: f"SELECT x.a, x.b, x.{column}, '{key}' AS origin FROM ({side('q', key)}) x WHERE NOT EXISTS (SELECT 1 FROM z WHERE z.a = x.a AND z.b = x.b AND z.{column} = x.{column})"
-    parts = [fresh("a"), fresh("b")] + ([f"SELECT a, b, {column}, 'ancestor' FROM z"] if own else [])
-    return f"{line}, {_COMMON}, q AS ({asked}), z AS ({side(common, 'ancestor')}) SELECT a, b, origin, {column}, COUNT(*) AS n FROM ({' UNION ALL '.join(parts)}) m GROUP BY a, b, origin, {column}"
+_MERGES = _LINE.replace("{dag_pairs}", "{dag_merges}")
 
 
-_MERGES = _LINE.replace("{dag_pairs}", "{dag_merges}")
+def _merged_sql(column, own):
+    side = lambda table, key: f"SELECT s.a, s.b, c.{column} FROM {table} s JOIN {{rev_cells}} c ON c.rev = s.{key}"
+    fresh = lambda key: f"SELECT x.a, x.b, x.{column}, '{key}' AS origin FROM ({side('p', key)}) x WHERE NOT EXISTS (SELECT 1 FROM z WHERE z.a = x.a AND z.b = x.b AND z.{column} = x.{column})"
+    parts = [fresh("a"), fresh("b")] + ([f"SELECT a, b, {column}, 'ancestor' FROM z"] if own else [])
+    return f"{_MERGES}, {_COMMON}, z AS ({side('common', 'ancestor')}) SELECT a, b, origin, {column}, COUNT(*) AS n FROM ({' UNION ALL '.join(parts)}) m GROUP BY a, b, origin, {column}"
 
 
-@query(_merged_sql("cell", True, _MERGES, "SELECT a, b FROM p", "common"))
+@query(_merged_sql("cell", True))
 def dag_merged_cells(t):
     """Cells that a merge of a and b lists: the common ancestor's, then what each side has beyond it; repeats are kept as a number."""
-    return _merged(t, _merges(t), "cell", True)
+    return _merged(t, "cell", True)
 
 
-@query(_merged_sql("tile", False, _LINE, "SELECT a, b FROM p WHERE a % 3 = 0", "(SELECT * FROM common WHERE a % 3 = 0)"))
+@query(_merged_sql("tile", False))
 def dag_merged_tiles(t):
     """Tiles that a merge of a and b lists: what each side has beyond the common ancestor, whose own tiles are not listed again."""
-    return _merged(t, _pairs(t).where("a % 3 = 0"), "tile", False)
+    return _merged(t, "tile", False)
 
 
 _MARK = """WITH RECURSIVE edges AS (SELECT 'r' || CAST(rev AS STRING) AS source, 'r' || CAST(parent AS STRING) AS target FROM {dag} WHERE parent IS NOT NULL

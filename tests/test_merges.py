@@ -27,3 +27,8 @@ MERGED = {(3, 4, "ancestor", 12, 1), (3, 4, "b", 13, 2), (2, 3, "a", 10, 1), (2,
 
 def test_cells_of_every_merge(spark, store):
     assert sorted(map(tuple, QUERIES["dag_merged_cells"](spark, store).select("a", "b", "origin", "cell", "n").collect())) == sorted(MERGED)
+
+
+def test_tiles_of_every_merge(spark, store):
+    listed = sorted((a, b, origin, cell + 100, n) for a, b, origin, cell, n in MERGED if origin != "ancestor")
+    assert sorted(map(tuple, QUERIES["dag_merged_tiles"](spark, store).select("a", "b", "origin", "tile", "n").collect())) == listed
